@@ -1,0 +1,11 @@
+"""All queries of the reference's operators, with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
