@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import Workspace, by_ids, windows, words_of
 
-MIN_MATCH, COVERAGE, BENCHMARK_BYTES = 5, 0.6, 16 << 20
+MIN_MATCH, COVERAGE, BENCHMARK_BYTES = 5, 0.5, 16 << 20
 FLAGGED = "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double, contaminated boolean"
 
 

@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 
 from factloom.llm.chat_format import chat_report
 from factloom.llm.decontaminate import contaminated
+from factloom.llm.html_extract import extract_pages
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.ngram_join import jaccard_components
+from factloom.llm.quality_rules import quality_report
 from factloom.llm.secret_scan import secret_report
+from factloom.llm.warc import warc_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,8 +52,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_decontamination, op5_chat_format, op7_line_dedup, op8_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_decontamination, op5_chat_format, op6_warc, op7_line_dedup, op8_ngram_join, op9_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
