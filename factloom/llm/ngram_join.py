@@ -400,3 +400,17 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     by_class = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("digest", F.coalesce("label", "c").alias("component_id"))
     joined = rows.join(by_class, "digest", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without the rows of linked groups but the one of the smallest doc_id; of its repeated rows one stays.
+
+    Rows without doc_id stay, as do texts without a shingle.
+    """
+    work = Workspace(docs.sparkSession, "unique")
+    groups = jaccard_components(docs.select("doc_id", "text"), **options)
+    gone = work.table(groups.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    left = by_ids(docs, gone, "doc_id", "left_anti")
+    again = work.table(groups.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    repeated = by_ids(left.filter("doc_id is not null and text is not null"), again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return by_ids(left, again, "doc_id", "left_anti").unionByName(repeated) if again.limit(1).count() else left

@@ -12,8 +12,10 @@ from factloom.llm.decontaminate import contaminated
 from factloom.llm.html_extract import extract_pages
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.ngram_join import jaccard_components
+from factloom.llm.quality_classifier import score_quality
 from factloom.llm.quality_rules import quality_report
 from factloom.llm.secret_scan import secret_report
+from factloom.llm.sentencepieces import encoding_report
 from factloom.llm.warc import warc_report
 
 
@@ -25,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -56,8 +62,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_decontamination, op5_chat_format, op6_warc, op7_line_dedup, op8_ngram_join, op9_html_extraction)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_chat_format, op6_warc, op7_line_dedup, op8_ngram_join, op9_html_extraction, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
