@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Workspace, by_ids, components, shingle_set, words_of
+from factloom.llm.common import Workspace, by_ids, components, shingle_set, with_small, words_of
 
 SHINGLE, THRESHOLD = 5, 75
 #: Counting buckets of shingles (bits of their hash); entries of one shingle range; rows of a block and bytes of a cluster's sets in one task.
@@ -333,18 +333,26 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("shingles", pa.binary())])
         for batch in batches:
-            found = [x for _, x in sets_of(batch, "text", shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([count_vector(x).tobytes() if len(x) else b"" for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+            held: list[np.ndarray] = []
+            size, done = 0, 0
+            for row, found in sets_of(batch, "text", shingle):
+                held.append(found)
+                size += found.nbytes
+                if size > 4 << 20 or row == batch.num_rows - 1:
+                    vectors = [count_vector(x).tobytes() if len(x) else b"" for x in held]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(held)), pa.array([len(x) for x in held], pa.int64()), pa.array(vectors, pa.binary()), pa.array([x.tobytes() for x in held], pa.binary())], schema=schema)
+                    held, size, done = [], 0, row + 1
 
     return run
 
 
-def _dealt(members: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+def _dealt(work: Workspace, members: DataFrame, key: str, weight: str, most: int) -> DataFrame:
     """members with a column task: the key itself, or for a heavy key each pair of its parts in which a member is."""
     heavy = members.groupBy(key).agg(F.sum(weight).alias("__w")).filter(F.col("__w") > most).select(key, F.ceil(2 * F.col("__w") / most).cast("int").alias("__parts"))
+    heavy = work.table(heavy, f"heavy-{key}")
     part = F.pmod(F.xxhash64("c"), F.col("__parts")).cast("int")
     other = F.explode(F.when(F.col("__parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    dealt = members.join(heavy, key, "left").withColumn("__mine", part).withColumn("__other", other)
+    dealt = with_small(members, heavy, [key], "left", F.lit(16)).withColumn("__mine", part).withColumn("__other", other)
     return dealt.withColumn("task", F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other"))).drop("__parts", "__mine", "__other")
 
 
@@ -388,12 +396,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     sets = by_ids(texts.filter("text is not null"), wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "c long, n long, vector binary, shingles binary")
     sets = work.table(sets.filter("n > 0"), "vectors")
 
-    tasks = _dealt(members.withColumn("one", F.lit(1)), "hub", "one", block_rows).select("task", "c")
+    tasks = _dealt(work, members.withColumn("one", F.lit(1)), "hub", "one", block_rows).select("task", "c")
     tasks = tasks.join(sets.select("c", "n", "vector"), "c")
     stars = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_block_stars(threshold), "a long, b long")
     clusters = work.table(components(work, stars, "cluster").select(F.col("node").alias("c"), F.col("label").alias("cluster")), "clusters")
     held = clusters.join(sets.select("c", "n", "shingles"), "c")
-    held = _dealt(held.withColumn("bytes", 8 * F.col("n")), "cluster", "bytes", cluster_bytes).select("task", "c", "shingles")
+    held = _dealt(work, held.withColumn("bytes", 8 * F.col("n")), "cluster", "bytes", cluster_bytes).select("task", "c", "shingles")
     links = held.repartition("task").sortWithinPartitions("task").mapInArrow(_verified_stars(threshold), "a long, b long")
     labels = work.table(components(work, links, "label"), "labels")
 
