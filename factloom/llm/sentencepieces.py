@@ -8,8 +8,8 @@ Zipf's law makes scores, -log(rank + 2), so that frequent pieces and few pieces
 path of greedy merges.
 
 No piece has a word-begin mark after another character and none has an unknown character, so all segmentations cut
-there: the lattice falls into words, whose N best segmentations are kept in a bounded cache, and the N best of a
-text combine the words' cheapest alternatives exactly.
+there: the lattice falls into words, whose best segmentations and losses of the second best are kept in a bounded
+cache. The N best of a text differ from its best one only at the N - 1 words of the least losses, so A* runs there.
 
 Defined cases: null and empty texts have no pieces and one segmentation of score 0; characters beyond the vocabulary
 become byte pieces, or the unknown piece where the model has none; the mark U+2581 in a text decodes to a space;
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 300_000, 10.0
+N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 700_000, 10.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -116,6 +116,48 @@ def n_best(word: str, model: Model, n: int) -> list[tuple[float, list[int]]]:
     return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
 
+def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
+    """The best segmentation's score and ids, and by how much the second best one's score is less."""
+    size, low = len(word), -math.inf
+    best, second = [low] * (size + 1), [low] * (size + 1)
+    back: list = [None] * (size + 1)
+    best[0] = 0.0
+    get, scores, ids = model.begins.get, model.scores, model.ids
+    for i in range(size):
+        here, other = best[i], second[i]
+        if word[i] not in ids: 
+            _reach(best, second, back, i + 1, here + model.unknown_score, other + model.unknown_score, (i, model.unknown))
+        for j in range(i + 1, size + 1):
+            k = get(word[i:j])
+            if k is None:
+                break
+            if k >= 0:
+                reached = here + scores[k]
+                if reached > best[j]:
+                    next_ = other + scores[k]
+                    second[j] = best[j] if best[j] > next_ else next_
+                    best[j] = reached
+                    back[j] = (i, k)
+                elif reached > second[j]:
+                    second[j] = reached
+    out, j = [], size
+    while j:
+        i, k = back[j]
+        if k == model.unknown and model.bytes_:
+            out += [model.bytes_[b] for b in reversed(word[i:j].encode())]
+        else:
+            out.append(k)
+        j = i
+    return best[size], out[::-1], best[size] - second[size]
+
+
+def _reach(best: list, second: list, back: list, j: int, reached: float, next_: float, edge: tuple[int, int]) -> None:
+    if reached > best[j]:
+        best[j], second[j], back[j] = reached, max(best[j], next_), edge
+    else:
+        second[j] = max(second[j], reached)
+
+
 def _ids(word: str, path: tuple | None, model: Model) -> list[int]:
     out = []
     while path is not None:
@@ -150,9 +192,11 @@ class Encoder:
         return pattern.findall(text)
 
     def entry(self, word: str) -> tuple:
-        """(score, packed ids, loss of the second best, all as (score, packed ids))."""
-        found = [(s, array("i", ids).tobytes()) for s, ids in n_best(word, self.model, self.n)]
-        out = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else np.inf, found)
+        """(score, packed ids, loss of the second best, the word)."""
+        score, ids, loss = viterbi(word, self.model)
+        if loss == 0.0:  # equals come in the order of their ids
+            score, ids = n_best(word, self.model, 2)[0]
+        out = (score, array("i", ids).tobytes(), loss, word)
         if len(word) <= 64:
             if len(self.cache) >= self.most:
                 self.cache.clear()
@@ -171,22 +215,30 @@ class Encoder:
         """Scores of the text's n best segmentations."""
         return [x[0] for x in self.combined(entries)]
 
-    def combined(self, entries: list[tuple]) -> list[tuple[float, dict[int, int]]]:
-        """The n best as (score, {word's place: which of its segmentations, if not the best})."""
+    def combined(self, entries: list[tuple]) -> list[tuple[float, dict[int, list[int]]]]:
+        """The n best as (score, {word's place: its ids, where they aren't the best ones})."""
         total = sum([e[0] for e in entries])
-        # an alternative dearer than n - 1 others, each at another word, is in none of the n best
-        places = heapq.nsmallest(self.n - 1, ((e[2], k) for k, e in enumerate(entries) if e[2] < np.inf))
-        chosen: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for _, k in places:
-            options = [(entries[k][0] - s, r) for r, (s, _) in enumerate(entries[k][3])]
-            more = [(loss + extra, had | {k: r} if r else had) for loss, had in chosen for extra, r in options]
+        losses = [e[2] for e in entries]
+        # an alternative dearer than n - 1 others, each at another word, is in none of the n best: A* for few words
+        places = []
+        for _ in range(self.n - 1):
+            least = min(losses, default=math.inf)
+            if least == math.inf:
+                break
+            places.append(losses.index(least))
+            losses[places[-1]] = math.inf
+        chosen: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
+        for k in places:
+            found = n_best(entries[k][3], self.model, self.n)
+            more = [(loss + found[0][0] - s, had | {k: ids} if r else had) for loss, had in chosen for r, (s, ids) in enumerate(found)]
             chosen = heapq.nsmallest(self.n, more, key=lambda x: x[0])
         return [(total - loss, had) for loss, had in chosen]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text."""
         entries = self.entries(text)
-        return [(s, np.frombuffer(b"".join(e[3][had.get(k, 0)][1] for k, e in enumerate(entries)), np.int32).tolist()) for s, had in self.combined(entries)]
+        packed = lambda had: [array("i", had[k]).tobytes() if k in had else e[1] for k, e in enumerate(entries)]
+        return [(s, np.frombuffer(b"".join(packed(had)), np.int32).tolist()) for s, had in self.combined(entries)]
 
     def decode(self, ids) -> str:
         spelled = self.model.spelled
