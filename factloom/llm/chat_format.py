@@ -21,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import Workspace
+
 BUDGET, HISTORY, BLOCK = 1024, 256, 512
 #: Control strings of common chat templates, besides all that begin with <|.
 CONTROL_STRINGS = ("<s>", "</s>", "<unk>", "<pad>", "<bos>", "<eos>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "[INST]", "[/INST]", "[SYSTEM_PROMPT]", "[/SYSTEM_PROMPT]", "[TOOL_CALLS]")
@@ -49,31 +51,32 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     """(conv_id, window, formatted, loss spans, n_context, n_tokens): context turns come first in formatted."""
     key = F.when(F.col("conv_id").isNull(), "\0").otherwise(F.col("conv_id").cast("string"))
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    work = Workspace(turns.sparkSession, "chat")
     t = turns.select("conv_id", key.alias("c"), F.floor(F.col("turn") / block).alias("blk"), "turn", role.alias("role"), text.alias("text"))
     t = t.withColumns({"blk": F.coalesce("blk", F.lit(1 << 62)), "tok": F.regexp_count("text", F.lit(TOKEN)) + OVERHEAD})
     # numbers and sums inside blocks of turns, then over the blocks: a long conversation isn't one task's
     inside = Window.partitionBy("c", "blk").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    t = t.withColumn("n", F.row_number().over(inside))
-    t = _offset(t, {"idx": F.lit(1)})
-    t = t.withColumn("is_sys", (F.col("idx") == 0) & (F.col("role") == "system"))
-    system = t.filter("is_sys").select("c", F.col("role").alias("sys_role"), F.col("text").alias("sys_text"), F.col("tok").alias("sys_tok"))
-    t = t.join(system.select("c", "sys_tok"), "c", "left")
+    t = work.table(t.withColumn("n", F.row_number().over(inside)).drop("turn"), "turns")
+    # all that places the turns is computed without their texts
+    num = _offset(t.select("c", "blk", "n", "tok", (F.col("role") == "system").alias("is_sys")), {"idx": F.lit(1)})
+    num = num.withColumn("is_sys", F.col("is_sys") & (F.col("idx") == 0))
+    num = num.join(num.filter("is_sys").select("c", F.col("tok").alias("sys_tok")), "c", "left")
     room = F.greatest(F.lit(budget - history) - F.coalesce("sys_tok", F.lit(0)), F.lit(2))
-    t = t.withColumn("half", F.floor(room / 2)).withColumn("hist", F.least(F.lit(history), F.col("half")))
-    t = t.withColumn("tok", F.when(F.col("is_sys"), 0).otherwise(F.col("tok")))
-    t = t.withColumn("long", (F.col("tok") > F.col("half")).cast("int"))
-    sums = {"before": F.col("tok"), "short_before": F.col("tok") * (1 - F.col("long")), "longs": F.col("long")}
-    t = _offset(t, sums)
-    t = t.withColumn("seg", F.when(F.col("is_sys"), 0).otherwise(2 * F.col("longs") + F.col("long"))).withColumn("bucket", F.when(F.col("is_sys"), 0).otherwise(F.floor(F.col("short_before") / F.col("half"))))
-    spans = t.groupBy("c", "seg", "bucket").agg(F.min("idx").alias("first"), F.min("before").alias("begin"))
-    # the system turn alone opens no span unless nothing follows; its span is the first turn's
-    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("c").orderBy("first")) - 1)
-    t = t.join(spans.select("c", "seg", "bucket", "window"), ["c", "seg", "bucket"])
-    own = t.select("conv_id", "c", "window", F.lit(2).alias("rank"), "idx", "role", "text", "tok")
+    num = num.withColumn("half", F.floor(room / 2)).withColumn("hist", F.least(F.lit(history), F.col("half")))
+    num = num.withColumn("own_tok", F.when(F.col("is_sys"), 0).otherwise(F.col("tok"))).withColumn("long", (F.col("own_tok") > F.col("half")).cast("int"))
+    num = _offset(num, {"before": F.col("own_tok"), "short_before": F.col("own_tok") * (1 - F.col("long")), "longs": F.col("long")})
+    seg = F.when(F.col("is_sys"), 0).otherwise(2 * F.col("longs") + F.col("long"))
+    num = num.withColumns({"seg": seg, "bucket": F.when(F.col("is_sys"), 0).otherwise(F.floor(F.col("short_before") / F.col("half")))})
+    num = work.table(num.select("c", "blk", "n", "idx", "is_sys", "hist", "before", "seg", "bucket"), "numbers")
+    spans = num.groupBy("c", "seg", "bucket").agg(F.min("idx").alias("first"), F.min("before").alias("begin"))
+    spans = work.table(spans.withColumn("window", F.row_number().over(Window.partitionBy("c").orderBy("first")) - 1), "spans")
+    placed = t.join(num.join(spans, ["c", "seg", "bucket"]).select("c", "blk", "n", "idx", "is_sys", "hist", "before", "window"), ["c", "blk", "n"])
+    placed = work.table(placed.drop("blk", "n"), "placed")
+    own = placed.select("conv_id", "c", "window", F.lit(2).alias("rank"), "idx", "role", "text", "tok")
     # a turn reaches at most the next two spans, as the history room is half a span at most
-    later = t.filter("not is_sys").select("conv_id", "c", F.explode(F.array(F.col("window") + 1, F.col("window") + 2)).alias("window"), F.lit(1).alias("rank"), "idx", "role", "text", "tok", "before", "hist")
+    later = placed.filter("not is_sys").select("conv_id", "c", F.explode(F.array(F.col("window") + 1, F.col("window") + 2)).alias("window"), F.lit(1).alias("rank"), "idx", "role", "text", "tok", "before", "hist")
     later = later.join(spans.select("c", "window", "begin"), ["c", "window"]).filter(F.col("begin") - F.col("before") <= F.col("hist"))
-    again = spans.filter("window > 0").join(system, "c").select("c", "window", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("idx"), F.col("sys_role").alias("role"), F.col("sys_text").alias("text"), F.col("sys_tok").alias("tok"))
+    again = spans.filter("window > 0").select("c", "window").join(placed.filter("is_sys").select("c", F.lit(0).alias("rank"), "idx", "role", "text", "tok"), "c")
     rows = own.unionByName(later.drop("before", "hist", "begin")).unionByName(again, allowMissingColumns=True)
     rows = rows.withColumns({"role_out": escape_role(F.col("role")), "text_out": escape(F.col("text"))})
     rows = rows.withColumn("loss", (F.col("rank") == 2) & (F.col("role") == "assistant"))
