@@ -72,7 +72,16 @@ def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, row_byte
 
 # ---------------------------------------------------------------- words and shingles in numpy
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
+#: Bytes of an Arrow batch on its way to Python, so that a worker's memory doesn't depend on the length of rows.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session now sends batches of at most BATCH_BYTES (or a single longer row) to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -121,7 +130,7 @@ def _segment_words(data: np.ndarray, begins: np.ndarray, fold: bool) -> tuple[np
     first[inside] = word[inside]
     last[inside - 1] = word[inside - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    powers, back = _tables(max(SEGMENT, 1 << int(len(data)).bit_length()))
+    powers, back = _tables(1 << max(SEGMENT.bit_length(), len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_values(fold)[data] * powers[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start, end

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Workspace, by_ids, windows, words_of
+from factloom.llm.common import Workspace, bounded, by_ids, windows, words_of
 
 MIN_MATCH, COVERAGE, BENCHMARK_BYTES = 5, 0.5, 16 << 20
 FLAGGED = "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double, contaminated boolean"
@@ -217,14 +217,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         words = [found[bounds[r - lo] : bounds[r - lo + 1]] for lo, hi, found, bounds in words_of(column, True) for r in range(lo, hi)]
         held = [(r["item_id"], w) for r, w in zip(rows, words, strict=True) if len(w) >= min_match]
         index = spark.sparkContext.broadcast(Index(held, min_match))
-        return texts.mapInArrow(_flag_broadcast(index, min_match, coverage), FLAGGED)
+        return bounded(texts).mapInArrow(_flag_broadcast(index, min_match, coverage), FLAGGED)
     work = Workspace(spark, "decontaminate")
-    doc_seeds = texts.mapInArrow(_seeds(min_match, "doc_id"), "seed long, doc_id long")
+    doc_seeds = bounded(texts).mapInArrow(_seeds(min_match, "doc_id"), "seed long, doc_id long")
     item_seeds = items.mapInArrow(_seeds(min_match, "item_id"), "seed long, item_id long")
     pairs = work.table(doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id").distinct(), "pairs")
     near = by_ids(texts, work.table(pairs.select("doc_id").distinct(), "near"), "doc_id", "left_semi")
     both = pairs.join(near, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return both.mapInArrow(_flag_pairs(min_match, coverage), FLAGGED)
+    return bounded(both).mapInArrow(_flag_pairs(min_match, coverage), FLAGGED)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

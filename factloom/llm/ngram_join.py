@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Workspace, by_ids, components, shingle_set, with_small, words_of
+from factloom.llm.common import Workspace, bounded, by_ids, components, shingle_set, with_small, words_of
 
 SHINGLE, THRESHOLD = 5, 75
 #: Counting buckets of shingles (bits of their hash); entries of one shingle range; rows of a block and bytes of a cluster's sets in one task.
@@ -364,7 +364,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = work.table(texts.mapInArrow(_digests(shingle, BUCKET_BITS), "doc_id long, n long, digest binary, counts binary"), "sets")
+    found = work.table(bounded(texts).mapInArrow(_digests(shingle, BUCKET_BITS), "doc_id long, n long, digest binary, counts binary"), "sets")
     rows = found.filter("counts is null").select("doc_id", "n", "digest")
     counts = found.filter("counts is not null").select("counts").mapInArrow(_expand_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     rarity = np.zeros(1 << BUCKET_BITS, np.int64)  # of fixed size, whatever the corpus

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SEGMENT, SPACE, _segment_words, mix, text_buffers
+from factloom.llm.common import SEGMENT, SPACE, _segment_words, bounded, mix, text_buffers
 
 SAMPLE, BITS, COST, EPOCHS, SMOOTHING, CALIBRATION = 5000, 18, 1.0, 10, 1.0, 0.25
 
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    featured = rows.mapInArrow(_featured, f"doc_id {kind}, label int, features binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    featured = bounded(rows).mapInArrow(_featured, f"doc_id {kind}, label int, features binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return fit([np.frombuffer(r["features"], np.int32) for r in featured], np.array([r["label"] for r in featured]))
 
 
@@ -220,5 +220,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(doc_id, held_out, score, predicted) for each document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_scored(model), f"doc_id {kind}, score double")
+    scored = bounded(docs).select("doc_id", "text").mapInArrow(_scored(model), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACE, mix, text_buffers, windows, words_of
+from factloom.llm.common import SPACE, bounded, text_buffers, windows, words_of
 
 MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 200, 50, 0.2, 0.29
 
@@ -183,12 +183,12 @@ def _verdict(measured: DataFrame, max_char: float, max_word: float) -> DataFrame
 def filter_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """The rows of docs that are kept, with their own columns; texts are read once and nothing is shuffled."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_id"), F.col("text"))
-    measured = inner.mapInArrow(_measured, f"doc_id {inner.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+    measured = bounded(inner).mapInArrow(_measured, f"doc_id {inner.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
     return _verdict(measured, max_char, max_word).filter("kept").select(*[F.col("doc_id")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_report(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per document: base counts, base_failed, kept, and the two distances."""
-    measured = docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+    measured = bounded(docs).select("doc_id", "text").mapInArrow(_measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return _verdict(measured, max_char, max_word).select(*first, "char_distance", "word_distance")

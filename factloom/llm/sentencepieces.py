@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import bounded
+
 MARK = "▁"
 N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 700_000, 10.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -289,7 +291,7 @@ def _shared_model(docs: DataFrame, path: str):
 def encoding_report(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
     """(doc_id, n_pieces, score, n_best_scores, ids_hash, round_trip) for each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_report(_shared_model(docs, path), n), f"doc_id {kind}, n_pieces long, score double, n_best_scores array<double>, ids_hash string, round_trip boolean")
+    return bounded(docs).select("doc_id", "text").mapInArrow(_report(_shared_model(docs, path), n), f"doc_id {kind}, n_pieces long, score double, n_best_scores array<double>, ids_hash string, round_trip boolean")
 
 
 def _encode(model):
@@ -308,5 +310,5 @@ def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs without text, with ids (array<int>) and score of the best segmentation."""
     others = [c for c in docs.columns if c != "text"]
     inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("z")).alias("rest"), "text")
-    done = inner.mapInArrow(_encode(_shared_model(docs, path)), f"rest {inner.schema['rest'].dataType.simpleString()}, ids array<int>, score double")
+    done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path)), f"rest {inner.schema['rest'].dataType.simpleString()}, ids array<int>, score double")
     return done.select(*[F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(others) if c not in {"ids", "score"}], "ids", "score")
