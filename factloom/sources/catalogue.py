@@ -22,8 +22,9 @@ def fold_children(lines: DataFrame) -> DataFrame:
     or else to the variant.
     """
     parsed = lines.filter(F.trim("line") != "").select("line_no", F.from_json("line", LINE).alias("x")).select("line_no", "x.*")
-    is_product = F.col("id").contains("/Product/") & F.col("title").isNotNull()
-    is_variant = F.col("id").contains("/ProductVariant/") & F.col("__parentId").isNotNull()
+    kind = F.coalesce("id", F.lit(""))  # metafields may have none
+    is_product = kind.contains("/Product/") & F.col("title").isNotNull()
+    is_variant = kind.contains("/ProductVariant/") & F.col("__parentId").isNotNull()
     products = parsed.filter(is_product).groupBy("id").agg(F.min("line_no").alias("ord"), F.max_by(F.struct("title", "handle", "descriptionHtml", "vendor", "productType", "onlineStoreUrl", "price", "currency", "inventory", "updatedAt"), "line_no").alias("p"))
     fields = parsed.filter(F.col("key").isNotNull() & F.col("__parentId").isNotNull() & ~is_product & ~is_variant).groupBy("__parentId").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "key", "value"))), lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"))).alias("metafields"))
     none = F.array().cast("array<struct<key:string,value:string>>")
