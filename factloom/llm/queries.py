@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.chat_format import chat_report
 from factloom.llm.decontaminate import contaminated
 from factloom.llm.html_extract import extract_pages
-from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.line_dedup import LEADING_TOKENS, MIN_DOCS, MIN_TOKENS, dedup_lines
 from factloom.llm.ngram_join import jaccard_components
 from factloom.llm.quality_classifier import score_quality
 from factloom.llm.quality_rules import quality_report
@@ -70,5 +70,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_chat_format, op6_warc, op7_line_dedup, op8_ngram_join, op9_html_extraction, op10_sentencepiece)}
 
 
+#: Base32 of the hex digest h: five hex digits are four characters.
+BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '')"
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+LINES_SQL = f"""
+WITH lines AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+tokens AS (
+  SELECT doc_id, text, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN regexp_split_to_array(trim(string_split(text, chr(10))[line + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\v\\f\\r]+')] AS t FROM lines
+),
+parts AS (
+  SELECT *, len(t) AS n, (len(t) - {LEADING_TOKENS}) // 2 AS half FROM tokens WHERE len(t) >= {MIN_TOKENS}
+),
+keys AS (
+  SELECT doc_id, text, line, unnest([
+    [0 || ' ' || n] || t[1:{LEADING_TOKENS} + half],
+    [1 || ' ' || n] || t[1:{LEADING_TOKENS}] || t[{LEADING_TOKENS} + half + 1:],
+    [2 || ' ' || n] || t[1:{LEADING_TOKENS}] || [t[i] FOR i IN range(1, n + 1, 2)],
+    [3 || ' ' || n] || t[1:{LEADING_TOKENS}] || [t[i] FOR i IN range(2, n + 1, 2)]
+  ]) AS key FROM parts
+),
+common AS (
+  SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, text, key FROM keys) GROUP BY key HAVING count(*) >= {MIN_DOCS}
+),
+gone AS (SELECT doc_id, text, list(DISTINCT line) AS gone FROM keys JOIN common USING (key) WHERE doc_id > first GROUP BY doc_id, text)
+SELECT d.doc_id, CASE WHEN gone IS NULL THEN d.text ELSE array_to_string([l FOR l, i IN string_split(d.text, chr(10)) IF NOT list_contains(gone, i - 1)], chr(10)) END AS text,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": WARC_SQL, "op7_line_dedup": LINES_SQL}
