@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.common import Workspace
 from factloom.llm.decontaminate import without_contaminated
@@ -18,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur across documents."""
-    return dedup_lines(docs).drop("n_lines", "n_dropped")
+    """Documents without the lines that recur across different texts; those that lose all their words go."""
+    left = dedup_lines(docs, distinct_texts=True)
+    return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]")).drop("n_lines", "n_dropped")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ a template, whatever stands in its variable fields. That is the leaf's similarit
 independent of the order of lines and exact under hashing. A template found in min_docs documents or more is
 boilerplate: its lines go from every document but the one with the smallest doc_id.
 
+With distinct_texts, which the pipeline sets, min_docs counts different texts: the copies of a text count as one
+document, that of their smallest doc_id, and all of them keep or lose the same lines, so that they stay copies.
+
 Defined cases: a null text stays null and an empty text empty; lines of under min_tokens tokens always stay;
 rows without doc_id count as documents but lose nothing, repeated rows count as documents and keep or lose the
 same lines; a line repeated inside one document only stays; ties on doc_id both keep. Other columns pass through.
@@ -45,27 +48,39 @@ def template_keys(toks: Column, min_tokens: int = MIN_TOKENS, leading: int = LEA
     return F.when(n >= min_tokens, F.array(*[F.xxhash64(F.lit(k), n, lead, part) for k, part in enumerate(halves)]))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING_TOKENS) -> DataFrame:
+def _one_of_copies(work: Workspace, parsed: DataFrame) -> DataFrame:
+    """One row of each text, with the smallest doc_id of its copies."""
+    least = F.min(F.struct(F.col("__id").isNull(), "__id", "__at")).alias("m")
+    copied = parsed.groupBy("__row").agg(F.count("*").alias("n"), least).filter("n > 1")
+    copied = work.table(copied.select("__row", F.col("m.__at").alias("__one")), "copied")
+    return with_small(parsed, copied, ["__row"], "left", F.lit(16)).filter("__one is null or __one = __at").drop("__one")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING_TOKENS, distinct_texts: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text, and the columns n_lines and n_dropped."""
     if leading >= min_tokens:
         raise ValueError("a template needs a token beyond the leading ones")
     work = Workspace(docs.sparkSession, "lines")
     lines = F.transform(F.split(F.col(text), "\n"), tokens)
     parsed = docs.filter(F.col(text).isNotNull()).select(
+        F.monotonically_increasing_id().alias("__at"),
         F.col(doc_id).alias("__id"),
         F.xxhash64(text).alias("__row"),
         F.transform(lines, lambda t: template_keys(t, min_tokens, leading)).alias("__keys"),
     )
     parsed = work.table(parsed, "parsed")  # one pass over the texts; all that follows reads hashes
+    on = ["__id", "__row"]
+    if distinct_texts:
+        parsed, on = _one_of_copies(work, parsed), ["__row"]
     each = parsed.select("__id", F.explode(F.array_distinct(F.flatten(F.filter("__keys", lambda k: k.isNotNull())))).alias("__key"))
     common = each.groupBy("__key").agg(F.count("*").alias("__docs"), F.min("__id").alias("__first")).filter(F.col("__docs") >= min_docs)
     common = work.table(common.select("__key", "__first"), "common")
     placed = parsed.select("__id", "__row", F.posexplode("__keys").alias("__line", "__key")).select("__id", "__row", "__line", F.explode("__key").alias("__key"))
     dropped = with_small(placed, common, ["__key"], "inner", F.lit(24)).filter("__id > __first")
-    dropped = dropped.groupBy("__id", "__row").agg(F.collect_set("__line").alias("__gone"))
+    dropped = dropped.groupBy(*on).agg(F.collect_set("__line").alias("__gone"))
     dropped = work.table(dropped, "dropped")
-    at = docs.withColumns({"__id": F.col(doc_id), "__row": F.xxhash64(text)})
-    joined = with_small(at, dropped, ["__id", "__row"], "left", 40 + 4 * F.size("__gone"))
+    at = docs.withColumns({"__id": F.col(doc_id), "__row": F.when(F.col(doc_id).isNotNull(), F.xxhash64(text))})
+    joined = with_small(at, dropped, on, "left", 40 + 4 * F.size("__gone"))
     all_lines = F.split(F.col(text), "\n")
     left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumns(

@@ -26,3 +26,19 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) == 10
+
+
+def test_copies_reach_the_join_whole(spark):
+    """Groups of exact copies: one whole document of each stays, and none that line dedup empties."""
+    text = lambda k: "\n".join(f"{w} group {'abcd'[k]} tells its own story of {w} here" for w in ("first", "second", "third"))
+    shared = [f"subscribe {x} to our weekly letter for more" for x in ("now", "today")]
+    rows = [(k, text(0)) for k in range(3)] + [(10 + k, text(1) + "\n" + shared[0]) for k in range(1000)]
+    rows += [(2000, text(2) + "\n" + shared[0]), (2001, text(3) + "\n" + shared[0]), (2002, shared[0]), (2002, shared[0]), (None, text(0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.line_dedup(spark, docs, "")
+    got = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert left.count() == len(rows) - 2 and 2002 not in got
+    assert {got[k] for k in range(3)} == {text(0)} and {got[10 + k] for k in range(1000)} == {rows[3][1]}
+    assert (got[2000], got[2001], got[None]) == (text(2), text(3), text(0))
+    kept = corpus_pipeline.ngram_jaccard_join(spark, left, "").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(True, 0, text(0)), (True, 10, rows[3][1]), (True, 2000, text(2)), (True, 2001, text(3)), (False, 0, text(0))])
