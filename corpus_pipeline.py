@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import Workspace
 from factloom.llm.decontaminate import without_contaminated
-from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.line_dedup import LONG_TOKENS, dedup_lines
 from factloom.llm.ngram_join import one_of_each
 from factloom.llm.quality_rules import filter_quality
 from factloom.llm.sentencepieces import encode_texts
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur across different texts; those that lose all their words go."""
-    left = dedup_lines(docs, distinct_texts=True)
+    """Documents without the lines that recur across different texts, long ones from two on; those that lose all their words go."""
+    left = dedup_lines(docs, distinct_texts=True, long_tokens=LONG_TOKENS)
     return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]")).drop("n_lines", "n_dropped")
 
 

@@ -9,6 +9,8 @@ boilerplate: its lines go from every document but the one with the smallest doc_
 
 With distinct_texts, which the pipeline sets, min_docs counts different texts: the copies of a text count as one
 document, that of their smallest doc_id, and all of them keep or lose the same lines, so that they stay copies.
+With long_tokens, which the pipeline sets too, a line of so many tokens or more that is found entirely equal, variable
+tokens included, in two documents is boilerplate as well; min_docs holds for templates only.
 
 Defined cases: a null text stays null and an empty text empty; lines of under min_tokens tokens always stay;
 rows without doc_id count as documents but lose nothing, repeated rows count as documents and keep or lose the
@@ -25,6 +27,8 @@ from factloom.llm.common import Workspace, with_small
 MIN_TOKENS = 5
 LEADING_TOKENS = 3
 MIN_DOCS = 3
+#: Tokens from which on an equal line of two documents is a repeated passage.
+LONG_TOKENS = 50
 #: A token with a digit; possessive, so that the engine tries each word once.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
@@ -56,24 +60,36 @@ def _one_of_copies(work: Workspace, parsed: DataFrame) -> DataFrame:
     return with_small(parsed, copied, ["__row"], "left", F.lit(16)).filter("__one is null or __one = __at").drop("__one")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING_TOKENS, distinct_texts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING_TOKENS, distinct_texts: bool = False, long_tokens: int | None = None) -> DataFrame:
     """docs with the recurring lines taken out of text, and the columns n_lines and n_dropped."""
     if leading >= min_tokens:
         raise ValueError("a template needs a token beyond the leading ones")
     work = Workspace(docs.sparkSession, "lines")
-    lines = F.transform(F.split(F.col(text), "\n"), tokens)
+    # the lowest bit of a key says whether it is a whole line's
+    passage = lambda line: F.array(F.xxhash64(F.trim(line)).bitwiseOR(F.lit(1)))
+
+    def keys(line: Column) -> Column:
+        toks = tokens(line)
+        found = template_keys(toks, min_tokens, leading)
+        if long_tokens is None:
+            return found
+        found = F.transform(found, lambda k: k.bitwiseAND(F.lit(-2)))
+        return F.when(F.size(toks) >= max(long_tokens, min_tokens), F.concat(found, passage(line))).otherwise(found)
+
     parsed = docs.filter(F.col(text).isNotNull()).select(
         F.monotonically_increasing_id().alias("__at"),
         F.col(doc_id).alias("__id"),
         F.xxhash64(text).alias("__row"),
-        F.transform(lines, lambda t: template_keys(t, min_tokens, leading)).alias("__keys"),
+        F.transform(F.split(F.col(text), "\n"), keys).alias("__keys"),
     )
     parsed = work.table(parsed, "parsed")  # one pass over the texts; all that follows reads hashes
     on = ["__id", "__row"]
     if distinct_texts:
         parsed, on = _one_of_copies(work, parsed), ["__row"]
     each = parsed.select("__id", F.explode(F.array_distinct(F.flatten(F.filter("__keys", lambda k: k.isNotNull())))).alias("__key"))
-    common = each.groupBy("__key").agg(F.count("*").alias("__docs"), F.min("__id").alias("__first")).filter(F.col("__docs") >= min_docs)
+    common = each.groupBy("__key").agg(F.count("*").alias("__docs"), F.min("__id").alias("__first"))
+    least = F.lit(min_docs) if long_tokens is None else F.when(F.col("__key").bitwiseAND(F.lit(1)) == 1, F.lit(2)).otherwise(F.lit(min_docs))
+    common = common.filter(F.col("__docs") >= least)
     common = work.table(common.select("__key", "__first"), "common")
     placed = parsed.select("__id", "__row", F.posexplode("__keys").alias("__line", "__key")).select("__id", "__row", "__line", F.explode("__key").alias("__key"))
     dropped = with_small(placed, common, ["__key"], "inner", F.lit(24)).filter("__id > __first")

@@ -42,3 +42,12 @@ def test_copies_reach_the_join_whole(spark):
     assert (got[2000], got[2001], got[None]) == (text(2), text(3), text(0))
     kept = corpus_pipeline.ngram_jaccard_join(spark, left, "").collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(True, 0, text(0)), (True, 10, rows[3][1]), (True, 2000, text(2)), (True, 2001, text(3)), (False, 0, text(0))])
+
+
+def test_passages_of_two_documents(spark):
+    """A long line of two different texts stays in the first only; short and merely similar ones stay in both."""
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    near, short = long[::-1], "a short line of seven words only"
+    rows = [(1, f"one begins\n{long}\n{short}"), (2, f"two begins\n{long} \n{short}"), (3, f"three begins\n{near} other"), (6, f"six begins\n{near} one"), (4, f"four\n{'9 ' * 60}"), (5, f"five\n{'8 ' * 60}")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {k: t for k, t in rows} | {2: f"two begins\n{short}"}
