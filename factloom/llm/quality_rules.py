@@ -3,7 +3,8 @@
 A text's character-class histogram and its common-word histogram are compared with those of each reference
 language by Jensen-Shannon distance (base 2, square root); the nearest language counts. A text is rejected if its
 character distance exceeds MAX_CHAR_DISTANCE, or its word distance MAX_WORD_DISTANCE, each by more than
-1 / sqrt(n) for the n characters or words counted: a histogram of few samples strays that far by chance. Texts of
+1 / sqrt(n) for the n characters or words counted: a histogram of few samples strays that far by chance. That both
+stray by chance is unlikely, so a text is rejected too if both distances exceed their plain limits. Texts of
 fewer than MIN_CHARS characters or MIN_WORDS words are too short for a histogram and pass that rule.
 
 Defined cases: a null text counts as empty; an empty text fails the base rule (fewer than 50 words); rows
@@ -177,7 +178,8 @@ def _verdict(measured: DataFrame, max_char: float, max_word: float) -> DataFrame
     guarded = (F.col("chars") < MIN_CHARS) | (F.col("n_words") < MIN_WORDS)
     chance = lambda n: 1 / F.sqrt(F.greatest(F.col(n), F.lit(1)))
     fits = guarded | ((F.col("char_distance") <= max_char + chance("chars")) & (F.col("word_distance") <= max_word + chance("n_words")))
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & fits})
+    both = ~guarded & (F.col("char_distance") > max_char) & (F.col("word_distance") > max_word)
+    return measured.withColumns({"base_failed": failed, "kept": ~failed & fits & ~both})
 
 
 def filter_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:

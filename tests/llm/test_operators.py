@@ -103,6 +103,16 @@ def test_quality_rules_keep_clean_texts(spark):
     assert quality_rules.filter_quality(frame(spark, []).limit(0)).count() == 0
 
 
+def test_quality_rules_reject_short_junk(spark):
+    """Short texts that miss both references are rejected; one distance alone has the allowance of chance."""
+    rng = random.Random(5)
+    junk = " ".join("".join(rng.choices("XQZ#$7%w", k=5)) for _ in range(60))
+    odd = " ".join("".join(rng.choices("aeioutnsrldcm", k=6)) for _ in range(60))
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(frame(spark, [junk, odd])).collect()}
+    assert not got[0]["base_failed"] and not got[0]["kept"] and min(got[0]["char_distance"] / 0.2, got[0]["word_distance"] / 0.29) > 1
+    assert got[1]["kept"] and got[1]["char_distance"] <= 0.2 and got[1]["word_distance"] > 0.29
+
+
 def test_js_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.5, 0.5])
     assert quality_rules.js_distance(p, q)[0] == pytest.approx(np.sqrt(0.5)) and quality_rules.js_distance(p, p[0])[0] == 0
