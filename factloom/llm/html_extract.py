@@ -8,7 +8,7 @@ that reach it mark, in their subtree, the node of the largest sum as content. Th
 that holds all marked nodes and the page's first-level heading, or the article or main element around them.
 
 Defined cases: a null html counts as empty; a page without text gives an empty text; unclosed and misplaced tags are
-read as browsers read them, roughly; nesting of any depth is handled without recursion; repeated rows give repeated
+read as browsers read them, roughly; svg is left out and math is text, both nest and may be self-closed; nesting of any depth is handled without recursion; repeated rows give repeated
 rows and null ids and addresses stay; other columns are left out.
 """
 
@@ -26,12 +26,18 @@ from factloom.llm.common import bounded
 
 #: Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dd dt summary".split())
+FOREIGN = frozenset({"svg", "math"})
+#: HTML elements whose start tag ends an open svg or math, unless one of INTEGRATION stands between.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Elements of RAW that show their content or hold other elements, so that a missing end tag doesn't make the rest theirs.
+ONLY_TAG = frozenset({"noscript"})
 #: Elements that end an open one of their kind, up to the element that bounds them.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = frozenset("nav footer aside form head menu dialog button select object embed applet search".split()) | RAW
+DROPPED = frozenset("nav footer aside form head menu dialog button select object embed applet search svg annotation annotation-xml".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 #: Words of a class or id that name something other than the article.
 DROPPED_NAMES = frozenset(
@@ -47,13 +53,14 @@ class Dom:
     """Nodes in page order; node 0 is the body. Texts are (node, text) pairs and block marks (node, None)."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.dropped = ["body"], [-1], [False]
+        self.tag, self.parent, self.dropped, self.foreign = ["body"], [-1], [False], [False]
         self.texts: list[tuple[int, str | None]] = []
 
     def add(self, tag: str, parent: int, dropped: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(dropped or self.dropped[parent])
+        self.foreign.append(self.foreign[parent] or self.tag[parent] in FOREIGN)
         return len(self.tag) - 1
 
     def inside(self, node: int, tags: frozenset | set) -> bool:
@@ -82,8 +89,19 @@ def boilerplate(dom: Dom, tag: str, attributes: str, parent: int) -> bool:
     return False
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """Where the content of an element of RAW and its end tag end; -1 without an end tag. Templates nest."""
+    depth = 1
+    for found in re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if found[1] else tag == "template"
+        if not depth:
+            return found.end()
+    return -1
+
+
 def parse(page: str) -> Dom:
     dom, stack, at = Dom(), [0], 0
+    endless: set[str] = set()  # elements without an end tag in the rest of the page
     size = len(page)
     while at < size:
         found = TAG.search(page, at)
@@ -99,6 +117,9 @@ def parse(page: str) -> Dom:
         if found[1]:
             _close(dom, stack, tag)
             continue
+        inner = dom.tag[stack[-1]] in FOREIGN or dom.foreign[stack[-1]]
+        if inner and tag in BREAKOUT:
+            inner = _break_out(dom, stack)
         if tag in CLOSES_P:
             _end(dom, stack, {"p"}, BLOCK - {"p"})
         if tag in SIBLINGS:
@@ -108,14 +129,29 @@ def parse(page: str) -> Dom:
         if tag in VOID:
             continue
         node = dom.add(tag, stack[-1], boilerplate(dom, tag, found[3], stack[-1]))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+        if found[3].endswith("/") and (inner or tag in FOREIGN):
+            continue
+        if tag in RAW and not (inner and tag == "title"):
+            end = -1 if tag in endless else _raw_end(page, at, tag)
+            if end < 0:
+                endless.add(tag)
+            at = end if end >= 0 else at if tag in ONLY_TAG else size
         else:
             stack.append(node)
     return dom
 
 
+def _break_out(dom: Dom, stack: list[int]) -> bool:
+    """Ends the open svg or math; whether the place is inside foreign content still."""
+    for k in range(len(stack) - 1, 0, -1):
+        if dom.tag[stack[k]] in INTEGRATION:
+            return True
+        if dom.tag[stack[k]] in FOREIGN and not dom.foreign[stack[k]]:
+            del stack[k:]
+            return False
+    return False
+
+
 def _close(dom: Dom, stack: list[int], tag: str) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if dom.tag[stack[k]] == tag:
@@ -165,7 +201,7 @@ def article_root(dom: Dom) -> int:
         up = dom.parent[k]
         chars[up] += chars[k]
         links[up] += links[k]
-        tags[up] += tags[k] + 1
+        tags[up] += tags[k] + (not dom.foreign[k])
         link_tags[up] += link_tags[k] + (dom.tag[k] == "a")
     body_links = links[0] / max(chars[0], 1)
     dense = [density(chars[k], tags[k], links[k], link_tags[k], body_links) for k in range(n)]

@@ -422,6 +422,21 @@ def test_html(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<p>one <svg class=x/> two</p><p>three <svg><svg><text>gone</text></svg><path/>gone</svg> four</p>", "one two three four"),
+        ("<p>one <svg><path d='x'>gone<p>two</p><p>three</p>", "one two three"),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><math/><p>end</p>", "where x=2 holds end"),
+        ("<p>one</p><noscript><p>two</p>", "one two"),
+        ("<p>one</p><template><template>gone</template>gone</template><p>two</p><noscript>gone</noscript>", "one two"),
+        ("<p>one</p><script>gone<p>gone</p>", "one"),
+    ],
+)
+def test_html_foreign_and_raw_elements(body, want):
+    assert html_extract.main_text(f"<html><body><article>{body}</article></body></html>") == want
+
+
 def test_html_equals_the_articles(spark):
     import html
 
