@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A tolerant scan builds the DOM. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are taken out by element, role or name. Every node left has a composite text density: characters
+and reader comments are taken out by element, role or name; a name counts only if it doesn't stand on the article
+(see drop_named). Every node left has a composite text density: characters
 per tag, adjusted by the share of link characters and link tags. Children's densities are summed at each node; the
 node of the largest sum holds the article, and the least density on its path to the body is the threshold. Nodes
 that reach it mark, in their subtree, the node of the largest sum as content. The article is the smallest subtree
@@ -45,7 +46,10 @@ DROPPED_NAMES = frozenset(
     "newsletter subscribe subscription signup login comment comments commentlist respond disqus replies share sharing social related recommended pagination pager toolbar widget skip".split()
 )
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words after which a name still tells of the word before them, as in comment-list; and first words that tell of another element.
+STRUCTURE = frozenset("area bar block body box col column container content group holder inner item items left link links list outer panel region right row section slot thread top bottom unit wrap wrapper".split())
+OTHERS = frozenset({"has", "no", "with"})
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -54,6 +58,7 @@ class Dom:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.dropped, self.foreign = ["body"], [-1], [False], [False]
+        self.named: dict[int, int] = {}
         self.texts: list[tuple[int, str | None]] = []
 
     def add(self, tag: str, parent: int, dropped: bool) -> int:
@@ -78,17 +83,31 @@ def boilerplate(dom: Dom, tag: str, attributes: str, parent: int) -> bool:
         return True
     if not attributes or tag in {"body", "html", "article", "main"}:
         return False
-    for name, a, b, c in NAMED.findall(attributes):
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" and tag != "span":
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if name in {"class", "id"} and any(w.lower() in DROPPED_NAMES for w in WORD.findall(value)):
-            return True
     return False
 
 
+def named(attributes: str) -> int:
+    """What a class or id says: 0 nothing, 1 a word of boilerplate among others, 2 that the element is boilerplate."""
+    most = 0
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        if key.lower() not in {"class", "id"}:
+            continue
+        for name in (a or b or c).split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if not words or words[0] in OTHERS or not DROPPED_NAMES.intersection(words):
+                continue
+            while words[-1] in STRUCTURE:
+                words.pop()
+            most = max(most, 2 if words[-1] in DROPPED_NAMES else 1)
+    return most
+
+
 def _raw_end(page: str, at: int, tag: str) -> int:
     """Where the content of an element of RAW and its end tag end; -1 without an end tag. Templates nest."""
     depth = 1
@@ -129,6 +148,8 @@ def parse(page: str) -> Dom:
         if tag in VOID:
             continue
         node = dom.add(tag, stack[-1], boilerplate(dom, tag, found[3], stack[-1]))
+        if found[3] and tag != "main" and (name := named(found[3])):
+            dom.named[node] = name
         if found[3].endswith("/") and (inner or tag in FOREIGN):
             continue
         if tag in RAW and not (inner and tag == "title"):
@@ -182,8 +203,52 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
     return max(0.0, chars / tags * math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1)) / math.log(base)) if base > 1 else float(chars) / tags
 
 
-def article_root(dom: Dom) -> int:
-    """The node whose kept text is the article."""
+def drop_named(dom: Dom) -> None:
+    """Drops the elements whose name says boilerplate, unless what they hold says otherwise.
+
+    An element stays if it holds the page's main element, first-level heading or article; an article inside another one,
+    inside an element of such a name while there are articles elsewhere, or of such a name itself isn't the page's. If
+    the name only has a word of boilerplate among others, the element also stays if it is as dense as the article.
+    If no text would be left, the names are wrong and nothing is dropped.
+    """
+    hard, n = dom.dropped, len(dom.tag)
+    if not any(not hard[k] for k in dom.named):
+        return
+
+    def with_dropped(nodes: set[int]) -> list[bool]:
+        out = [False] * n
+        for k in range(1, n):
+            out[k] = hard[k] or k in nodes or out[dom.parent[k]]
+        return out
+
+    suspects = {k for k in dom.named if dom.tag[k] != "article" or dom.named[k] == 2}
+    below = with_dropped(suspects)
+    elsewhere = any(dom.tag[k] in {"article", "main"} and not below[k] for k in range(n))
+    for k in range(n):
+        if hard[k] or not (dom.tag[k] in {"main", "h1"} or dom.tag[k] == "article" and dom.named.get(k) != 2 and not elsewhere and not dom.inside(dom.parent[k], {"article"})):
+            continue
+        up = k
+        while up >= 0:
+            suspects.discard(up)
+            up = dom.parent[up]
+    dom.dropped = with_dropped(suspects)
+    weak = {k for k in suspects if dom.named[k] == 1}
+    if weak:
+        _, _, dense, sums = _densities(dom)
+        top = max(range(n), key=lambda k: (sums[k], -k))
+        least = dense[top]
+        while top >= 0:
+            least, top = min(least, dense[top]), dom.parent[top]
+        dom.dropped = with_dropped(suspects - weak)
+        chars, _, dense, _ = _densities(dom)
+        suspects -= {k for k in weak if chars[k] and dense[k] >= least}
+        dom.dropped = with_dropped(suspects)
+    if not any(text and not text.isspace() and not dom.dropped[node] for node, text in dom.texts):
+        dom.dropped = hard
+
+
+def _densities(dom: Dom) -> tuple[list[int], list[int], list[float], list[float]]:
+    """Characters, link characters, density and sum of the children's densities of each node, without dropped ones."""
     n = len(dom.tag)
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -209,6 +274,13 @@ def article_root(dom: Dom) -> int:
     for k in range(1, n):
         if not dom.dropped[k]:
             sums[dom.parent[k]] += dense[k]
+    return chars, links, dense, sums
+
+
+def article_root(dom: Dom) -> int:
+    """The node whose kept text is the article."""
+    n = len(dom.tag)
+    chars, _, dense, sums = _densities(dom)
     # the node of the largest sum below each node, itself included; the earlier one of equals
     best = list(range(n))
     for k in range(n - 1, 0, -1):
@@ -251,6 +323,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     dom = parse(page)
+    drop_named(dom)
     root = article_root(dom)
     inside = [False] * len(dom.tag)
     inside[root] = True

@@ -437,6 +437,28 @@ def test_html_foreign_and_raw_elements(body, want):
     assert html_extract.main_text(f"<html><body><article>{body}</article></body></html>") == want
 
 
+PROSE = "This is a sentence of the article which is long enough to be dense."
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'data-id="ad"', 'data-x="a" title="class=ad"', 'class="no-sidebar"', 'class="share-price"', 'class="has-sidebar with-banner"', "data-role=navigation"])
+def test_html_attributes_are_names_and_values(attributes):
+    page = f"<body><div class='sidebar'>gone</div><article><h1>Head</h1><p>{PROSE}</p><div {attributes}><p>{PROSE}</p></div></article></body>"
+    assert html_extract.main_text(page) == f"Head {PROSE} {PROSE}"
+    assert html_extract.main_text(f"<body><p>{PROSE} <a href='/hidden-valley'>one</a> <a href=\"/x?id=promo\">two</a></p></body>") == f"{PROSE} one two"
+
+
+def test_html_names_on_the_article():
+    article = f"<article><h1>Head</h1><p>{PROSE}</p><section id='related-work'><h2>Work</h2><p>{PROSE}</p></section></article>"
+    want = f"Head {PROSE} Work {PROSE}"
+    comments = f"<section class='comments'><article class='comment'><p>{PROSE}</p></article><article><p>{PROSE}</p></article></section>"
+    links = "<div class='nav-menu-main'><ul>" + "<li><a href='/x'>link</a></li>" * 9 + "</ul></div>"
+    for name in ("page has-sidebar", "sidebar", "modal widget"):
+        assert html_extract.main_text(f"<body><div class='{name}'>{links}{article}</div><div class=promo>gone</div></body>") == want
+    assert html_extract.main_text(f"<body>{article}{comments}</body>") == want
+    assert html_extract.main_text(f"<body>{article[:-10]}{comments}{links}</article></body>") == want
+    assert html_extract.main_text(f"<body><div class='widget'><p>{PROSE}</p></div></body>") == PROSE
+
+
 def test_html_equals_the_articles(spark):
     import html
 
