@@ -8,12 +8,10 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids that may be broadcast; a long each, so 16 MB at most. Beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
-#: Bytes of other data that may be broadcast.
+#: Bytes of a join's side that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -55,16 +53,51 @@ class Workspace:
                 at.getFileSystem(conf).delete(at, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that runs have left below the shared folder; for after their results have been read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/factloom")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+# ---------------------------------------------------------------- columns
+
+
+def put_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df, its own columns that have one of these names renamed to name_own (or with more _own, as far as taken)."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    new = []
+    for c in df.columns:
+        to = c
+        while c.lower() in {n.lower() for n in names} and (to == c or to.lower() in taken):
+            to += "_own"
+        taken.add(to.lower())
+        new.append(F.col(f"`{c}`").alias(to))
+    return df.select(*new)
+
+
+def packed(df: DataFrame, *without: str) -> Column:
+    """The columns of df but some as one struct of neutral names, which no name of an operator's can clash with."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without], F.lit(0).alias("z")).alias("rest")
+
+
+def unpacked(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of packed(df) again."""
+    return [F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(df.columns) if c not in without]
+
+
 # ---------------------------------------------------------------- joins
 
 
 def by_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """Semi or anti join by a written table of ids: broadcast while it is small, shuffled beyond that."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, on, how)
+    """Semi or anti join by a written table of ids: broadcast while its bytes are few, shuffled beyond that."""
+    size = F.lit(0)
+    for name, kind in ids.dtypes:
+        size = size + 16 + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in {"string", "binary"} else F.lit(0))
+    return with_small(df, ids, on, how, size)
 
 
-def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, row_bytes) -> DataFrame:
+def with_small(df: DataFrame, side: DataFrame, on: str | list[str], how: str, row_bytes: Column) -> DataFrame:
     """Join with a written table whose size is summed first (row_bytes: a column); shuffled if it is large."""
     size = side.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()["b"]
     return df.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, on, how)
@@ -184,14 +217,17 @@ def words_of(column, fold: bool):
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words."""
+    """Hash of each run of k words, by a running Karp-Rabin sum, in slices of about SEGMENT words."""
     n = len(words) - k + 1
+    if n > SEGMENT:
+        return np.concatenate([windows(words[at : min(at + SEGMENT, n) + k - 1], k) for at in range(0, n, SEGMENT)])
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for j in range(k):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
-    return mix(total + np.uint64(k))
+    powers, back = _tables(1 << max(SEGMENT.bit_length(), len(words).bit_length()))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[: len(words)], out=total[1:])
+    # what the sum gains over a window, moved to the same power
+    return mix((total[k:] - total[:n]) * back[:n] + np.uint64(k))
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:

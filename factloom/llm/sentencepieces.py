@@ -7,19 +7,25 @@ Scores are the pieces' log probabilities. A unigram model has them; a BPE model
 Zipf's law makes scores, -log(rank + 2), so that frequent pieces and few pieces win. Its best path need not be the
 path of greedy merges.
 
+Scores are rounded to multiples of 2 ** -24, whose sums are exact, so that equal scores are equal in any order.
+Segmentations of equal score come in the order of their ids. The forward pass keeps, of equal scores, the prefix of
+the least ids, so that the heuristic is exact for this order too: every entry of the agenda stands for one whole
+segmentation, its own best, and the agenda never needs more entries than segmentations are wanted.
+
 No piece has a word-begin mark after another character and none has an unknown character, so all segmentations cut
 there: the lattice falls into words, whose best segmentations and losses of the second best are kept in a bounded
-cache. The N best of a text differ from its best one only at the N - 1 words of the least losses, so A* runs there.
+cache. The N best of a text differ from its best one only at the N - 1 words whose second best costs least (of equal
+ones, those that come first in the order of ids), so A* runs there, and their results are put together exactly.
 
 Defined cases: null and empty texts have no pieces and one segmentation of score 0; characters beyond the vocabulary
 become byte pieces, or the unknown piece where the model has none; the mark U+2581 in a text decodes to a space;
-segmentations of equal score come in the order of their ids; repeated rows give repeated rows; other columns pass
-through encode_texts.
+repeated rows give repeated rows and null ids stay; encoding_report leaves other columns out; encode_texts passes
+them through, own ones named like its output as <name>_own.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import math
 import re
 from array import array
@@ -31,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded
+from factloom.llm.common import bounded, packed, put_aside, unpacked
 
 MARK = "▁"
 N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 700_000, 10.0
+#: Scores are multiples of 1 / UNIT.
+UNIT = 1 << 24
+#: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -61,7 +70,7 @@ class Model:
         proto.ParseFromString(raw)
         kinds = {k: proto.SentencePiece.Type.Value(k) for k in ("NORMAL", "UNKNOWN", "USER_DEFINED", "BYTE", "CONTROL")}
         ranked = proto.trainer_spec.model_type == proto.trainer_spec.ModelType.Value("BPE")
-        pieces, scores = [p.piece for p in proto.pieces], [-math.log(2 - p.score) if ranked else p.score for p in proto.pieces]
+        pieces, scores = [p.piece for p in proto.pieces], [round(UNIT * (-math.log(2 - p.score) if ranked else p.score)) / UNIT for p in proto.pieces]
         ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in {kinds["NORMAL"], kinds["USER_DEFINED"]}}
         bytes_ = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds["BYTE"]}
         if any(MARK in p.lstrip(MARK) for p in ids):
@@ -78,7 +87,7 @@ class Model:
 def lattice(word: str, model: Model) -> list[list[tuple[int, int, float]]]:
     """For each place, the edges that end there: (start, id, score)."""
     size = len(word)
-    ends: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
+    ends: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
     get, scores = model.begins.get, model.scores
     for i in range(size):
         if word[i] not in model.ids:
@@ -92,43 +101,112 @@ def lattice(word: str, model: Model) -> list[list[tuple[int, int, float]]]:
     return ends
 
 
+class Paths:
+    """The best prefix of each place as a tree: place 0 is the root, and a place's parent is where its last piece starts."""
+
+    def __init__(self) -> None:
+        self.parent, self.piece, self.depth, self.jump = [0], [-1], [0], [0]
+
+    def add(self, parent: int, piece: int) -> None:
+        """The next place. Its jump goes up a number of pieces that makes any climb logarithmic."""
+        self.parent.append(parent)
+        self.piece.append(piece)
+        self.depth.append(self.depth[parent] + 1)
+        far = self.jump[parent]
+        again = self.depth[parent] - self.depth[far] == self.depth[far] - self.depth[self.jump[far]]
+        self.jump.append(self.jump[far] if again else parent)
+
+    def order(self, i: int, k: int, j: int, m: int) -> int:
+        """-1 or 1 as the ids of prefix i with piece k come before or after those of prefix j with piece m; 0 if one begins the other."""
+        depth, jump, parent, piece = self.depth, self.jump, self.parent, self.piece
+        least = min(depth[i], depth[j])
+        while depth[i] > least:
+            far = jump[i]
+            i, k = (far, -1) if depth[far] > least else (parent[i], piece[i])
+        while depth[j] > least:
+            far = jump[j]
+            j, m = (far, -1) if depth[far] > least else (parent[j], piece[j])
+        # a piece passed over by a jump isn't known, but the next step, which ends at the same depth, sets it
+        if i == j:
+            return (k > m) - (k < m)
+        while True:
+            far, off = jump[i], jump[j]
+            if far != off:
+                i, j = far, off
+            elif parent[i] == parent[j]:
+                return -1 if piece[i] < piece[j] else 1
+            else:
+                i, j = parent[i], parent[j]
+
+
 def n_best(word: str, model: Model, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations of a word: (score, ids), the best first."""
+    """The n best segmentations of a word: (score, ids), the best first, equal scores in the order of ids."""
     if not word:
         return [(0.0, [])]
-    ends = lattice(word, model)
-    best = [0.0]
+    ends, size = lattice(word, model), len(word)
+    best, paths = [0.0], Paths()
     for edges in ends[1:]:
-        best.append(max([best[i] + s for i, _, s in edges]))
-    # (minus the score of the best whole segmentation, number, score so far, place, (id, start, stop, rest))
-    agenda: list[tuple] = [(-best[-1], 0, 0.0, len(word), None)]
-    pushed, out = 1, []
-    push, pop = heapq.heappush, heapq.heappop
-    while agenda:
-        _, _, score, place, path = pop(agenda)
-        if place == 0:
-            # with those of the nth's score, as far as 4 n, so that equal ones can be put in order
-            if len(out) >= n and score < out[n - 1][0] or len(out) >= 4 * n:
-                break
-            out.append((score, _ids(word, path, model)))
-            continue
-        for i, k, s in ends[place]:
-            push(agenda, (-(score + s + best[i]), pushed, score + s, i, (k, i, place, path)))
-            pushed += 1
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+        top, start, piece = None, 0, 0
+        for i, k, s in edges:
+            reached = best[i] + s
+            if top is None or reached > top or reached == top and paths.order(i, k, start, piece) < 0:
+                top, start, piece = reached, i, k
+        best.append(top)
+        paths.add(start, piece)
+
+    def whole(entry: tuple) -> list[tuple[int, int, int]]:
+        """(start, stop, piece) of the entry's segmentation, from its end."""
+        _, place, first, then, rest = entry
+        own = [(place, then, first)]
+        while place:
+            own.append((paths.parent[place], place, paths.piece[place]))
+            place = paths.parent[place]
+        return own[::-1] + rest
+
+    def before(a: tuple, b: tuple) -> bool:
+        if a[0] != b[0]:
+            return a[0] > b[0]
+        at = paths.order(a[1], a[2], b[1], b[2])
+        return at < 0 if at else [e[2] for e in whole(a)] < [e[2] for e in whole(b)]
+
+    # (score of the whole, place, piece after the place's best prefix, where that piece stops, the edges after it)
+    agenda: list[tuple] = [(best[size], paths.parent[size], paths.piece[size], size, [])]
+    out: list[tuple[float, list[int]]] = []
+    while agenda and len(out) < n:
+        entry = agenda.pop(0)
+        edges = whole(entry)
+        out.append((entry[0], _ids(word, edges, model)))
+        room, behind = n - len(out), 0.0
+        # backwards from the entry's last own place: each other piece that ends at a place of its prefix is a new entry
+        for at in range(len(edges) - 1, -1, -1):
+            _, stop, piece = edges[at]
+            if stop <= entry[1] or not out[1:]:
+                for i, k, s in ends[stop]:
+                    if k == piece and i == edges[at][0]:
+                        continue
+                    score = best[i] + s + behind
+                    if len(agenda) == room and (not room or score < agenda[-1][0]):
+                        continue
+                    new = (score, i, k, stop, edges[at + 1 :])
+                    place = len(agenda)
+                    while place and before(new, agenda[place - 1]):
+                        place -= 1
+                    agenda.insert(place, new)
+                    del agenda[room:]
+            behind += model.unknown_score if piece == model.unknown else model.scores[piece]
+    return out
 
 
 def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
-    """The best segmentation's score and ids, and by how much the second best one's score is less."""
+    """The best segmentation's score and ids, and by how much the second best one's score is less (infinite without one)."""
     size, low = len(word), -math.inf
-    best, second = [low] * (size + 1), [low] * (size + 1)
-    back: list = [None] * (size + 1)
+    best, second, start, piece = [low] * (size + 1), [low] * (size + 1), [0] * (size + 1), [0] * (size + 1)
     best[0] = 0.0
     get, scores, ids = model.begins.get, model.scores, model.ids
     for i in range(size):
         here, other = best[i], second[i]
-        if word[i] not in ids: 
-            _reach(best, second, back, i + 1, here + model.unknown_score, other + model.unknown_score, (i, model.unknown))
+        if word[i] not in ids:
+            _reach(best, second, start, piece, i + 1, here + model.unknown_score, other + model.unknown_score, i, model.unknown)
         for j in range(i + 1, size + 1):
             k = get(word[i:j])
             if k is None:
@@ -139,31 +217,27 @@ def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
                     next_ = other + scores[k]
                     second[j] = best[j] if best[j] > next_ else next_
                     best[j] = reached
-                    back[j] = (i, k)
+                    start[j] = i
+                    piece[j] = k
                 elif reached > second[j]:
                     second[j] = reached
     out, j = [], size
     while j:
-        i, k = back[j]
-        if k == model.unknown and model.bytes_:
-            out += [model.bytes_[b] for b in reversed(word[i:j].encode())]
-        else:
-            out.append(k)
-        j = i
-    return best[size], out[::-1], best[size] - second[size]
+        out.append((start[j], j, piece[j]))
+        j = start[j]
+    return best[size], _ids(word, out[::-1], model), best[size] - second[size]
 
 
-def _reach(best: list, second: list, back: list, j: int, reached: float, next_: float, edge: tuple[int, int]) -> None:
+def _reach(best: list, second: list, start: list, piece: list, j: int, reached: float, next_: float, i: int, k: int) -> None:
     if reached > best[j]:
-        best[j], second[j], back[j] = reached, max(best[j], next_), edge
+        best[j], second[j], start[j], piece[j] = reached, max(best[j], next_), i, k
     else:
         second[j] = max(second[j], reached)
 
 
-def _ids(word: str, path: tuple | None, model: Model) -> list[int]:
+def _ids(word: str, edges: list[tuple[int, int, int]], model: Model) -> list[int]:
     out = []
-    while path is not None:
-        k, start, stop, path = path
+    for start, stop, k in edges:
         if k == model.unknown and model.bytes_:
             out += [model.bytes_[b] for b in word[start:stop].encode()]
         else:
@@ -177,6 +251,7 @@ class Encoder:
     def __init__(self, model: Model, n: int = N_BEST, most: int = CACHE_WORDS):
         self.model, self.n, self.most = model, n, most
         self.cache: dict[str, tuple] = {}
+        self.alternatives: dict[str, list] = {}
         self.patterns: dict[frozenset, re.Pattern] = {}
 
     def words(self, text: str) -> list[str]:
@@ -196,8 +271,8 @@ class Encoder:
     def entry(self, word: str) -> tuple:
         """(score, packed ids, loss of the second best, the word)."""
         score, ids, loss = viterbi(word, self.model)
-        if loss == 0.0:  # equals come in the order of their ids
-            score, ids = n_best(word, self.model, 2)[0]
+        if loss == 0:  # of equals, the one of the least ids
+            ids = self.of_word(word)[0][1]
         out = (score, array("i", ids).tobytes(), loss, word)
         if len(word) <= 64:
             if len(self.cache) >= self.most:
@@ -205,42 +280,69 @@ class Encoder:
             self.cache[word] = out
         return out
 
-    def best(self, text: str) -> tuple[float, np.ndarray]:
-        entries = self.entries(text)
-        return sum([e[0] for e in entries]), np.frombuffer(b"".join([e[1] for e in entries]), np.int32)
+    def of_word(self, word: str) -> list[tuple[float, list[int]]]:
+        """The word's n best segmentations."""
+        found = self.alternatives.get(word)
+        if found is None:
+            found = n_best(word, self.model, self.n)
+            if len(word) <= 64:
+                if len(self.alternatives) >= self.most // 10:
+                    self.alternatives.clear()
+                self.alternatives[word] = found
+        return found
 
     def entries(self, text: str) -> list[tuple]:
         get, make = self.cache.get, self.entry
         return [get(w) or make(w) for w in self.words(text)]
 
-    def scores(self, entries: list[tuple]) -> list[float]:
-        """Scores of the text's n best segmentations."""
-        return [x[0] for x in self.combined(entries)]
+    def places(self, entries: list[tuple]) -> list[int]:
+        """The words at which the n best segmentations of the text can differ from the best one.
+
+        If a word isn't among the first n - 1 by what its second best costs (and then by the order of the texts' ids
+        that result), they and the best one come before any segmentation that takes another of its pieces.
+        """
+        losses = [e[2] for e in entries]
+        least = bisect_least(losses, self.n - 1)
+        if not least:
+            return []
+        near = [(loss, k) for k, loss in enumerate(losses) if loss <= least[-1]]
+
+        def rank(x: tuple) -> tuple:
+            loss, k = x
+            first, second = self.of_word(entries[k][3])[:2]
+            # an alternative of lesser ids comes first where it stands early, one of greater ids where it stands late
+            return (loss, 0, k) if second[1] < first[1] else (loss, 1, -k)
+
+        return [k for _, k in sorted(near, key=rank)[: self.n - 1]]
 
     def combined(self, entries: list[tuple]) -> list[tuple[float, dict[int, list[int]]]]:
         """The n best as (score, {word's place: its ids, where they aren't the best ones})."""
         total = sum([e[0] for e in entries])
-        losses = [e[2] for e in entries]
-        # an alternative dearer than n - 1 others, each at another word, is in none of the n best: A* for few words
-        places = []
-        for _ in range(self.n - 1):
-            least = min(losses, default=math.inf)
-            if least == math.inf:
-                break
-            places.append(losses.index(least))
-            losses[places[-1]] = math.inf
-        chosen: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
-        for k in places:
-            found = n_best(entries[k][3], self.model, self.n)
-            more = [(loss + found[0][0] - s, had | {k: ids} if r else had) for loss, had in chosen for r, (s, ids) in enumerate(found)]
-            chosen = heapq.nsmallest(self.n, more, key=lambda x: x[0])
-        return [(total - loss, had) for loss, had in chosen]
+        chosen: list[tuple] = [(0.0, [], {})]
+        for k in sorted(self.places(entries)):
+            found = self.of_word(entries[k][3])
+            more = [(loss + found[0][0] - s, order + [ids], had | {k: ids} if r else had) for loss, order, had in chosen for r, (s, ids) in enumerate(found)]
+            chosen = sorted(more, key=lambda x: x[:2])[: self.n]
+        return [(total - loss, had) for loss, _, had in chosen]
+
+    def packed(self, text: str) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text as (score, ids as 32-bit integers)."""
+        entries = self.entries(text)
+        parts = [e[1] for e in entries]
+        out = []
+        for score, had in self.combined(entries):
+            if had:
+                own = parts.copy()
+                for k, ids in had.items():
+                    own[k] = array("i", ids).tobytes()
+                out.append((score, b"".join(own)))
+            else:
+                out.append((score, b"".join(parts)))
+        return out
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text."""
-        entries = self.entries(text)
-        packed = lambda had: [array("i", had[k]).tobytes() if k in had else e[1] for k, e in enumerate(entries)]
-        return [(s, np.frombuffer(b"".join(packed(had)), np.int32).tolist()) for s, had in self.combined(entries)]
+        """The n best segmentations of a text: (score, ids)."""
+        return [(s, np.frombuffer(x, np.int32).tolist()) for s, x in self.packed(text)]
 
     def decode(self, ids) -> str:
         spelled = self.model.spelled
@@ -248,6 +350,16 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+def bisect_least(values: list, n: int) -> list:
+    """The n least finite values, with repeats."""
+    out: list = []
+    for x in values:
+        if x < math.inf and (len(out) < n or x < out[-1]):
+            bisect.insort(out, x)
+            del out[n:]
+    return out
+
+
 _ENCODERS: dict = {}
 
 
@@ -260,55 +372,64 @@ def _encoder(model, n: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _report(model, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+ENCODED = "ids array<int>, score double, n_best_ids array<array<int>>, n_best_scores array<double>, round_trip boolean"
+
 
+def _encode(model, n: int):
+    """Adds to each row its n best segmentations, decodes the best one and says whether that gives the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, n)
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column("text"):
+            held, size, done = [], 0, 0
+            for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
-                entries = encoder.entries(text)
-                packed = b"".join([e[1] for e in entries])
-                ids = np.frombuffer(packed, np.int32)
-                same = encoder.decode(ids.tolist()) == text.replace(MARK, " ")
-                scores = encoder.scores(entries)
-                out.append((len(ids), scores[0], scores, xxhash.xxh3_128_hexdigest(packed), same))
-            kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_pieces", "score", "n_best_scores", "ids_hash", "round_trip"])
+                found = encoder.packed(text)
+                same = encoder.decode(np.frombuffer(found[0][1], np.int32).tolist()) == text.replace(MARK, " ")
+                held.append((found, same))
+                size += sum(len(x) for _, x in found)
+                if size > 8 << 20 or row == batch.num_rows - 1:
+                    yield _encoded(batch.column("rest").slice(done, len(held)), held)
+                    held, size, done = [], 0, row + 1
 
     return run
 
 
-def _shared_model(docs: DataFrame, path: str):
-    """The model's bytes for all executors: a vocabulary file of fixed size, read where the driver is."""
-    with open(path, "rb") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encoding_report(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """(doc_id, n_pieces, score, n_best_scores, ids_hash, round_trip) for each document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded(docs).select("doc_id", "text").mapInArrow(_report(_shared_model(docs, path), n), f"doc_id {kind}, n_pieces long, score double, n_best_scores array<double>, ids_hash string, round_trip boolean")
+def _encoded(rest, held: list[tuple]) -> pa.RecordBatch:
+    every = [x for found, _ in held for x in found]
+    rows = pa.array(np.r_[0, np.cumsum([len(found) for found, _ in held])].astype(np.int32))
+    columns = {
+        "rest": rest,
+        "ids": _lists([found[0][1] for found, _ in held]),
+        "score": pa.array([found[0][0] for found, _ in held], pa.float64()),
+        "n_best_ids": pa.ListArray.from_arrays(rows, _lists([x for _, x in every])),
+        "n_best_scores": pa.ListArray.from_arrays(rows, pa.array([s for s, _ in every], pa.float64())),
+        "round_trip": pa.array([same for _, same in held], pa.bool_()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _encode(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, 2)
-        for batch in batches:
-            found = [encoder.best(text.as_py() or "") for text in batch.column("text")]
-            offsets = np.r_[0, np.cumsum([len(x) for _, x in found])].astype(np.int32)
-            ids = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array([s for s, _ in found], pa.float64())], names=["rest", "ids", "score"])
+def _shared_model(docs: DataFrame, path: str | None):
+    """The model's bytes for all executors: a vocabulary file of fixed size, read where the driver is."""
+    spark = docs.sparkSession
+    with open(path or spark.conf.get("factloom.sentencepiece.model", MODEL), "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
-    return run
+
+def encode_texts(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
+    """docs without text, with ids and score of the best segmentation, all n best ones, and whether ids decode to the text."""
+    docs = put_aside(docs, *[x.split()[0] for x in ENCODED.split(", ")])
+    inner = docs.select(packed(docs, "text"), "text")
+    done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path), n), f"rest {inner.schema['rest'].dataType.simpleString()}, {ENCODED}")
+    return done.select(*unpacked(docs, "text"), "ids", "score", "n_best_ids", "n_best_scores", "round_trip")
 
 
-def encode_texts(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs without text, with ids (array<int>) and score of the best segmentation."""
-    others = [c for c in docs.columns if c != "text"]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("z")).alias("rest"), "text")
-    done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path)), f"rest {inner.schema['rest'].dataType.simpleString()}, ids array<int>, score double")
-    return done.select(*[F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(others) if c not in {"ids", "score"}], "ids", "score")
+def encoding_report(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
+    """(doc_id, n_pieces, score, n_best_scores, n_best_ids, round_trip) for each document."""
+    found = encode_texts(docs.select("doc_id", "text"), path, n)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "n_best_scores", "n_best_ids", "round_trip")

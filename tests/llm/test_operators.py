@@ -493,6 +493,56 @@ def test_n_best_equals_enumeration(model):
         assert ids == want[0][1] and score == pytest.approx(want[0][0]) and (len(want) < 2 or loss == pytest.approx(want[0][0] - want[1][0]))
 
 
+def tiny_model(pieces):
+    """A model of these pieces, name to score."""
+    ids = {p: i + 1 for i, p in enumerate(pieces)}
+    begins = {x[:k]: -1 for x in ids for k in range(1, len(x))} | ids
+    return sentencepieces.Model(["?", *pieces], ids, [-99.0, *pieces.values()], {}, 0, False, -99.0, begins, frozenset("".join(ids)) | {"▁"}, [b"?", *[p.encode() for p in pieces]])
+
+
+def every_segmentation(s, model):
+    if not s:
+        return [(0.0, [])]
+    return [(x + model.scores[i], [i, *rest]) for k in range(1, len(s) + 1) if (i := model.ids.get(s[:k])) for x, rest in every_segmentation(s[k:], model)]
+
+
+@pytest.mark.parametrize("scores", [(-1, -1, -1, -1), (-1, -2, -3, -1), (-2, -3, -4, -1)])
+def test_n_best_of_many_ties_equals_enumeration(scores):
+    model = tiny_model(dict(zip(("a", "aa", "aaa", "b"), map(float, scores), strict=True)))
+    for size in (1, 2, 9, 17):
+        want = sorted(every_segmentation("a" * size, model), key=lambda x: (-x[0], x[1]))
+        for n in (1, 2, 3, 7):
+            assert sentencepieces.n_best("a" * size, model, n) == want[:n]
+    rng = random.Random(8)
+    for _ in range(60):
+        pieces = {p: float(-rng.randint(1, 3)) for p in {*"ab", *("".join(rng.choices("ab", k=rng.randint(2, 4))) for _ in range(6))}}
+        model, word = tiny_model(pieces), "".join(rng.choices("ab", k=rng.randint(1, 11)))
+        want = sorted(every_segmentation(word, model), key=lambda x: (-x[0], x[1]))
+        assert sentencepieces.n_best(word, model, 6) == want[:6]
+        score, _, loss = sentencepieces.viterbi(word, model)
+        assert score == want[0][0] and loss == (want[0][0] - want[1][0] if len(want) > 1 else np.inf)
+
+
+def test_n_best_of_a_long_run_of_ties():
+    """25 letters have 200,000 segmentations of which very many are equal; 20,000 letters are a matter of seconds."""
+    model = tiny_model({"a": -1.0, "aa": -1.0, "b": -1.0})
+    assert [x[1] for x in sentencepieces.n_best("a" * 25, model, 4)] == [[1, *[2] * 12], [2, 1, *[2] * 11], [2, 2, 1, *[2] * 10], [2, 2, 2, 1, *[2] * 9]]
+    assert sentencepieces.n_best("a" * 20_001, model, 2)[1] == (-10_001.0, [2, 1, *[2] * 9_999])
+
+
+def test_text_n_best_with_ties_between_words():
+    """Texts of equal words: what is second best is decided by the ids of the whole text."""
+    rng = random.Random(9)
+    for _ in range(60):
+        pieces = {"▁": -1.0} | {p: float(-rng.randint(1, 2)) for p in sorted({*"ab", *("".join(rng.choices("ab", k=rng.randint(2, 3))) for _ in range(4))} | {"▁" + "".join(rng.choices("ab", k=2))})}
+        model = tiny_model(pieces)
+        words = ["".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(2)]
+        text = " ".join(rng.choices(words, k=3))
+        encoder = sentencepieces.Encoder(model, n=4)
+        want = sorted(every_segmentation(text.replace(" ", "▁"), model), key=lambda x: (-x[0], x[1]))[:4]
+        assert encoder.n_best(text) == want, (pieces, text)
+
+
 def test_n_best_equals_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
