@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.chat_format import chat_report
 from factloom.llm.decontaminate import contaminated
 from factloom.llm.html_extract import extract_pages
-from factloom.llm.line_dedup import LEADING_TOKENS, MIN_DOCS, MIN_TOKENS, dedup_lines
+from factloom.llm.line_dedup import BANDS, KEPT, LEADING_TOKENS, MIN_DOCS, MIN_FIXED, MIN_TOKENS, dedup_lines
 from factloom.llm.ngram_join import jaccard_components
 from factloom.llm.quality_classifier import score_quality
 from factloom.llm.quality_rules import quality_report
@@ -80,24 +80,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payl
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
+#: The tokens of band k of a line t of n tokens, and the bands that each template keeps.
+BAND = "array_to_string(t[{lead} + ({k} * (n - {lead})) // {bands} + 1:{lead} + (({k} + 1) * (n - {lead})) // {bands}], ' ')"
+TEMPLATES = [tuple(range(BANDS)), *KEPT]
+
+
+def _template_sql(kept: tuple[int, ...]) -> str:
+    key = " || chr(1) || ".join([f"'{kept} ' || n", f"array_to_string(t[1:{LEADING_TOKENS}], ' ')", *[BAND.format(k=k, lead=LEADING_TOKENS, bands=BANDS) for k in kept]])
+    sizes = " + ".join(f"(({k} + 1) * (n - {LEADING_TOKENS})) // {BANDS} - ({k} * (n - {LEADING_TOKENS})) // {BANDS}" for k in kept)
+    return key if len(kept) == BANDS else f"CASE WHEN {LEADING_TOKENS} - masked + {sizes} >= {MIN_FIXED} THEN {key} END"
+
+
 LINES_SQL = f"""
 WITH lines AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 tokens AS (
   SELECT doc_id, text, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN regexp_split_to_array(trim(string_split(text, chr(10))[line + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\v\\f\\r]+')] AS t FROM lines
 ),
-parts AS (
-  SELECT *, len(t) AS n, (len(t) - {LEADING_TOKENS}) // 2 AS half FROM tokens WHERE len(t) >= {MIN_TOKENS}
-),
-keys AS (
-  SELECT doc_id, text, line, unnest([
-    [0 || ' ' || n] || t[1:{LEADING_TOKENS} + half],
-    [1 || ' ' || n] || t[1:{LEADING_TOKENS}] || t[{LEADING_TOKENS} + half + 1:],
-    [2 || ' ' || n] || t[1:{LEADING_TOKENS}] || [t[i] FOR i IN range(1, n + 1, 2)],
-    [3 || ' ' || n] || t[1:{LEADING_TOKENS}] || [t[i] FOR i IN range(2, n + 1, 2)]
-  ]) AS key FROM parts
-),
+parts AS (SELECT *, len(t) AS n, len([x FOR x IN t IF x = '<*>']) AS masked FROM tokens WHERE len(t) >= {MIN_TOKENS}),
+keys AS (SELECT doc_id, text, line, unnest([{", ".join(map(_template_sql, TEMPLATES))}]) AS key FROM parts),
 common AS (
-  SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, text, key FROM keys) GROUP BY key HAVING count(*) >= {MIN_DOCS}
+  SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, text, key FROM keys WHERE key IS NOT NULL) GROUP BY key HAVING count(*) >= {MIN_DOCS}
 ),
 gone AS (SELECT doc_id, text, list(DISTINCT line) AS gone FROM keys JOIN common USING (key) WHERE doc_id > first GROUP BY doc_id, text)
 SELECT d.doc_id, CASE WHEN gone IS NULL THEN d.text ELSE array_to_string([l FOR l, i IN string_split(d.text, chr(10)) IF NOT list_contains(gone, i - 1)], chr(10)) END AS text,
