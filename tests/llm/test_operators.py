@@ -351,11 +351,12 @@ def test_line_dedup_recall_and_prose(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
     rows, docs = [], []
-    for _ in range(40):
+    for t in range(120):
         words = [word() for _ in range(rng.randint(9, 30))]
-        fields = rng.sample(range(3, len(words)), rng.randint(1, 4))
+        fields = rng.sample(range(3, len(words)), 1 + t % 4)
         for _ in range(6):
             rows.append([word() if k in fields else w for k, w in enumerate(words)])
+    few = {tuple(x) for x in rows if len(x) >= 14} - {tuple(x) for k, x in enumerate(rows) if k // 6 % 4 == 3}
     rng.shuffle(rows)
     docs = [(k, " ".join(x)) for k, x in enumerate(rows)]
     alike = lambda a, b: len(a) == len(b) and a[:3] == b[:3] and sum(x == y for x, y in zip(a, b, strict=True)) >= max(7, 0.6 * len(a))
@@ -366,6 +367,7 @@ def test_line_dedup_recall_and_prose(spark):
     docs += [(1000 + k, x) for k, x in enumerate(six)] + [(2000 + k, x) for k, x in enumerate(prose)]
     got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("n_dropped > 0").collect()}
     assert len(got & want) >= 0.9 * len(want) and not {k for k in got if k < 1000} - want
+    assert {k for k in want if tuple(rows[k]) in few} <= got  # up to three fields: all of them
     assert {k for k in got if k >= 1000} == set(range(1001, 1006))
 
 
