@@ -8,11 +8,16 @@ on. The item's coverage is the share of its words under tiles; order doesn't cou
 caught. Every match is a run of shared seeds, so only the document's words around its seeds enter the loop.
 
 A benchmark within BENCHMARK_BYTES is broadcast and its documents are tiled where they are read; a larger one is
-joined to the documents by seeds, with a shuffle.
-
-Defined cases: null and empty texts and items of fewer than MIN_MATCH words match nothing; repeated documents are
-flagged alike and repeated items count once each; rows without doc_id are compared but have a null doc_id;
-an empty table flags nothing; other columns are left out.
+joined to the documents by seeds, with a shuffle. Both ways give the same rows. In the join, rows have keys of their
+own, so ids may be null or repeated. Tiles of the least length that cover the share asked for hold so many seeds that
+an item's most frequent seeds aren't needed: only its rarest ones are joined, at least one of which is shared by
+every document it can flag. A bit map of fixed size keeps seeds that no item has from being shuffled. Texts follow
+only for pairs that share a seed.
+
+Defined cases: null and empty texts and items of fewer than MIN_MATCH words match nothing; repeated documents and
+repeated items give repeated rows; rows without doc_id or item_id are compared and keep their null; ids may be of any
+type; an empty table flags nothing; other columns are left out of contaminated and pass through without_contaminated,
+which drops the flagged rows, those without doc_id too.
 """
 
 from __future__ import annotations
@@ -22,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Workspace, bounded, by_ids, windows, words_of
+from factloom.llm.common import Workspace, bounded, by_ids, packed, unpacked, windows, words_of
 
 MIN_MATCH, COVERAGE, BENCHMARK_BYTES = 5, 0.5, 16 << 20
-FLAGGED = "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double, contaminated boolean"
+FLAGGED = "n_tiles long, covered_words long, item_words long, coverage double, contaminated boolean"
+#: Bits of the map of benchmark seeds, as a power of two: 16 MB, whatever the benchmark's size.
+SEED_BITS = 27
 
 
 # ---------------------------------------------------------------- tiling of two word sequences
@@ -141,18 +148,19 @@ def around(words: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
     return np.insert(out, gaps, np.uint64(0))
 
 
-def _rows(doc_ids, found: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage", "contaminated"]
-    kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_()]
-    columns = list(zip(*found, strict=True)) or [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _flags(tag: str, rest, ids, found: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    """Rows of (row, item, tiles, covered words, item's words): rest of the row, id of the item, and the figures."""
+    row, item, n, size, words = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    columns = {tag: rest.take(pa.array(row)), "item_id": ids.take(pa.array(item)), "n_tiles": pa.array(n), "covered_words": pa.array(size), "item_words": pa.array(words)}
+    columns |= {"coverage": pa.array(size / words), "contaminated": pa.array(np.ones(len(row), bool))}
+    return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns.values()], names=list(columns))
 
 
 def _flag_broadcast(index, least: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = index.value
+        held, item_ids = index.value
         for batch in batches:
-            ids, found = batch.column("doc_id"), []
+            found = []
             for lo, hi, words, bounds in words_of(batch.column("text"), fold=True):
                 hashes = windows(words, least)
                 if not len(hashes):
@@ -164,26 +172,52 @@ def _flag_broadcast(index, least: int, share: float):
                     a, b = int(bounds[row]), int(bounds[row + 1])
                     mine = words[a:b]
                     for k, places in held.candidates(hashes[a : max(a, b - least + 1)]):
-                        item_id, item = held.items[k]
+                        at, item = held.items[k]
                         n, size = covered(around(mine, places, least), item, least)
                         if size >= share * len(item):
-                            found.append((ids[lo + int(row)].as_py(), item_id, n, size, len(item), size / len(item), True))
+                            found.append((lo + int(row), at, n, size, len(item)))
             if found:
-                yield _rows(ids, found)
+                yield _flags("rest", batch.column("rest"), item_ids, found)
 
     return run
 
 
-def _seeds(least: int, key: str):
-    """(seed, key) of each text."""
+def _each_words(column) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, words) of each text."""
+    for lo, hi, words, bounds in words_of(column, fold=True):
+        for row in range(lo, hi):
+            yield row, words[bounds[row - lo] : bounds[row - lo + 1]]
+
+
+def _item_seeds(least: int):
+    """(seed, item, n, words): each seed of an item, how often it has it, and the item's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(key)
-            for lo, hi, words, bounds in words_of(batch.column("text"), fold=True):
-                for row in range(lo, hi):
-                    seeds = np.unique(windows(words[bounds[row - lo] : bounds[row - lo + 1]], least))
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array([keys[row].as_py()] * len(seeds), pa.int64())], names=["seed", key])
+            for row, words in _each_words(batch.column("text")):
+                seeds, n = np.unique(windows(words, least), return_counts=True)
+                key = batch.column("item")[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.full(len(seeds), key, np.int64)), pa.array(n), pa.array(np.full(len(seeds), len(words), np.int64))], names=["seed", "item", "n", "words"])
+
+    return run
+
+
+def _doc_seeds(least: int, bits):
+    """(seed, doc) of the documents' seeds that an item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in batches:
+            keys = batch.column("doc").to_numpy(zero_copy_only=False)
+            seeds, docs = [], []
+            for row, words in _each_words(batch.column("text")):
+                found = windows(words, least)
+                place = found >> np.uint64(64 - SEED_BITS)
+                found = np.unique(found[(known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1])
+                seeds.append(found)
+                docs.append(np.full(len(found), keys[row], np.int64))
+            if seeds:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(docs))], names=["seed", "doc"])
 
     return run
 
@@ -192,43 +226,70 @@ def _flag_pairs(least: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            texts = {name: [words[bounds[r - lo] : bounds[r - lo + 1]] for lo, hi, words, bounds in words_of(batch.column(name), True) for r in range(lo, hi)] for name in ("text", "item_text")}
-            for row in range(batch.num_rows):
-                doc, item = texts["text"][row], texts["item_text"][row]
+            for (row, doc), (_, item) in zip(_each_words(batch.column("text")), _each_words(batch.column("item_text")), strict=True):
                 places = np.flatnonzero(np.isin(windows(doc, least), windows(item, least)))
                 n, size = covered(around(doc, places, least), item, least)
                 if size >= share * len(item):
-                    found.append((batch.column("doc_id")[row].as_py(), batch.column("item_id")[row].as_py(), n, size, len(item), size / len(item), True))
+                    found.append((row, row, n, size, len(item)))
             if found:
-                yield _rows(None, found)
+                yield _flags("doc", batch.column("doc"), batch.column("item"), found)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """One row for each document (doc_id) and benchmark item (item_id) whose coverage reaches the threshold."""
+def _candidates(work: Workspace, docs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    """(doc, item) pairs that share one of the item's rarest seeds."""
     spark = docs.sparkSession
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    seeds = work.table(items.mapInArrow(_item_seeds(least), "seed long, item long, n long, words long"), "seeds")
+    seeds = seeds.join(seeds.groupBy("seed").agg(F.sum("n").alias("often")), "seed")
+    # a tile covers `least` words for its first seed and one more for each other: so many places are shared at least
+    total, shared = F.col("words") - least + 1, F.ceil(share * F.col("words") / least)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("item").orderBy("often", "seed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = work.table(seeds.withColumn("before", before).filter(F.col("before") <= total - shared).select("seed", "item"), "rare")
+    place = rare.select(F.shiftrightunsigned("seed", 64 - SEED_BITS).alias("at"))
+    words = place.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).collect()  # of a fixed number at most
+    bits = np.zeros(1 << SEED_BITS - 6, np.int64)
+    for x in words:
+        bits[x["word"]] = x["bits"]
+    known = spark.sparkContext.broadcast(bits.view(np.uint64))
+    doc_seeds = bounded(docs).select("doc", "text").mapInArrow(_doc_seeds(least, known), "seed long, doc long")
+    return work.table(doc_seeds.join(rare, "seed").select("doc", "item").distinct(), "pairs")
+
+
+def _contaminated(texts: DataFrame, benchmark: DataFrame, least: int, share: float, benchmark_bytes: int) -> DataFrame:
+    """(rest, item_id, figures) of texts (rest, text)."""
+    spark = texts.sparkSession
+    kinds = f"rest {dict(texts.dtypes)['rest']}, item_id {dict(benchmark.dtypes)['item_id']}, {FLAGGED}"
+    items = benchmark.filter("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     if size <= benchmark_bytes:
-        rows = items.collect()
-        column = pa.array([r["text"] for r in rows], pa.string())
-        words = [found[bounds[r - lo] : bounds[r - lo + 1]] for lo, hi, found, bounds in words_of(column, True) for r in range(lo, hi)]
-        held = [(r["item_id"], w) for r, w in zip(rows, words, strict=True) if len(w) >= min_match]
-        index = spark.sparkContext.broadcast(Index(held, min_match))
-        return bounded(texts).mapInArrow(_flag_broadcast(index, min_match, coverage), FLAGGED)
+        rows = items.toArrow()
+        held = [(row, words) for row, words in _each_words(rows.column("text").combine_chunks()) if len(words) >= least]
+        index = spark.sparkContext.broadcast((Index(held, least), rows.column("item_id").combine_chunks()))
+        return bounded(texts).mapInArrow(_flag_broadcast(index, least, share), kinds)
     work = Workspace(spark, "decontaminate")
-    doc_seeds = bounded(texts).mapInArrow(_seeds(min_match, "doc_id"), "seed long, doc_id long")
-    item_seeds = items.mapInArrow(_seeds(min_match, "item_id"), "seed long, item_id long")
-    pairs = work.table(doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id").distinct(), "pairs")
-    near = by_ids(texts, work.table(pairs.select("doc_id").distinct(), "near"), "doc_id", "left_semi")
-    both = pairs.join(near, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return bounded(both).mapInArrow(_flag_pairs(min_match, coverage), FLAGGED)
+    docs = work.table(texts.withColumn("doc", F.monotonically_increasing_id()), "docs")
+    items = work.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    pairs = _candidates(work, docs, items, least, share)
+    near = by_ids(docs.select("doc", "text"), work.table(pairs.select("doc").distinct(), "near"), "doc", "left_semi")
+    both = pairs.join(near, "doc").join(items.select("item", F.col("text").alias("item_text")), "item")
+    found = bounded(both).select("doc", "item", "text", "item_text").mapInArrow(_flag_pairs(least, share), f"doc long, item_id long, {FLAGGED}").withColumnRenamed("item_id", "item")
+    out = found.join(docs.select("doc", "rest"), "doc").join(items.select("item", "item_id"), "item")
+    return out.select("rest", "item_id", *[x.split()[0] for x in FLAGGED.split(", ")])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """One row for each document (doc_id) and benchmark item (item_id) whose coverage reaches the threshold."""
+    texts = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id").alias("rest"), "text")
+    return _contaminated(texts, benchmark, min_match, coverage, benchmark_bytes).select("rest.doc_id", "item_id", *[x.split()[0] for x in FLAGGED.split(", ")])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the flagged ones."""
+    """docs without the flagged rows: those of a flagged doc_id, or of a flagged text where doc_id is null."""
     work = Workspace(docs.sparkSession, "clean")
-    flagged = work.table(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "flagged")
-    return by_ids(docs, flagged, "doc_id", "left_anti")
+    key = lambda d: F.coalesce(d.cast("string"), F.lit(""))
+    at = docs.select(packed(docs), F.struct(key(F.col("doc_id")).alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("row")).alias("doc_id"), "text")
+    flagged = contaminated(at, benchmark, **options).select(F.xxhash64("doc_id.id", "doc_id.row").alias("at")).distinct()
+    flagged = work.table(flagged, "flagged")
+    left = by_ids(at.withColumn("at", F.xxhash64("doc_id.id", "doc_id.row")), flagged, "at", "left_anti")
+    return left.select(*unpacked(docs))

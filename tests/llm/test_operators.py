@@ -224,6 +224,28 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_ways_agree(spark):
+    """Null and repeated ids, repeated rows, repeated words and frequent seeds: both ways give the rows of brute force."""
+    rng = random.Random(6)
+    words = lambda n, of=12: [f"w{rng.randrange(of)}" for _ in range(n)]
+    items = [(7, words(20)), (None, words(30)), (7, words(12)), (8, ["x"] * 40), (9, words(4)), (8, ["x"] * 40), (10, [*"abcdefghij", *"abcdefghij"])]
+    docs = [(None, items[0][1]), (1, items[0][1] + words(5) + items[1][1]), (1, items[1][1][15:] + items[1][1][:15]), (2, ["x"] * 25), (2, ["x"] * 25), (3, ["x"] * 300), (4, words(200)), (5, list("abcdefghij")), (6, [])]
+    frames = spark.createDataFrame([(i, " ".join(t), 1) for i, t in docs], "doc_id int, text string, item_id int"), spark.createDataFrame([(i, " ".join(t), 1) for i, t in items], "item_id int, text string, rest int")
+    want = collections.Counter()
+    for i, d in docs:
+        for j, t in items:
+            size = brute_tiles(d, t, 5) if len(t) >= 5 else 0
+            if len(t) >= 5 and size >= 0.5 * len(t):
+                want[(i, j, size, len(t))] += 1
+    for most in (1 << 20, 0):
+        got = collections.Counter((r["doc_id"], r["item_id"], r["covered_words"], r["item_words"]) for r in decontaminate.contaminated(*frames, benchmark_bytes=most).collect())
+        assert got == want
+        left = decontaminate.without_contaminated(*frames, benchmark_bytes=most)
+        assert left.columns == ["doc_id", "text", "item_id"] and sorted(r["doc_id"] for r in left.collect()) == sorted({i for i, _ in docs if i is not None} - {i for i, *_ in want})
+    names = spark.createDataFrame([("a", "one two three four five six")], "doc_id string, text string")
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(names, names.withColumnRenamed("doc_id", "item_id"), benchmark_bytes=0).collect()] == [("a", "a")]
+
+
 # ---------------------------------------------------------------- 5 chat
 
 
