@@ -9,8 +9,10 @@ that reach it mark, in their subtree, the node of the largest sum as content. Th
 that holds all marked nodes and the page's first-level heading, or the article or main element around them.
 
 Defined cases: a null html counts as empty; a page without text gives an empty text; unclosed and misplaced tags are
-read as browsers read them, roughly; svg is left out and math is text, both nest and may be self-closed; nesting of any depth is handled without recursion; repeated rows give repeated
-rows and null ids and addresses stay; other columns are left out.
+read as browsers read them, roughly: a tag, or a quoted value in it, that never ends takes the rest of the page; svg
+is left out and math is text, both nest and may be self-closed; repeated rows give repeated rows, null ids and
+addresses stay and ids may be of any type; other columns are left out. Nesting of any depth is handled without
+recursion, and the time is in proportion to the page's length whatever its tags.
 """
 
 from __future__ import annotations
@@ -45,11 +47,14 @@ DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices banner popup modal overlay "
     "newsletter subscribe subscription signup login comment comments commentlist respond disqus replies share sharing social related recommended pagination pager toolbar widget skip".split()
 )
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: An attribute and what stands before it; quotes count only where a value begins. Possessive, so nothing is read again.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?+)|'([^']*+)('?+)|([^\s>\"'][^\s>]*+)?+))?+)?+")
 #: Words after which a name still tells of the word before them, as in comment-list; and first words that tell of another element.
 STRUCTURE = frozenset("area bar block body box col column container content group holder inner item items left link links list outer panel region right row section slot thread top bottom unit wrap wrapper".split())
 OTHERS = frozenset({"has", "no", "with"})
-ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Elements of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figure figcaption b i em strong span a".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,7 +62,7 @@ class Dom:
     """Nodes in page order; node 0 is the body. Texts are (node, text) pairs and block marks (node, None)."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.dropped, self.foreign = ["body"], [-1], [False], [False]
+        self.tag, self.parent, self.dropped, self.foreign, self.article = ["body"], [-1], [False], [False], [False]
         self.named: dict[int, int] = {}
         self.texts: list[tuple[int, str | None]] = []
 
@@ -66,25 +71,75 @@ class Dom:
         self.parent.append(parent)
         self.dropped.append(dropped or self.dropped[parent])
         self.foreign.append(self.foreign[parent] or self.tag[parent] in FOREIGN)
+        self.article.append(self.article[parent] or self.tag[parent] in {"article", "main"})
         return len(self.tag) - 1
 
-    def inside(self, node: int, tags: frozenset | set) -> bool:
-        while node >= 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
+
+class Stack:
+    """Open elements, with the places of each tag and of the blocks among them, so that none is searched for."""
+
+    def __init__(self, dom: Dom) -> None:
+        self.dom, self.nodes = dom, [0]
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        for key in self.keys(node):
+            self.where.setdefault(key, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def keys(self, node: int) -> list[str]:
+        tag = self.dom.tag[node]
+        keys = [tag]
+        if tag in BLOCK and tag != "p":
+            keys.append("#block")
+        if tag in INTEGRATION:
+            keys.append("#integration")
+        if tag in FOREIGN and not self.dom.foreign[node]:
+            keys.append("#foreign")
+        return keys
+
+    def last(self, *keys: str) -> int:
+        """The place of the last open element of these, 0 if there is none."""
+        return max([self.where[k][-1] for k in keys if self.where.get(k)], default=0)
+
+    def cut(self, place: int) -> None:
+        """Ends the elements from a place on."""
+        while len(self.nodes) > place:
+            for key in self.keys(self.nodes.pop()):
+                self.where[key].pop()
+
+    def close(self, tag: str) -> None:
+        place = self.last(tag)
+        if place:
+            if tag in BLOCK:
+                self.dom.texts.append((self.nodes[-1], None))
+            self.cut(place)
+
+    def end(self, tags: set, bounds: set) -> None:
+        """Ends an open element of the tags, unless a bound stands between."""
+        place = self.last(*tags)
+        if place and place > self.last(*bounds):
+            self.dom.texts.append((self.nodes[-1], None))
+            self.cut(place)
+
+    def break_out(self) -> bool:
+        """Ends the open svg or math; whether the place is inside foreign content still."""
+        inner, outer = self.last("#integration"), self.last("#foreign")
+        if inner > outer:
+            return True
+        if outer:
+            self.cut(outer)
         return False
 
 
-def boilerplate(dom: Dom, tag: str, attributes: str, parent: int) -> bool:
+def boilerplate(dom: Dom, tag: str, attributes: list[tuple[str, str]], parent: int) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header" and not dom.inside(parent, {"article", "main"}):
+    if tag == "header" and not (dom.article[parent] or dom.tag[parent] in {"article", "main"}):
         return True
     if not attributes or tag in {"body", "html", "article", "main"}:
         return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
+    for name, value in attributes:
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" and tag != "span":
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
@@ -92,106 +147,108 @@ def boilerplate(dom: Dom, tag: str, attributes: str, parent: int) -> bool:
     return False
 
 
-def named(attributes: str) -> int:
-    """What a class or id says: 0 nothing, 1 a word of boilerplate among others, 2 that the element is boilerplate."""
+def named(tag: str, attributes: list[tuple[str, str]]) -> int:
+    """What a class or id says: 0 nothing, 1 a word of boilerplate among others, 2 that the element is boilerplate.
+
+    A word among others says nothing of a paragraph, heading or the like.
+    """
     most = 0
-    for key, a, b, c in ATTRIBUTE.findall(attributes):
-        if key.lower() not in {"class", "id"}:
+    for key, value in attributes:
+        if key not in {"class", "id"}:
             continue
-        for name in (a or b or c).split():
+        for name in value.split():
             words = [w.lower() for w in WORD.findall(name)]
             if not words or words[0] in OTHERS or not DROPPED_NAMES.intersection(words):
                 continue
             while words[-1] in STRUCTURE:
                 words.pop()
             most = max(most, 2 if words[-1] in DROPPED_NAMES else 1)
-    return most
+    return 0 if most == 1 and tag in PROSE else most
 
 
 def _raw_end(page: str, at: int, tag: str) -> int:
     """Where the content of an element of RAW and its end tag end; -1 without an end tag. Templates nest."""
     depth = 1
-    for found in re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*>", re.I).finditer(page, at):
+    for found in re.compile(rf"<(/?){tag}(?![^\s/>])", re.I).finditer(page, at):
         depth += -1 if found[1] else tag == "template"
         if not depth:
-            return found.end()
+            end = page.find(">", found.end())
+            return end + 1 if end >= 0 else len(page)
     return -1
 
 
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+    """The attributes from a place on as (lower-case name, value), where the tag ends, and whether a / stands before its end."""
+    out, size = [], len(page)
+    while True:
+        found = ATTRIBUTE.match(page, at)
+        at = found.end()
+        if found[1]:
+            double, closed, single, ended, plain = found.group(2, 3, 4, 5, 6)
+            if double is not None and not closed or single is not None and not ended:
+                return out, size, False
+            out.append((found[1].lower(), double or single or plain or ""))
+        if at >= size:
+            return out, size, False
+        if page[at] == ">":
+            return out, at + 1, page[at - 1] == "/"
+        if at == found.start():  # a lone character that begins no name
+            at += 1
+
+
 def parse(page: str) -> Dom:
-    dom, stack, at = Dom(), [0], 0
+    dom, at, size = Dom(), 0, len(page)
+    stack = Stack(dom)
     endless: set[str] = set()  # elements without an end tag in the rest of the page
-    size = len(page)
-    while at < size:
-        found = TAG.search(page, at)
-        text = page[at : found.start() if found else size]
+    held = 0  # where text begins that isn't taken yet
+    while True:
+        at = page.find("<", at)
+        found = NAME.match(page, at + 1) if at >= 0 else None
+        if at >= 0 and not found and page[at + 1 : at + 2] not in {"!", "?"}:
+            at += 1
+            continue
+        text = page[held : at if at >= 0 else size]
         if text:
-            dom.texts.append((stack[-1], text))
+            dom.texts.append((stack.nodes[-1], text))
+        if at < 0:
+            return dom
         if not found:
-            break
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag or tag in {"html", "body"}:
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            at = held = end if end > 2 or end == 1 else size
+            continue
+        attributes, at, selfclosed = _attributes(page, found.end())
+        held = at
+        tag = found[2].lower()
+        if tag in {"html", "body"}:
             continue
         if found[1]:
-            _close(dom, stack, tag)
+            stack.close(tag)
             continue
-        inner = dom.tag[stack[-1]] in FOREIGN or dom.foreign[stack[-1]]
+        top = stack.nodes[-1]
+        inner = dom.tag[top] in FOREIGN or dom.foreign[top]
         if inner and tag in BREAKOUT:
-            inner = _break_out(dom, stack)
+            inner = stack.break_out()
         if tag in CLOSES_P:
-            _end(dom, stack, {"p"}, BLOCK - {"p"})
+            stack.end({"p"}, {"#block"})
         if tag in SIBLINGS:
-            _end(dom, stack, *SIBLINGS[tag])
+            stack.end(*SIBLINGS[tag])
+        top = stack.nodes[-1]
         if tag in BLOCK or tag == "br":
-            dom.texts.append((stack[-1], None if tag != "br" else " "))
+            dom.texts.append((top, None if tag != "br" else " "))
         if tag in VOID:
             continue
-        node = dom.add(tag, stack[-1], boilerplate(dom, tag, found[3], stack[-1]))
-        if found[3] and tag != "main" and (name := named(found[3])):
+        node = dom.add(tag, top, boilerplate(dom, tag, attributes, top))
+        if attributes and tag != "main" and (name := named(tag, attributes)):
             dom.named[node] = name
-        if found[3].endswith("/") and (inner or tag in FOREIGN):
+        if selfclosed and (inner or tag in FOREIGN):
             continue
         if tag in RAW and not (inner and tag == "title"):
             end = -1 if tag in endless else _raw_end(page, at, tag)
             if end < 0:
                 endless.add(tag)
-            at = end if end >= 0 else at if tag in ONLY_TAG else size
+            at = held = end if end >= 0 else at if tag in ONLY_TAG else size
         else:
-            stack.append(node)
-    return dom
-
-
-def _break_out(dom: Dom, stack: list[int]) -> bool:
-    """Ends the open svg or math; whether the place is inside foreign content still."""
-    for k in range(len(stack) - 1, 0, -1):
-        if dom.tag[stack[k]] in INTEGRATION:
-            return True
-        if dom.tag[stack[k]] in FOREIGN and not dom.foreign[stack[k]]:
-            del stack[k:]
-            return False
-    return False
-
-
-def _close(dom: Dom, stack: list[int], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if dom.tag[stack[k]] == tag:
-            if tag in BLOCK:
-                dom.texts.append((stack[-1], None))
-            del stack[k:]
-            return
-
-
-def _end(dom: Dom, stack: list[int], tags: set, bounds: set | frozenset) -> None:
-    """Ends an open element of the tags, unless a bound stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        tag = dom.tag[stack[k]]
-        if tag in tags:
-            dom.texts.append((stack[-1], None))
-            del stack[k:]
-            return
-        if tag in bounds:
-            return
+            stack.push(node)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: float) -> float:
@@ -206,7 +263,7 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
 def drop_named(dom: Dom) -> None:
     """Drops the elements whose name says boilerplate, unless what they hold says otherwise.
 
-    An element stays if it holds the page's main element, first-level heading or article; an article inside another one,
+    Names are evidence only. An element stays if it holds the page's main element, first-level heading or article; an article inside another one,
     inside an element of such a name while there are articles elsewhere, or of such a name itself isn't the page's. If
     the name only has a word of boilerplate among others, the element also stays if it is as dense as the article.
     If no text would be left, the names are wrong and nothing is dropped.
@@ -224,13 +281,13 @@ def drop_named(dom: Dom) -> None:
     suspects = {k for k in dom.named if dom.tag[k] != "article" or dom.named[k] == 2}
     below = with_dropped(suspects)
     elsewhere = any(dom.tag[k] in {"article", "main"} and not below[k] for k in range(n))
-    for k in range(n):
-        if hard[k] or not (dom.tag[k] in {"main", "h1"} or dom.tag[k] == "article" and dom.named.get(k) != 2 and not elsewhere and not dom.inside(dom.parent[k], {"article"})):
-            continue
-        up = k
-        while up >= 0:
-            suspects.discard(up)
-            up = dom.parent[up]
+    nested = [False] * n  # inside an article
+    for k in range(1, n):
+        nested[k] = nested[dom.parent[k]] or dom.tag[dom.parent[k]] == "article"
+    holds = [not hard[k] and (dom.tag[k] in {"main", "h1"} or dom.tag[k] == "article" and dom.named.get(k) != 2 and not elsewhere and not nested[k]) for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        holds[dom.parent[k]] = holds[dom.parent[k]] or holds[k]
+    suspects = {k for k in suspects if not holds[k]}
     dom.dropped = with_dropped(suspects)
     weak = {k for k in suspects if dom.named[k] == 1}
     if weak:
@@ -310,12 +367,14 @@ def article_root(dom: Dom) -> int:
 
 def _common(dom: Dom, nodes: list[int]) -> int:
     """The lowest node that holds all of these."""
-    seen: dict[int, int] = {}
+    held = [0] * len(dom.tag)
     for node in nodes:
-        while node >= 0:
-            seen[node] = seen.get(node, 0) + 1
-            node = dom.parent[node]
-    return max(k for k, times in seen.items() if times == len(nodes))
+        held[node] += 1
+    for k in range(len(dom.tag) - 1, 0, -1):
+        if held[k] == len(nodes):
+            return k
+        held[dom.parent[k]] += held[k]
+    return 0
 
 
 def main_text(page: str | None) -> str:

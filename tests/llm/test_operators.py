@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -530,6 +531,38 @@ def test_html_names_on_the_article():
     assert html_extract.main_text(f"<body><div class='widget'><p>{PROSE}</p></div></body>") == PROSE
 
 
+LONG_PROSE = " ".join(f"Sentence number {k} of the article says something that is new." for k in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='content no-sidebar'><p>{LONG_PROSE}</p></div><div class=sidebar>gone</div></body>", LONG_PROSE),
+        (f"<body><div class='layout has-footer'><article><p>{LONG_PROSE}</p></article></div></body>", LONG_PROSE),
+        (f"<body><article><p>{PROSE}</p><p class='notice-of-motion'>Moved.</p><p>{PROSE}</p></article></body>", f"{PROSE} Moved. {PROSE}"),
+        (f"<body><article><p>{PROSE}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article></body>", f"{PROSE} So x=1 holds."),
+        (f"<body><div id=top><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div><div id=middle><h2>Head</h2><p>{LONG_PROSE}</p><p>{PROSE}</p></div><div id=bottom><a href=/c>About</a> <a href=/d>Contact</a></div></body>", f"Head {LONG_PROSE} {PROSE}"),
+        (f"<table><tr><td><a href=/a>One</a><td><p>{LONG_PROSE}<p>{PROSE}</table>", f"{LONG_PROSE} {PROSE}"),
+        (f"<div><p>{LONG_PROSE}</p><p>5 < 6 & 7 > 2 <3</p></div>", f"{LONG_PROSE} 5 < 6 & 7 > 2 <3"),
+        (f"<p title=\"a > b\" data-x='>'>{PROSE}</p>", PROSE),
+        (f"<!-- a > b --><!doctype html><?pi?><p>{PROSE}<!----> end</p><!-- never closed {PROSE}", f"{PROSE} end"),
+    ],
+)
+def test_html_pages_of_other_kinds(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, "<a '" * 250_000, '<a b="' * 160_000, "<div>" * 150_000 + "</p>" * 100_000, "<div>" * 100_000 + "</span>" * 60_000 + "x", "<span>" * 60_000 + "<div></div>" * 40_000, "<ul><li><span>" + "<b>" * 80_000 + "<li></li>" * 40_000, "<script>" + "</scrip" * 120_000, "<template>" * 90_000, "<noscript>" * 90_000, "<!--" * 200_000, "<svg><foreignObject>" + "<g>" * 80_000 + "<p></p>" * 60_000, "<div><header>" * 50_000, "<div class='x-ad'><h1>a" * 30_000, "<article>" * 60_000 + "y", "<" * 900_000, "<a" + " " * 900_000, "<a" + "/ =" * 300_000],
+)
+def test_html_takes_linear_time(page):
+    """Pages of about a megabyte that are all unclosed tags, stray end tags or nesting."""
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 6
+
+
 def test_html_equals_the_articles(spark):
     import html
 
