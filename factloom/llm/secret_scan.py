@@ -6,7 +6,8 @@ that the ledger lacks for its rule version, one copy of each, appends what it fo
 back to all paths that have the blob.
 
 Defined cases: a null text counts as empty; an empty text has no spans; equal versions share one scan; rows
-with a null path are scanned and returned; repeated rows come back repeated; other columns pass through.
+with a null path are scanned and returned; repeated rows come back repeated; paths may be of any type that can be
+compared. Other columns pass through, own ones named blob or spans as <name>_own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Workspace, by_ids
+from factloom.llm.common import Workspace, by_ids, packed, put_aside, unpacked
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "2"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Matches that are summed up one by one; a text of more has its sums put together from blocks of so many.
+BLOCK = 128
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -57,15 +60,28 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     counted = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else hits
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    empty = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["counted"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), (x["counted"] >= rule.least).alias("ok")))).alias("out"))
+
+    def spans(found: Column) -> Column:
+        # arrays grow inside a block only, so that the time is in proportion to the matches
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(found, k * BLOCK + 1, F.lit(BLOCK)), zero, step))
+        return F.transform(F.array(blocks), lambda b: F.flatten(F.zip_with(b, offsets(b), moved)))[0]
+
+    def offsets(blocks: Column) -> Column:
+        begin = F.array(F.lit(0))
+        return F.aggregate(blocks, begin, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])), lambda acc: F.slice(acc, F.lit(1), F.size(blocks)))
+
+    def moved(block: Column, by: Column) -> Column:
+        span = lambda s: F.struct((s["start"] + by).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (s["end"] + by).alias("end"))
+        return F.transform(F.filter(block["out"], lambda s: s["ok"]), span)
 
     found = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), counted.alias("counted"))
-    found = F.aggregate(F.filter(found, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+    found = F.transform(F.array(F.filter(found, lambda x: x["hit"].isNotNull())), spans)[0]
     tried = text.rlike(rule.pattern) if rule.hint is None else text.contains(rule.hint) & text.rlike(rule.pattern)
     return F.when(tried, found).otherwise(F.array().cast(SPAN))
 
@@ -87,22 +103,24 @@ def scan_versions(spark: SparkSession, versions: DataFrame, path: str = "path",
     """
     work = Workspace(spark, "secrets")
     ledger = ledger or f"{work.path}/ledger"
-    content = F.coalesce(F.col(text), F.lit(""))
-    named = versions.withColumn("blob", F.sha2(content, 256))
-    unseen = named.groupBy("blob").agg(F.min(path).alias(path))
+    versions = put_aside(versions, "blob", "spans")
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = versions.select(packed(versions), F.col(f"`{path}`").alias("path"), content.alias("text"), F.sha2(content, 256).alias("blob"))
+    unseen = named.groupBy("blob").agg(F.min("path").alias("path"))
     known = _read_ledger(spark, ledger)
     if known is not None:
         unseen = unseen.join(known.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     # one path stands for each blob, so no text is shuffled to find the copies; a blob of null paths only has its own way
-    unseen = work.table(unseen.select(F.col(path).alias("__path"), F.xxhash64("blob").alias("__key")), "unseen")
-    todo = named.select(F.col(path).alias("__path"), F.xxhash64("blob").alias("__key"), "blob", content.alias("__text"))
-    one = by_ids(todo.filter("__path is not null"), unseen.filter("__path is not null"), ["__path", "__key"], "left_semi")
-    nameless = todo.filter("__path is null").join(unseen.filter("__path is null").select("__key").distinct(), "__key", "left_semi").dropDuplicates(["blob"])
-    scanned = one.unionByName(nameless.select(*one.columns)).select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("__text"), rules).alias("spans"))
+    unseen = work.table(unseen.select("path", F.xxhash64("blob").alias("key")), "unseen")
+    todo = named.select("path", F.xxhash64("blob").alias("key"), "blob", "text")
+    one = by_ids(todo.filter("path is not null"), unseen.filter("path is not null"), ["path", "key"], "left_semi")
+    nameless = by_ids(todo.filter("path is null"), unseen.filter("path is null").select("key").distinct(), "key", "left_semi").dropDuplicates(["blob"])
+    scanned = one.unionByName(nameless.select(*one.columns)).select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
     scanned.write.mode("append").parquet(ledger)
+    work.drop("unseen")
     findings = spark.read.schema(scanned.schema).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
     findings = findings.groupBy("blob").agg(F.first("spans").alias("spans"))  # repeated rows may have been scanned twice
-    return named.join(findings, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    return named.join(findings, "blob", "left").select(*unpacked(versions), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def _read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:

@@ -170,6 +170,23 @@ def test_secret_spans(spark):
     assert secret_scan.secret_report(frame(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_of_texts_full_of_matches(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(("token=abcdefgh1", "secret: short", "AKIA" + "B" * 13, "f" * 33, "é🙂 plain")) for _ in range(n)) for n in (1, 127, 128, 129, 300, 40_000)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.secret_report(frame(spark, texts)).collect()}
+    assert time.perf_counter() - began < 60
+    assert [got[i]["spans"] for i in range(len(texts))] == [",".join(base_spans(t)) for t in texts]
+
+
+def test_secrets_keep_clashing_columns(spark):
+    rows = [(1, "secret=abcdefgh1", 5, 6, 7, 8), (None, "secret=abcdefgh1", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "path int, text string, spans int, blob int, key int, rest int")
+    got = secret_scan.scan_versions(spark, docs)
+    assert got.columns == ["path", "text", "spans_own", "blob_own", "key", "rest", "blob", "spans"]
+    assert {(r["path"], r["spans_own"], r["blob_own"], r["key"], r["rest"], len(r["spans"])) for r in got.collect()} == {(1, 5, 6, 7, 8, 1), (None, 5, 6, 7, 8, 1)}
+
+
 def test_ledger_scans_only_the_unseen(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     versions = lambda rows: spark.createDataFrame(rows, "path string, text string, blob_name string")
