@@ -11,7 +11,7 @@ doubled and control strings get one after their first character; removing them a
 
 Defined cases: null roles and texts count as empty; rows of a null conv_id form a conversation; turns are
 ordered by turn (nulls last), role and text, and repeated rows are turns of their own; an empty table gives an
-empty one; other columns are left out.
+empty one; other columns are left out. Tokens are an estimate by TOKEN and OVERHEAD, not a model's pieces.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     spans = work.table(spans.withColumn("window", F.row_number().over(Window.partitionBy("c").orderBy("first")) - 1), "spans")
     placed = t.join(num.join(spans, ["c", "seg", "bucket"]).select("c", "blk", "n", "idx", "is_sys", "hist", "before", "window"), ["c", "blk", "n"])
     placed = work.table(placed.drop("blk", "n"), "placed")
+    work.keep_only("placed", "spans")
     own = placed.select("conv_id", "c", "window", F.lit(2).alias("rank"), "idx", "role", "text", "tok")
     # a turn reaches at most the next two spans, as the history room is half a span at most
     later = placed.filter("not is_sys").select("conv_id", "c", F.explode(F.array(F.col("window") + 1, F.col("window") + 2)).alias("window"), F.lit(1).alias("rank"), "idx", "role", "text", "tok", "before", "hist")

@@ -36,10 +36,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns it as read again."""
         at = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
@@ -52,6 +54,10 @@ class Workspace:
             with contextlib.suppress(Exception):  # a table that stays is waste, not an error
                 at.getFileSystem(conf).delete(at, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Removes the tables of the run but those that its result is still to be read from; clear removes these later."""
+        self.drop(*(self.names - {*names}))
+
 
 def clear(spark: SparkSession) -> None:
     """Removes all tables that runs have left below the shared folder; for after their results have been read."""

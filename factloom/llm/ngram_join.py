@@ -14,11 +14,13 @@ all that follows joins class representatives.
    shingle by shingle. Links come out as stars again; their components are exact, as only pairs that are
    connected already are left out.
 
-Blocks and clusters over a size limit are dealt to a grid of tasks, each with two of the parts.
+Blocks and clusters over a size limit are dealt to a grid of tasks, each with two of the parts. Shingles are compared
+by 64-bit hashes and whole sets by 128-bit ones; all else is exact.
 
 Defined cases: a text of fewer words than a shingle is one shingle, its whole sequence; null and empty texts have
 no shingle and link with nothing; rows of one doc_id count as one node; rows without doc_id keep their set
-size and get no component; an empty table gives an empty one; other columns are left out.
+size and get no component; doc_id is a long, other types are cast to it; an empty table gives an empty one; other
+columns are left out of jaccard_components and pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -405,6 +407,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, threshold: int =
     links = held.repartition("task").sortWithinPartitions("task").mapInArrow(_verified_stars(threshold), "a long, b long")
     labels = work.table(components(work, links, "label"), "labels")
 
+    work.keep_only("sets", "classes", "labels")
     by_class = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("digest", F.coalesce("label", "c").alias("component_id"))
     joined = rows.join(by_class, "digest", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -11,7 +11,7 @@ n-grams and the model come from these rows. Every document is scored, whole, wit
 their size).
 
 Defined cases: null and empty texts are scored by the length indicator alone; labels that are null or of held-out
-ids are left out and of contradicting labels the larger counts; without labels of both classes all scores are 0.5;
+ids are left out and of contradicting labels the larger counts; of several texts of a labelled id the least is used; without labels of both classes all scores are 0.5;
 a null doc_id is scored and not held out; repeated rows get the same score; other columns are left out.
 """
 
@@ -200,9 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").cast("int").alias("label"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    featured = bounded(rows).mapInArrow(_featured, f"doc_id {kind}, label int, features binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    featured = bounded(rows).mapInArrow(_featured, f"doc_id {kind}, label int, features binary").orderBy("doc_id").collect()
     return fit([np.frombuffer(r["features"], np.int32) for r in featured], np.array([r["label"] for r in featured]))
 
 

@@ -1,11 +1,15 @@
 """Quality rules: base counts, and the divergence of a text from language references.
 
 A text's character-class histogram and its common-word histogram are compared with those of each reference
-language by Jensen-Shannon distance (base 2, square root); the nearest language counts. A text is rejected if its
+language by Jensen-Shannon distance (base 2, square root). One language counts for both: of those that the text isn't
+rejected for, or else of all, the one of the least sum of both distances; a text of another language than these is
+far from all and rejected. A text is rejected for a language if its
 character distance exceeds MAX_CHAR_DISTANCE, or its word distance MAX_WORD_DISTANCE, each by more than
 1 / sqrt(n) for the n characters or words counted: a histogram of few samples strays that far by chance. That both
 stray by chance is unlikely, so a text is rejected too if both distances exceed their plain limits. Texts of
-fewer than MIN_CHARS characters or MIN_WORDS words are too short for a histogram and pass that rule.
+fewer than MIN_CHARS characters are too short for the character rule and pass it, those of fewer than MIN_WORDS words
+pass the word rule, and the rule of both distances is for texts that are long enough for both. With the base rule's own
+least length of base_words = 50 words no text that is kept is too short for the word rule; callers can lower it.
 
 Defined cases: a null text counts as empty; an empty text fails the base rule (fewer than 50 words); rows
 are judged one by one, so repeated rows get the same verdict, and a null doc_id stays; other columns pass through
@@ -16,14 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACE, bounded, text_buffers, windows, words_of
+from factloom.llm.common import SPACE, bounded, packed, text_buffers, unpacked, windows, words_of
 
 MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 200, 50, 0.2, 0.29
 
@@ -88,12 +92,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (half(p) + half(np.broadcast_to(q, p.shape))) / 2))
 
 
-def nearest(counts: np.ndarray, references: dict[str, np.ndarray]) -> np.ndarray:
-    """Distance of each row of counts from the nearest reference; 0 for empty rows."""
+def distances(counts: np.ndarray, references: list[np.ndarray]) -> np.ndarray:
+    """Distance of each row of counts from each reference; 0 for empty rows."""
     total = counts.sum(axis=1, keepdims=True)
     p = counts / np.maximum(total, 1)
-    best = np.min([js_distance(p, np.asarray(q)) for q in references.values()], axis=0)
-    return np.where(total[:, 0] > 0, best, 0.0)
+    return np.where(total > 0, np.stack([js_distance(p, q) for q in references], axis=1), 0.0)
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -139,9 +142,14 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    references = {k: np.array(v) / sum(v) for k, v in CHAR_REFERENCES.items()}
-    common = _words()
+def _measured(max_char: float, max_word: float):
+    return partial(_measure, max_char, max_word)
+
+
+def _measure(max_char: float, max_word: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    references = [np.array(v) / sum(v) for v in CHAR_REFERENCES.values()]
+    languages, common = np.array(list(CHAR_REFERENCES)), _words()
+    shares = [common.shares[x] for x in languages]
     for batch in batches:
         column = batch.column("text").fill_null("")
         n = len(column)
@@ -164,33 +172,38 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_dup_lines"][row] = repeated_lines(text.as_py())
         # code points: bytes inside a code point don't count
         out["word_chars"] = chars[:, :8].sum(axis=1) - chars[:, 5]
+        far, away = distances(chars[:, :8], references), distances(hits, shares)
+        size, n_words = chars[:, :8].sum(axis=1)[:, None], out["n_words"][:, None]
+        long, wordy = size >= MIN_CHARS, n_words >= MIN_WORDS
+        unfit = long & (far > max_char + 1 / np.sqrt(np.maximum(size, 1))) | wordy & (away > max_word + 1 / np.sqrt(np.maximum(n_words, 1))) | long & wordy & (far > max_char) & (away > max_word)
+        each, nearest = np.arange(n), (far + away + 10 * unfit).argmin(axis=1) if n else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(x) for x in out.values()], pa.array(chars[:, :8].sum(axis=1)), pa.array(nearest(chars[:, :8], references)), pa.array(nearest(hits, common.shares))],
-            names=["doc_id", *out, "chars", "char_distance", "word_distance"],
+            [batch.column("doc_id"), *[pa.array(x) for x in out.values()], pa.array(chars[:, :8].sum(axis=1)), pa.array(languages[nearest], pa.string()), pa.array(far[each, nearest]), pa.array(away[each, nearest])],
+            names=["doc_id", *out, "chars", "language", "char_distance", "word_distance"],
         )
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, char_distance double, word_distance double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, language string, char_distance double, word_distance double"
 
 
-def _verdict(measured: DataFrame, max_char: float, max_word: float) -> DataFrame:
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    guarded = (F.col("chars") < MIN_CHARS) | (F.col("n_words") < MIN_WORDS)
+def _verdict(measured: DataFrame, max_char: float, max_word: float, base_words: int) -> DataFrame:
+    failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    chars, words = F.col("chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
     chance = lambda n: 1 / F.sqrt(F.greatest(F.col(n), F.lit(1)))
-    fits = guarded | ((F.col("char_distance") <= max_char + chance("chars")) & (F.col("word_distance") <= max_word + chance("n_words")))
-    both = ~guarded & (F.col("char_distance") > max_char) & (F.col("word_distance") > max_word)
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & fits & ~both})
+    far = chars & (F.col("char_distance") > max_char + chance("chars")) | words & (F.col("word_distance") > max_word + chance("n_words"))
+    both = chars & words & (F.col("char_distance") > max_char) & (F.col("word_distance") > max_word)
+    return measured.withColumns({"base_failed": failed, "kept": ~failed & ~far & ~both})
 
 
-def filter_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def filter_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, base_words: int = 50) -> DataFrame:
     """The rows of docs that are kept, with their own columns; texts are read once and nothing is shuffled."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_id"), F.col("text"))
-    measured = bounded(inner).mapInArrow(_measured, f"doc_id {inner.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
-    return _verdict(measured, max_char, max_word).filter("kept").select(*[F.col("doc_id")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+    inner = docs.select(packed(docs).alias("doc_id"), F.col("text"))
+    measured = bounded(inner).mapInArrow(_measured(max_char, max_word), f"doc_id {inner.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+    return _verdict(measured, max_char, max_word, base_words).filter("kept").withColumnRenamed("doc_id", "rest").select(*unpacked(docs))
 
 
-def quality_report(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """One row per document: base counts, base_failed, kept, and the two distances."""
-    measured = bounded(docs).select("doc_id", "text").mapInArrow(_measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+def quality_report(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, base_words: int = 50) -> DataFrame:
+    """One row per document: base counts, base_failed, kept, and the nearest language with its two distances."""
+    measured = bounded(docs).select("doc_id", "text").mapInArrow(_measured(max_char, max_word), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return _verdict(measured, max_char, max_word).select(*first, "char_distance", "word_distance")
+    return _verdict(measured, max_char, max_word, base_words).select(*first, "language", "char_distance", "word_distance")

@@ -3,8 +3,8 @@
 Reading plans partitions from the sizes of the archive files, takes equality and IN predicates on record_type,
 record_id, target_uri and payload_digest, parses a record's headers first, and goes on to the next record without
 decoding the payload where a predicate fails or the payload isn't wanted. Records are written as gzip members whose
-extra field SL has the member's size, so that the reader can step over them; other gzip members are inflated to find
-their end, and plain archives are stepped over by Content-Length.
+extra field SL has the member's size, so that the reader can step over them; other gzip members, of one record or of
+many, are inflated as a stream, and plain archives are stepped over by Content-Length. A file is one task's.
 
 Options of the reader: payload (default true; else the column is null), verify (default false: recompute digest and
 length of response payloads and fail where they differ), partitionBytes. Of the writer: date, level.
@@ -13,12 +13,14 @@ Writing stages files and renames them at commit, so a lost executor leaves no ha
 
 Defined cases: a null html is an empty payload; a null url has no target; a null page_id has no id header and never
 answers for other records; of repeated rows with the smallest page_id of equal payloads all are responses; an empty
-table gives an archive without records; other columns are left out.
+table writes no archive and reads back as no rows; header bytes that aren't UTF-8 are read with U+FFFD in their
+place; page_id is a long, other types are cast to it; other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -83,7 +85,7 @@ def digest_of(payload: bytes) -> str:
 def fields(head: bytes) -> dict[str, str]:
     """Header lines by lower-case name."""
     lines = (x.partition(b":") for x in head.split(b"\r\n")[1:])
-    return {k.decode().strip().lower(): v.decode().strip() for k, sep, v in lines if sep}
+    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, sep, v in lines if sep}
 
 
 # ---------------------------------------------------------------- reading
@@ -105,8 +107,12 @@ def records(stream, size: int) -> Iterator[Part]:
         if not first.strip(b"\r\n\0"):
             at += len(first)
             continue
+        if first[:2] == b"\x1f\x8b" and not (first[3] == 4 and first[12:14] == b"SL"):
+            stream.seek(at)
+            yield from _inflated(stream)  # all that follows, as members of the stream
+            return
         if first[:2] == b"\x1f\x8b":
-            part, at = _gzip_part(stream, first, at, size)
+            part, at = _gzip_part(stream, first, at)
         else:
             part, at = _plain_part(stream, first, at)
         yield part
@@ -137,32 +143,54 @@ def _plain_part(stream, first: bytes, at: int) -> tuple[Part, int]:
     return Part(head, block), begin + length
 
 
-def _gzip_part(stream, first: bytes, at: int, size: int) -> tuple[Part, int]:
-    if first[3] == 4 and first[12:14] == b"SL":
-        total = struct.unpack("<Q", first[16:24])[0]
-        inflate = zlib.decompressobj(-15)
-        known = inflate.decompress(first[32 : min(len(first), total - 8)], HEAD_BYTES)
-        head, rest = _split_head(known, lambda: _more(inflate, stream))
+def _gzip_part(stream, first: bytes, at: int) -> tuple[Part, int]:
+    total = struct.unpack("<Q", first[16:24])[0]
+    inflate = zlib.decompressobj(-15)
+    known = inflate.decompress(first[32 : min(len(first), total - 8)], HEAD_BYTES)
+    head, rest = _split_head(known, lambda: _more(inflate, stream))
+    length = int(fields(head)["content-length"])
+
+    def block(most: int | None = None) -> bytes:
+        nonlocal rest
+        want = length if most is None else min(most, length)
+        while len(rest) < want:
+            add = _more(inflate, stream)
+            if not add:
+                raise ValueError("a record ends early")
+            rest += add
+        return rest[:want]
+
+    return Part(head, block), at + total
+
+
+def _inflated(stream) -> Iterator[Part]:
+    """Records of gzip members, read one after the other; of a block nothing is kept that isn't asked for."""
+    known, plain = b"", gzip.GzipFile(fileobj=stream)
+    while True:
+        known = known.lstrip(b"\r\n\0") or plain.read(HEAD_BYTES).lstrip(b"\r\n\0")
+        if not known:
+            if not plain.peek(1):
+                return
+            continue
+        head, rest = _split_head(known, lambda: plain.read(HEAD_BYTES))
         length = int(fields(head)["content-length"])
+        taken = rest[:length]
 
         def block(most: int | None = None) -> bytes:
-            nonlocal rest
-            want = length if most is None else min(most, length)
-            while len(rest) < want:
-                add = _more(inflate, stream)
-                if not add:
-                    raise ValueError("a record ends early")
-                rest += add
-            return rest[:want]
-
-        return Part(head, block), at + total
-    inflate, content, chunk, end = zlib.decompressobj(31), [], first, at
-    while not inflate.eof and chunk:
-        content.append(inflate.decompress(chunk))
-        end += len(chunk) - len(inflate.unused_data)
-        chunk = b"" if inflate.eof else stream.read(HEAD_BYTES)
-    head, _, rest = b"".join(content).partition(b"\r\n\r\n")
-    return Part(head, lambda most=None: rest[: min(most or 1 << 62, int(fields(head)["content-length"]))]), end
+            nonlocal taken
+            want = length if most is None else min(most, length)  # noqa: B023  called before the next record
+            if len(taken) < want:
+                taken += plain.read(want - len(taken))
+            return taken[:want]
+
+        yield Part(head, block)
+        left = length - len(taken)
+        known = rest[length:]
+        while left > 0:
+            skipped = len(plain.read(min(left, 1 << 20)))
+            if not skipped:
+                raise ValueError("a record ends early")
+            left -= skipped
 
 
 def _more(inflate, stream) -> bytes:

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -95,6 +96,55 @@ def test_quality_rules(spark):
         assert x["base_failed"] == (n < 50 or 100 * repeated > 50 * n) and (not x["kept"] or not x["base_failed"])
 
 
+def brute_distances(text):
+    """(whether it is rejected for all, language, character distance, word distance) by plain counting."""
+    kinds = ["aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", None, "0123456789", " \t\n\r\x0b\x0c", ".,;:!?'\"()-"]
+    of = lambda c: 3 if ord(c) > 127 else next((k for k, x in enumerate(kinds) if x and c in x), 7)
+    letters, words = collections.Counter(map(of, text)), collections.Counter(WORD.findall(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
+
+    def distance(counts, shares):
+        total, both = sum(counts.values()), 0.0
+        for k in {*counts, *shares}:
+            p, q = counts.get(k, 0) / total if total else 0, shares.get(k, 0)
+            both += (p * math.log2(2 * p / (p + q)) if p else 0) + (q * math.log2(2 * q / (p + q)) if q else 0)
+        return math.sqrt(max(0, both / 2)) if total else 0.0
+
+    lists = {k: dict(zip(x.split()[::2], (float(y) / 100 for y in x.split()[1::2]), strict=True)) for k, x in quality_rules.WORD_REFERENCES.items()}
+    known = {w for x in lists.values() for w in x}
+    seen = collections.Counter()
+    for w, n in words.items():
+        seen[w if w in known else None] += n
+    found, n = [], sum(words.values())
+    for k, (language, shares) in enumerate(quality_rules.CHAR_REFERENCES.items()):
+        char = distance(letters, {j: x / sum(shares) for j, x in enumerate(shares)})
+        word = distance(seen, lists[language] | {None: 1 - sum(lists[language].values())})
+        far = len(text) >= 200 and char > 0.2 + 1 / len(text) ** 0.5 or n >= 50 and word > 0.29 + 1 / n**0.5 or len(text) >= 200 and n >= 50 and char > 0.2 and word > 0.29
+        found.append((far, char + word, k, language, char, word))
+    return min(found)[:1] + min(found)[3:]
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(frame(spark, [*ODD, None, "short junk ### " * 4, "zz! " * 45], 10**6).select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for least in (50, 3):
+        for x in quality_rules.quality_report(docs, base_words=least).collect():
+            text = texts[x["doc_id"]]
+            far, language, char, word = brute_distances(text)
+            assert x["language"] == language and x["char_distance"] == pytest.approx(char, abs=1e-7) and x["word_distance"] == pytest.approx(word, abs=1e-7)
+            n, _, _, _, repeated = base_counts(text)
+            assert x["kept"] == (n >= least and 100 * repeated <= 50 * n and not far)
+
+
+def test_quality_guards(spark):
+    """Texts too short for a histogram pass its rule, if the base rule lets them come to it."""
+    junk = [" ".join(f"XQ{k}Z#{k}" for k in range(n)) for n in (10, 49, 60)]
+    got = [r["kept"] for r in quality_rules.quality_report(frame(spark, junk), base_words=5).orderBy("doc_id").collect()]
+    assert got == [True, False, False]
+    words = [" ".join(f"gleam{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(n)) for n in (49, 60)]
+    assert [(r["kept"], r["word_distance"] > 0.29) for r in quality_rules.quality_report(frame(spark, words), max_char=1.0, max_word=0.1, base_words=5).orderBy("doc_id").collect()] == [(True, True), (False, True)]
+
+
 def test_quality_rules_keep_clean_texts(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     report = quality_rules.quality_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").filter("not base_failed")
@@ -329,6 +379,25 @@ def test_warc_reads_other_archives(spark, tmp_path):
     assert read.filter("target_uri = 'http://a/40000'").select("payload_length").distinct().collect()[0][0] == 40_000
 
 
+def test_warc_members_of_many_records(spark, tmp_path):
+    """Gzip members that hold several records, or a part of one, and header bytes beyond UTF-8."""
+    made = [warc.page_record(i, f"http://a/{i}", b"z" * i, warc.digest_of(b"z" * i), None, "d") for i in (0, 1, 70_000, 200_000, 5)]
+    made[1] = made[1].replace(b"X-Page-Id", b"X-Odd: caf\xe9\r\nX-Page-Id")
+    raw = b"".join(made)
+    Path(tmp_path, "a.warc.gz").write_bytes(gzip.compress(raw))
+    Path(tmp_path, "b.warc.gz").write_bytes(gzip.compress(made[0] + made[1]) + gzip.compress(made[2] + made[3] + made[4]))
+    Path(tmp_path, "c.warc.gz").write_bytes(warc.member(made[0], 1) + warc.member(made[1], 1) + gzip.compress(b"".join(made[2:])))
+    Path(tmp_path, "d.warc.gz").write_bytes(b"".join(gzip.compress(raw[i : i + 999]) for i in range(0, len(raw), 999)))
+    Path(tmp_path, "e.warc").write_bytes(raw)
+    warc.register(spark)
+    for payload in ("true", "false"):
+        rows = spark.read.format("warc").option("verify", payload).option("payload", payload).load(f"file://{tmp_path}").collect()
+        assert sorted(r["payload_length"] for r in rows) == sorted([0, 1, 5, 70_000, 200_000] * 5)
+        assert sum(r["headers"].get("x-odd", "").startswith("caf") for r in rows) == 5
+    wanted = spark.read.format("warc").load(f"file://{tmp_path}").filter("target_uri = 'http://a/70000'").collect()
+    assert len(wanted) == 5 and {len(r["payload"]) for r in wanted} == {70_000}
+
+
 # ---------------------------------------------------------------- 7 lines
 
 
