@@ -41,32 +41,33 @@ MIN_DOCS = 3
 BANDS, MIN_FIXED = 6, 7
 #: Tokens from which on an equal line of two documents is a repeated passage.
 LONG_TOKENS = 50
-#: A token with a digit; possessive, so that the engine tries each word once.
+#: White space between tokens; a token with a digit, possessive, so that the engine tries each word once.
+BLANK = " \t\x0b\f\r"
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 #: The bands that a template keeps: half of them, or one more, which matters where half of them have too few tokens.
 KEPT = (*combinations(range(BANDS), BANDS // 2), *combinations(range(BANDS), BANDS // 2 + 1))
 
 
 def masked(line: Column) -> Column:
-    """A line's tokens between single spaces, those with a digit as <*>."""
-    return F.trim(F.translate(F.regexp_replace(line, VARIABLE, "<*>"), "\t\x0b\f\r", "    "))
+    """A line with <*> for its tokens with a digit; most lines have none and are left as they are."""
+    return F.btrim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line), F.lit(BLANK))
 
 
 def parsed_line(line: Column, min_tokens: int = MIN_TOKENS, leading: int = LEADING_TOKENS, whole: Column | None = None) -> Column:
     """Leaf, hashes of the bands, number of tokens and of masked ones; null for a short line."""
 
     def of(shown: Column) -> Column:
-        return F.transform(F.array(F.split(shown, " +")), parse)[0]
+        return F.transform(F.array(F.split(shown, f"[{BLANK}]+")), lambda toks: parse(toks, shown.contains("<*>")))[0]
 
-    def parse(toks: Column) -> Column:
+    def parse(toks: Column, some: Column) -> Column:
         n = F.size(toks)
         cut = lambda k: leading + F.floor(k * (n - leading) / BANDS).cast("int")
         bands = F.array(*[F.xxhash64(F.slice(toks, cut(k) + 1, cut(k + 1) - cut(k))) for k in range(BANDS)])
-        hidden = F.size(F.filter(toks, lambda t: t == "<*>"))
+        hidden = F.when(some, F.size(F.filter(toks, lambda t: t == "<*>"))).otherwise(0)
         fields = {"leaf": F.xxhash64(n, F.slice(toks, 1, leading)), "bands": bands, "n": n, "masked": hidden, "whole": F.lit(None).cast("bigint") if whole is None else whole}
         return F.when(n >= min_tokens, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    return of(masked(line))
+    return F.transform(F.array(masked(line)), of)[0]
 
 
 def template_keys(x: Column, leading: int = LEADING_TOKENS) -> Column:
