@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bounded, packed, put_aside, unpacked
 
 MARK = "▁"
-N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 700_000, 10.0
+N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 250_000, 10.0
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 24
 #: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
@@ -286,7 +286,7 @@ class Encoder:
         if found is None:
             found = n_best(word, self.model, self.n)
             if len(word) <= 64:
-                if len(self.alternatives) >= self.most // 10:
+                if len(self.alternatives) >= self.most // 16:
                     self.alternatives.clear()
                 self.alternatives[word] = found
         return found
