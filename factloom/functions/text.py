@@ -53,9 +53,15 @@ def decode_entities(x: Column) -> Column:
 
     def decoded(v: Column) -> Column:
         named = F.when(v.contains("&#"), _decode_numbered(_decode_numbered(v, "(?i)&#x([0-9a-f]+);", 16), r"&#(\d+);", 10)).otherwise(v)
-        for name, char in NAMED_ENTITIES.items():
-            named = F.regexp_replace(named, f"(?i)&{name};", char)
-        return F.when(v.contains("&"), named).otherwise(v)
+        # most texts have &amp; at most: one search rules the other names out
+        names = [n for n in NAMED_ENTITIES if n != "amp"]
+        rare = let(named, lambda w: F.when(w.rlike(f"(?i)&({'|'.join(names)});"), replaced(w, names)).otherwise(w))
+        return F.when(v.contains("&"), replaced(rare, ["amp"])).otherwise(v)
+
+    def replaced(w: Column, names: list[str]) -> Column:
+        for name in names:
+            w = F.regexp_replace(w, f"(?i)&{name};", NAMED_ENTITIES[name])
+        return w
 
     return let(text_or_empty(x), decoded)
 

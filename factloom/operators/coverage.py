@@ -10,7 +10,9 @@ from factloom.functions import text as T
 
 def coverage(products: DataFrame, facts: str = "facts") -> DataFrame:
     """(label, n_products): facts per label, the most frequent first; sort by n_products descending to present it."""
-    return products.select(F.explode(facts).alias("f")).groupBy(F.col("f.k").alias("label")).agg(F.count("*").alias("n_products"))
+    # explode_outer: the optimizer would push size(facts) > 0, which an inner one implies, below the extraction, again and again
+    each = products.select(F.explode_outer(facts).alias("f")).filter(F.col("f").isNotNull())
+    return each.groupBy(F.col("f.k").alias("label")).agg(F.count("*").alias("n_products"))
 
 
 def coverage_totals(products: DataFrame, facts: str = "facts") -> DataFrame:
@@ -23,7 +25,7 @@ def coverage_totals(products: DataFrame, facts: str = "facts") -> DataFrame:
 def dry_run(products: DataFrame, may_write: Column, facts: str = "facts", order: str = "id", examples: int = 20) -> DataFrame:
     """One row: totals, products that wouldn't be written (with or without facts), and the first examples with facts."""
     totals = products.agg(F.count("*").alias("sampled"), F.count_if(F.size(facts) == 0).alias("none"), F.count_if(~may_write).alias("would_skip"))
-    shown = products.filter(F.size(facts) > 0).orderBy(order).limit(examples)
+    shown = products.orderBy(F.size(facts) == 0, order).limit(examples).filter(F.size(facts) > 0)
     shown = shown.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "title", facts))), lambda x: F.struct(x["title"], x[facts])).alias("examples"))
     return totals.join(shown, F.lit(True))  # one row each
 

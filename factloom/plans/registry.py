@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from factloom.operators import extract as X
 from factloom.operators import merge as M
 from factloom.operators import monitor as O
 from factloom.operators import variants as L
-from factloom.plans.testmap import DICTIONARY, NOW, SQL_C, SQL_P, candidates, collections, hits, jobs, members, products, properties, table, with_facts
+from factloom.plans import more
+from factloom.plans.testmap import DICTIONARY, NOW, SQL_C, SQL_P, candidates, collections, hits, jobs, members, products, properties, spread, table, with_facts
 from factloom.sources.catalogue import fold_rows
 from factloom.streaming.freshness import sweep_missing
 
@@ -39,11 +41,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | more.SQL
 
 
 def now() -> Column:
@@ -82,7 +84,7 @@ def extract_facts(spark, sf_dir):
 def extract_table(spark, sf_dir):
     """The same facts by a dictionary that is a table."""
     terms = X.dictionary_table(spark, {"a": DICTIONARY})
-    out = X.extract_with_table(products(spark, sf_dir).withColumn("shop", F.lit("a")), F.broadcast(terms))
+    out = X.extract_with_table(spread(products(spark, sf_dir)).withColumn("shop", F.lit("a")), terms)
     return out.select("id", shown_facts(F.col("facts")).alias("facts"))
 
 
@@ -130,23 +132,26 @@ def strip_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_output(T.strip_tags(F.col("html")))).alias("digest"))
 
 
+STRIPPED_TEXT = "replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
 @query(
-    "WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT contains(text, '<') AND NOT contains(text, '&')), "
+    f"WITH c AS (SELECT doc_id, trim(regexp_replace({STRIPPED_TEXT}, '\\s+', ' ', 'g')) AS t FROM documents), "
     "s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '[.!?]\\s') THEN regexp_extract(t, '^(.*?[.!?])\\s', 1) ELSE t END AS s FROM c) "
     "SELECT doc_id, CASE WHEN len(string_split(s, ' ')) <= 40 THEN s ELSE array_to_string(string_split(s, ' ')[1:40], ' ') || '...' END AS sentence FROM s"
 )
 def first_sentence(spark, sf_dir):
-    """Of documents without markup."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("<") & ~F.col("text").contains("&"))
-    return docs.select("doc_id", T.first_sentence(F.col("text"), 40).alias("sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence(F.col("text"), 40).alias("sentence"))
 
 
 @query(
-    "WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), b AS (SELECT doc_id, replace(w, '-', '') AS w FROM t) "
+    "WITH t AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(coalesce(text, ''), '\\s+'), [md5(CAST(doc_id AS VARCHAR))[1:doc_id % 24 + 1]])) AS w FROM documents), b AS (SELECT doc_id, replace(w, '-', '') AS w FROM t) "
     "SELECT doc_id, count(*) AS n FROM b WHERE (regexp_full_match(w, '(?i)[0-9a-f]{8,1000}') AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '(?i)[a-f]')) OR (regexp_full_match(w, '(?i)[0-9a-z]{16,}') AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '(?i)[a-z]')) GROUP BY 1"
 )
 def identifier_tokens(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
+    """Of the texts with a hexadecimal word of 1 to 24 digits added to each."""
+    more_ = F.array(F.substring(F.md5(F.col("doc_id").cast("string")), F.lit(1), (F.col("doc_id") % 24 + 1).cast("int")))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.concat(F.split(F.coalesce("text", F.lit("")), r"\s+"), more_)).alias("w"))
     return words.filter(T.looks_like_identifier(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -342,31 +347,33 @@ ACTION = "CASE WHEN p_partkey % 6 IN (0) THEN 'skipped' WHEN p_partkey % 4 = 0 T
 
 @query(f"SELECT p_partkey AS owner_id, 'facts' AS key, {ACTION} AS action FROM part")
 def merge_actions(spark, sf_dir):
-    return M.merge_actions(candidates(spark, sf_dir), properties(spark, sf_dir)).select("owner_id", "key", "action")
+    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # one extraction for both sides
+    return M.merge_actions(candidates(p), properties(p)).select("owner_id", "key", "action")
 
 
 @query(f"SELECT p_partkey AS owner_id, CASE WHEN {ACTION} = 'written' OR p_partkey % 6 IN (1, 2, 4) THEN 'auto' WHEN p_partkey % 6 = 0 THEN 'human' END AS source FROM part WHERE NOT ({ACTION} = 'removed') AND NOT ({ACTION} = 'none' AND p_partkey % 6 = 3)")
 def merge_apply(spark, sf_dir):
-    old = properties(spark, sf_dir)
-    return M.apply_actions(old, M.merge_actions(candidates(spark, sf_dir), old), F.lit("2024-02-01"), "2").select("owner_id", "source")
+    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    return M.apply_actions(properties(p), M.merge_actions(candidates(p), properties(p)), F.lit("2024-02-01"), "2").select("owner_id", "source")
 
 
 @query("SELECT p_partkey AS id, p_partkey % 6 <> 0 AS may_write FROM part")
 def may_write(spark, sf_dir):
-    p = products(spark, sf_dir).select("id").join(properties(spark, sf_dir).withColumnRenamed("owner_id", "id"), "id", "left")
+    p = products(spark, sf_dir).select("id").join(properties(with_facts(spark, sf_dir)).withColumnRenamed("owner_id", "id"), "id", "left")
     return p.select("id", M.may_write(F.col("source"), F.col("value")).alias("may_write"))
 
 
 @query("SELECT count(*) AS sampled, CAST(0 AS BIGINT) AS none, count(*) FILTER (p_partkey % 6 = 0) AS would_skip, least(20, count(*)) AS n_examples FROM part")
 def dry_run(spark, sf_dir):
-    p = with_facts(spark, sf_dir).join(properties(spark, sf_dir).withColumnRenamed("owner_id", "id"), "id", "left")
+    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    p = p.join(properties(p).withColumnRenamed("owner_id", "id"), "id", "left")
     out = V.dry_run(p, M.may_write(F.col("source"), F.col("value")))
     return out.select("sampled", "none", "would_skip", F.size("examples").cast("long").alias("n_examples"))
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 6 IN (3, 5)")
 def sweep_missing_(spark, sf_dir):
-    return sweep_missing(products(spark, sf_dir), properties(spark, sf_dir)).select("id")
+    return sweep_missing(products(spark, sf_dir), properties(with_facts(spark, sf_dir))).select("id")
 
 
 @query("SELECT p_partkey AS id, EXISTS (SELECT 1 FROM events WHERE user_id = p_partkey AND event_type <> 'error') AS mirrored FROM part")
@@ -380,10 +387,10 @@ def mirrored_flag(spark, sf_dir):
 
 @query(SQL_P + "SELECT id, len(facts) AS n_facts, n_images, n_described, p_partkey % 6 = 0 AS edited FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS n_images, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS n_described FROM f) WHERE vendor = 'Brand#1' OR contains(lower(title), 'brand#1') OR contains(lower(vendor), 'brand#1')")
 def catalogue_screen(spark, sf_dir):
-    p = V.search(with_facts(spark, sf_dir), 'Brand#1"')
+    p = V.search(with_facts(spark, sf_dir), 'Brand#1"').persist(StorageLevel.DISK_ONLY)
     images = products(spark, sf_dir).filter("id % 2 = 0").select("id", F.explode(F.array(F.lit("one"), F.lit(" "), F.lit("three"))).alias("alt"))
     mirrors = hits(spark, sf_dir).select("handle")
-    rows = V.catalogue_rows(p, images, properties(spark, sf_dir).withColumnRenamed("owner_id", "id"), mirrors)
+    rows = V.catalogue_rows(p, images, properties(with_facts(spark, sf_dir)).withColumnRenamed("owner_id", "id"), mirrors)
     return rows.select("id", F.col("n_facts").cast("long").alias("n_facts"), F.col("n_images").cast("long").alias("n_images"), F.col("n_described").cast("long").alias("n_described"), "edited")
 
 
@@ -449,9 +456,23 @@ def robots_disallow(spark, sf_dir):
     return O.robots_disallowed(spark.createDataFrame(texts, "id int, text string")).select("id", "agent")
 
 
-@query("SELECT page_id, FALSE AS has_product_ld, 0 AS node_count FROM pages WHERE NOT contains(html, 'ld+json')")
+@query(
+    "SELECT page_id, k IN (1, 2, 4) AS has_product_ld, CAST(CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS INTEGER) AS node_count, CASE k WHEN 1 THEN 'p' || page_id WHEN 2 THEN 'a,b' ELSE '' END AS emitters, k IN (2, 3) AS has_organization_ld "
+    "FROM (SELECT page_id, page_id % 6 AS k FROM pages)"
+)
 def ld_scan(spark, sf_dir):
-    return O.ld_scan(table(spark, sf_dir, "pages")).filter(~F.col("html").contains("ld+json")).select("page_id", "has_product_ld", "node_count")
+    """Of pages with blocks of every shape added: one node, an array with a graph, an organization, a list of types, a broken block, none."""
+    k, block = F.col("page_id") % 6, lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
+    shapes = (
+        F.when(k == 1, block(F.format_string('{"@type": "Product", "@id": "p%d"}', "page_id")))
+        .when(k == 2, block(F.lit('[{"@graph": [{"@type": "Product", "@id": "a"}, {"@type": "Organization"}]}, {"@type": ["Product"], "@id": "b"}]')))
+        .when(k == 3, F.concat(block(F.lit("{broken")), block(F.lit('{"@type": "Organization", "@id": "o"}'))))
+        .when(k == 4, block(F.lit('{"@type": ["Thing", "Product"]}')))
+        .when(k == 5, block(F.lit('{"@type": "Product"')))
+        .otherwise("")
+    )
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), shapes))
+    return O.ld_scan(pages).select("page_id", "has_product_ld", "node_count", F.array_join("emitters", ",").alias("emitters"), "has_organization_ld")
 
 
 @query("SELECT s_suppkey AS id, n > 600 AS over, n > 600 AND s_suppkey % 2 = 0 AS grace_expired FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +44,20 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many partitions as there are cores, if it has fewer: its files are few and each row is much work."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(products(spark, sf_dir), DICTIONARY)
+    return extract(spread(products(spark, sf_dir)), DICTIONARY)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of each brand, in order of their ids."""
-    return with_facts(spark, sf_dir).select(F.col("vendor").alias("collection_id"), F.col("id").alias("pos"), F.col("id").alias("product_id"), "title", "facts")
+    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # read for the labels and again for the rows
+    return p.select(F.col("vendor").alias("collection_id"), F.col("id").alias("pos"), F.col("id").alias("product_id"), "title", "facts")
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,18 +65,16 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.select("collection_id", F.concat(F.lit("Parts of "), F.col("collection_id")).alias("title"), F.lit("<p>Hand picked &amp; ready! More soon.</p>").alias("description_html"))
 
 
-def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored facts and summaries: by people, by the engine (stale or equal), of unknown origin, or absent."""
-    p = with_facts(spark, sf_dir)
+def properties(p: DataFrame) -> DataFrame:
+    """Stored facts of products with facts: by people, by the engine (stale or equal), of unknown origin, or absent."""
     kind = F.col("id") % 6
     source = F.when(kind == 0, "human").when(kind.isin(1, 2, 4), "auto")
     value = F.when(kind == 1, F.to_json("facts")).when(kind == 5, "").otherwise("old")
     return p.filter(kind != 3).select(F.col("id").alias("owner_id"), F.lit("facts").alias("key"), F.lit("json").alias("type"), value.alias("value"), source.alias("source"), F.lit("2024-01-01").alias("at"), F.lit("1").alias("engine"))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(p: DataFrame) -> DataFrame:
     """New facts; of every fourth product none, as an empty array."""
-    p = with_facts(spark, sf_dir)
     return p.select(F.col("id").alias("owner_id"), F.lit("facts").alias("key"), F.lit("json").alias("type"), F.when(F.col("id") % 4 == 0, "[]").otherwise(F.to_json("facts")).alias("value"))
 
 
