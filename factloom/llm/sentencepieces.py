@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bounded, packed, put_aside, unpacked
 
 MARK = "▁"
-N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 250_000, 10.0
+N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 350_000, 10.0
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 24
 #: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
@@ -325,24 +325,21 @@ class Encoder:
             chosen = sorted(more, key=lambda x: x[:2])[: self.n]
         return [(total - loss, had) for loss, _, had in chosen]
 
-    def packed(self, text: str) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text as (score, ids as 32-bit integers)."""
+    def changed(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+        """The best segmentation's ids as 32-bit integers, and the n best as (score, what differs from the best).
+
+        A difference is (at, n, ids): ids stand in place of the n ids from at on.
+        """
         entries = self.entries(text)
         parts = [e[1] for e in entries]
-        out = []
-        for score, had in self.combined(entries):
-            if had:
-                own = parts.copy()
-                for k, ids in had.items():
-                    own[k] = array("i", ids).tobytes()
-                out.append((score, b"".join(own)))
-            else:
-                out.append((score, b"".join(parts)))
-        return out
+        found = self.combined(entries)
+        at = {k: sum(map(len, parts[:k])) // 4 for k in {k for _, had in found for k in had}}
+        return b"".join(parts), [(score, [(at[k], len(parts[k]) // 4, had[k]) for k in sorted(had)]) for score, had in found]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids)."""
-        return [(s, np.frombuffer(x, np.int32).tolist()) for s, x in self.packed(text)]
+        best, found = self.changed(text)
+        return [(s, applied(np.frombuffer(best, np.int32).tolist(), differences)) for s, differences in found]
 
     def decode(self, ids) -> str:
         spelled = self.model.spelled
@@ -350,6 +347,15 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+def applied(ids: list[int], differences) -> list[int]:
+    """The segmentation that differs so from the best one."""
+    out, at = [], 0
+    for begin, n, own in differences:
+        out += [*ids[at:begin], *own]
+        at = begin + n
+    return out + ids[at:]
+
+
 def bisect_least(values: list, n: int) -> list:
     """The n least finite values, with repeats."""
     out: list = []
@@ -372,7 +378,9 @@ def _encoder(model, n: int) -> Encoder:
     return _ENCODERS[key]
 
 
-ENCODED = "ids array<int>, score double, n_best_ids array<array<int>>, n_best_scores array<double>, round_trip boolean"
+#: n_best_changes has, for each of the n best, what differs from ids: the ids that stand in place of n ids from at on.
+ENCODED = "ids array<int>, score double, n_best_scores array<double>, n_best_changes array<array<struct<at:int,n:int,ids:array<int>>>>, round_trip boolean"
+CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
 def _encode(model, n: int):
@@ -384,11 +392,11 @@ def _encode(model, n: int):
             held, size, done = [], 0, 0
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
-                found = encoder.packed(text)
-                same = encoder.decode(np.frombuffer(found[0][1], np.int32).tolist()) == text.replace(MARK, " ")
-                held.append((found, same))
-                size += sum(len(x) for _, x in found)
-                if size > 8 << 20 or row == batch.num_rows - 1:
+                best, found = encoder.changed(text)
+                same = encoder.decode(array("i", best)) == text.replace(MARK, " ")
+                held.append((best, found, same))
+                size += len(best)
+                if size > 4 << 20 or row == batch.num_rows - 1:
                     yield _encoded(batch.column("rest").slice(done, len(held)), held)
                     held, size, done = [], 0, row + 1
 
@@ -401,15 +409,14 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
 
 
 def _encoded(rest, held: list[tuple]) -> pa.RecordBatch:
-    every = [x for found, _ in held for x in found]
-    rows = pa.array(np.r_[0, np.cumsum([len(found) for found, _ in held])].astype(np.int32))
+    change = lambda x: {"at": x[0], "n": x[1], "ids": x[2]}
     columns = {
         "rest": rest,
-        "ids": _lists([found[0][1] for found, _ in held]),
-        "score": pa.array([found[0][0] for found, _ in held], pa.float64()),
-        "n_best_ids": pa.ListArray.from_arrays(rows, _lists([x for _, x in every])),
-        "n_best_scores": pa.ListArray.from_arrays(rows, pa.array([s for s, _ in every], pa.float64())),
-        "round_trip": pa.array([same for _, same in held], pa.bool_()),
+        "ids": _lists([best for best, _, _ in held]),
+        "score": pa.array([found[0][0] for _, found, _ in held], pa.float64()),
+        "n_best_scores": pa.array([[s for s, _ in found] for _, found, _ in held], pa.list_(pa.float64())),
+        "n_best_changes": pa.array([[list(map(change, x)) for _, x in found] for _, found, _ in held], CHANGES),
+        "round_trip": pa.array([same for _, _, same in held], pa.bool_()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -422,14 +429,14 @@ def _shared_model(docs: DataFrame, path: str | None):
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """docs without text, with ids and score of the best segmentation, all n best ones, and whether ids decode to the text."""
+    """docs without text, with ids and score of the best segmentation, what differs in the n best, and whether ids decode to the text."""
     docs = put_aside(docs, *[x.split()[0] for x in ENCODED.split(", ")])
     inner = docs.select(packed(docs, "text"), "text")
     done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path), n), f"rest {inner.schema['rest'].dataType.simpleString()}, {ENCODED}")
-    return done.select(*unpacked(docs, "text"), "ids", "score", "n_best_ids", "n_best_scores", "round_trip")
+    return done.select(*unpacked(docs, "text"), *[x.split()[0] for x in ENCODED.split(", ")])
 
 
 def encoding_report(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """(doc_id, n_pieces, score, n_best_scores, n_best_ids, round_trip) for each document."""
+    """(doc_id, n_pieces, ids, score, n_best_scores, n_best_changes, round_trip) for each document."""
     found = encode_texts(docs.select("doc_id", "text"), path, n)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "n_best_scores", "n_best_ids", "round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "n_best_scores", "n_best_changes", "round_trip")

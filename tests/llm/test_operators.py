@@ -762,5 +762,9 @@ def test_sentencepiece_round_trip(spark):
     got = {r["doc_id"]: r for r in sentencepieces.encoding_report(docs).collect()}
     assert all(r["round_trip"] for r in got.values()) and got[10**6]["n_pieces"] == 0 and len(got) == docs.count()
     assert all(r["n_best_scores"] == sorted(r["n_best_scores"], reverse=True) for r in got.values())
+    encoder = sentencepieces.Encoder(sentencepieces.Model.parse(Path(sentencepieces.MODEL).read_bytes()))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for i, r in got.items():
+        assert [(s, sentencepieces.applied(r["ids"], x)) for s, x in zip(r["n_best_scores"], r["n_best_changes"], strict=True)] == encoder.n_best(texts[i])
     pieces = {r["doc_id"]: len(r["ids"]) for r in sentencepieces.encode_texts(docs.withColumn("ids", F.lit(1))).collect()}
     assert pieces == {k: r["n_pieces"] for k, r in got.items()}
