@@ -41,6 +41,8 @@ from factloom.llm.common import bounded, packed, put_aside, unpacked
 
 MARK = "▁"
 N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 350_000, 10.0
+#: Letters of the words that are kept in the caches.
+SHORT = 64
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 24
 #: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
@@ -198,15 +200,18 @@ def n_best(word: str, model: Model, n: int) -> list[tuple[float, list[int]]]:
 
 
 def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
-    """The best segmentation's score and ids, and by how much the second best one's score is less (infinite without one)."""
+    """The best segmentation's score and ids, and by how much the second best one's score is less (infinite without one).
+
+    Of equal scores the least ids count here in words of up to SHORT letters of which each is a piece; n_best sees to the others.
+    """
     size, low = len(word), -math.inf
-    best, second, start, piece = [low] * (size + 1), [low] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+    best, second, back = [low] * (size + 1), [low] * (size + 1), [None] * (size + 1)
     best[0] = 0.0
-    get, scores, ids = model.begins.get, model.scores, model.ids
+    get, scores, ids, short = model.begins.get, model.scores, model.ids, size <= SHORT
     for i in range(size):
         here, other = best[i], second[i]
         if word[i] not in ids:
-            _reach(best, second, start, piece, i + 1, here + model.unknown_score, other + model.unknown_score, i, model.unknown)
+            _reach(best, second, back, i + 1, here + model.unknown_score, other + model.unknown_score, (i, model.unknown))
         for j in range(i + 1, size + 1):
             k = get(word[i:j])
             if k is None:
@@ -217,20 +222,34 @@ def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
                     next_ = other + scores[k]
                     second[j] = best[j] if best[j] > next_ else next_
                     best[j] = reached
-                    start[j] = i
-                    piece[j] = k
-                elif reached > second[j]:
+                    back[j] = (i, k)
+                elif reached >= second[j]:
                     second[j] = reached
+                    if reached == best[j] and short and _prefix(back, i, k) < _prefix(back, *back[j]):
+                        back[j] = (i, k)
     out, j = [], size
     while j:
-        out.append((start[j], j, piece[j]))
-        j = start[j]
-    return best[size], _ids(word, out[::-1], model), best[size] - second[size]
+        i, k = back[j]
+        if k == model.unknown and model.bytes_:
+            out += [model.bytes_[b] for b in reversed(word[i:j].encode())]
+        else:
+            out.append(k)
+        j = i
+    return best[size], out[::-1], best[size] - second[size]
+
+
+def _prefix(back: list, i: int, k: int) -> list[int]:
+    """The ids up to place i, and k."""
+    out = [k]
+    while i:
+        i, k = back[i]
+        out.append(k)
+    return out[::-1]
 
 
-def _reach(best: list, second: list, start: list, piece: list, j: int, reached: float, next_: float, i: int, k: int) -> None:
+def _reach(best: list, second: list, back: list, j: int, reached: float, next_: float, edge: tuple[int, int]) -> None:
     if reached > best[j]:
-        best[j], second[j], start[j], piece[j] = reached, max(best[j], next_), i, k
+        best[j], second[j], back[j] = reached, max(best[j], next_), edge
     else:
         second[j] = max(second[j], reached)
 
@@ -271,10 +290,10 @@ class Encoder:
     def entry(self, word: str) -> tuple:
         """(score, packed ids, loss of the second best, the word)."""
         score, ids, loss = viterbi(word, self.model)
-        if loss == 0:  # of equals, the one of the least ids
+        if loss == 0 and (len(word) > SHORT or any(c not in self.model.ids for c in word)):  # of equals, the one of the least ids
             ids = self.of_word(word)[0][1]
         out = (score, array("i", ids).tobytes(), loss, word)
-        if len(word) <= 64:
+        if len(word) <= SHORT:
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[word] = out
@@ -285,7 +304,7 @@ class Encoder:
         found = self.alternatives.get(word)
         if found is None:
             found = n_best(word, self.model, self.n)
-            if len(word) <= 64:
+            if len(word) <= SHORT:
                 if len(self.alternatives) >= self.most // 16:
                     self.alternatives.clear()
                 self.alternatives[word] = found

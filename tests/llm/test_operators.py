@@ -709,8 +709,8 @@ def test_n_best_of_many_ties_equals_enumeration(scores):
         model, word = tiny_model(pieces), "".join(rng.choices("ab", k=rng.randint(1, 11)))
         want = sorted(every_segmentation(word, model), key=lambda x: (-x[0], x[1]))
         assert sentencepieces.n_best(word, model, 6) == want[:6]
-        score, _, loss = sentencepieces.viterbi(word, model)
-        assert score == want[0][0] and loss == (want[0][0] - want[1][0] if len(want) > 1 else np.inf)
+        score, ids, loss = sentencepieces.viterbi(word, model)
+        assert score == want[0][0] and ids == want[0][1] and loss == (want[0][0] - want[1][0] if len(want) > 1 else np.inf)
 
 
 def test_n_best_of_a_long_run_of_ties():
