@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bounded, packed, put_aside, unpacked
 
 MARK = "▁"
-N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 350_000, 10.0
+N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 400_000, 10.0
 #: Letters of the words that are kept in the caches.
 SHORT = 64
 #: Scores are multiples of 1 / UNIT.
@@ -270,6 +270,7 @@ class Encoder:
     def __init__(self, model: Model, n: int = N_BEST, most: int = CACHE_WORDS):
         self.model, self.n, self.most = model, n, most
         self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}  # the cache before; what is asked for again moves on, the rest goes with the next change
         self.alternatives: dict[str, list] = {}
         self.patterns: dict[frozenset, re.Pattern] = {}
 
@@ -289,13 +290,17 @@ class Encoder:
 
     def entry(self, word: str) -> tuple:
         """(score, packed ids, loss of the second best, the word)."""
+        known = self.cache.get(word) or self.older.get(word)
+        if known:
+            self.cache[word] = known
+            return known
         score, ids, loss = viterbi(word, self.model)
         if loss == 0 and (len(word) > SHORT or any(c not in self.model.ids for c in word)):  # of equals, the one of the least ids
             ids = self.of_word(word)[0][1]
         out = (score, array("i", ids).tobytes(), loss, word)
         if len(word) <= SHORT:
-            if len(self.cache) >= self.most:
-                self.cache.clear()
+            if len(self.cache) >= self.most // 2:
+                self.older, self.cache = self.cache, {}
             self.cache[word] = out
         return out
 

@@ -733,6 +733,13 @@ def test_text_n_best_with_ties_between_words():
         assert encoder.n_best(text) == want, (pieces, text)
 
 
+def test_encoder_with_a_small_cache(model):
+    """A cache that is changed all the time gives the same segmentations."""
+    small, large = sentencepieces.Encoder(model, most=8), sentencepieces.Encoder(model)
+    for text in (" ".join(f"word{k % 7} thane{k}" for k in range(60)), "a b c a b c d e f g a"):
+        assert small.n_best(text) == large.n_best(text) and len(small.cache) <= 4
+
+
 def test_n_best_equals_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
