@@ -26,6 +26,7 @@ them through, own ones named like its output as <name>_own.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 from array import array
@@ -43,6 +44,8 @@ MARK = "▁"
 N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 400_000, 10.0
 #: Letters of the words that are kept in the caches.
 SHORT = 64
+#: Bytes of texts whose new words are looked up together, and how many new words make that worth while.
+CHUNK, TOGETHER = 2 << 20, 64
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 24
 #: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
@@ -64,6 +67,10 @@ class Model:
     chars: frozenset = frozenset()
     spelled: list[bytes] = field(default_factory=list)
 
+    @functools.cached_property
+    def steps(self) -> Steps:
+        return Steps(self)
+
     @staticmethod
     def parse(raw: bytes) -> Model:
         from sentencepiece import sentencepiece_model_pb2
@@ -238,6 +245,100 @@ def viterbi(word: str, model: Model) -> tuple[float, list[int], float]:
     return best[size], out[::-1], best[size] - second[size]
 
 
+class Steps:
+    """The model's pieces as a tree of their beginnings, in arrays: a step leads from a node by a character to a node."""
+
+    def __init__(self, model: Model):
+        nodes = {"": 0} | {x: k for k, x in enumerate(model.begins, 1)}
+        chars = {c: k for k, c in enumerate(sorted(model.chars), 1)}
+        self.width = len(chars) + 1
+        self.char = np.zeros(0x110000, np.int32)  # 0: not a piece by itself
+        for c, k in chars.items():
+            if c in model.ids:
+                self.char[ord(c)] = k
+        keys = np.array([nodes[x[:-1]] * self.width + chars[x[-1]] for x in model.begins], np.int64)
+        # a hash table of the steps, at most a quarter full; where a slot is taken, the next one is tried
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int32)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            self.keys[slot[free]], self.nodes[slot[free]] = keys[left[free]], left[free] + 1
+            on = self.keys[slot] != keys[left]
+            left, slot = left[on], slot[on] + 1 & len(self.keys) - 1
+        self.piece = np.array([-1, *model.begins.values()], np.int32)
+        self.inner = np.zeros(len(nodes), bool)
+        self.inner[keys // self.width] = True
+        self.scores = np.array(model.scores)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the steps there are, and the nodes that these lead to."""
+        wanted = node * self.width + char
+        slot = self.slot(wanted)
+        held = self.keys[slot]
+        to = self.nodes[slot]
+        on = np.flatnonzero((held != wanted) & (held != -1))
+        while len(on):
+            slot[on] = slot[on] + 1 & len(self.keys) - 1
+            held[on], to[on] = self.keys[slot[on]], self.nodes[slot[on]]
+            on = on[(held[on] != wanted[on]) & (held[on] != -1)]
+        there = np.flatnonzero(held == wanted)
+        return there, to[there].astype(np.int64)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def viterbi_many(words: list[str], model: Model) -> list[tuple[str, float, bytes, float]]:
+    """viterbi for many words side by side: (word, score, packed ids, loss).
+
+    Left out are words with a character that isn't a piece and words of several best segmentations, which need an order of ids.
+    """
+    steps = model.steps
+    words = sorted(words, key=len, reverse=True)
+    size = np.array([len(w) for w in words])
+    char = steps.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    begin = np.cumsum(size) - size
+    known = np.minimum.reduceat(char, begin) > 0
+    base = begin + np.arange(len(words))  # a word of n characters has n + 1 places
+    best = np.full(len(char) + len(words), -math.inf)
+    second = best.copy()
+    best[base] = 0.0
+    back, piece, depth = (np.zeros(len(best), np.int32) for _ in range(3))
+    for i in range(size[0]):
+        word = np.arange(np.searchsorted(-size, -i))  # words of over i characters
+        word = word[known[word]]
+        node, j = np.zeros(len(word), np.int64), i
+        while len(word):
+            there, node = steps.step(node, char[begin[word] + j])
+            word, j = word[there], j + 1
+            k = steps.piece[node]
+            ends = np.flatnonzero(k >= 0)
+            w, k = word[ends], k[ends]
+            here, to, s = base[w] + i, base[w] + j, steps.scores[k]
+            reached, old = best[here] + s, best[to]
+            better = reached > old
+            second[to] = np.where(better, np.maximum(old, second[here] + s), np.maximum(second[to], reached))
+            here, to = here[better], to[better]
+            best[to], back[to], piece[to], depth[to] = reached[better], here, k[better], depth[here] + 1
+            on = steps.inner[node] & (size[word] > j)
+            word, node = word[on], node[on]
+    last = base + size
+    loss = np.where(known, best[last], 0.0) - second[last]
+    keep = np.flatnonzero(known & (loss > 0))
+    last, pieces = last[keep], depth[last[keep]]
+    stop = np.cumsum(pieces)
+    ids, at, to = np.empty(stop[-1] if len(keep) else 0, np.int32), last, stop - 1
+    while len(at):
+        ids[to] = piece[at]
+        at = back[at]
+        on = depth[at] > 0
+        at, to = at[on], to[on] - 1
+    raw, ends = ids.tobytes(), (4 * stop).tolist()
+    parts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return list(zip([words[k] for k in keep], best[last].tolist(), parts, loss[keep].tolist(), strict=True))
+
+
 def _prefix(back: list, i: int, k: int) -> list[int]:
     """The ids up to place i, and k."""
     out = [k]
@@ -299,11 +400,21 @@ class Encoder:
             ids = self.of_word(word)[0][1]
         out = (score, array("i", ids).tobytes(), loss, word)
         if len(word) <= SHORT:
-            if len(self.cache) >= self.most // 2:
-                self.older, self.cache = self.cache, {}
-            self.cache[word] = out
+            self.keep(word, out)
         return out
 
+    def keep(self, word: str, entry: tuple) -> None:
+        if len(self.cache) >= self.most // 2:
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = entry
+
+    def prepare(self, parts: list[list[str]]) -> None:
+        """Puts the new ones of the texts' words into the cache, side by side."""
+        new = {w for w in set().union(*parts).difference(self.cache).difference(self.older) if len(w) <= SHORT}
+        if len(new) >= TOGETHER:
+            for word, score, ids, loss in viterbi_many(list(new), self.model):
+                self.keep(word, (score, ids, loss, word))
+
     def of_word(self, word: str) -> list[tuple[float, list[int]]]:
         """The word's n best segmentations."""
         found = self.alternatives.get(word)
@@ -315,9 +426,9 @@ class Encoder:
                 self.alternatives[word] = found
         return found
 
-    def entries(self, text: str) -> list[tuple]:
+    def entries(self, parts: list[str]) -> list[tuple]:
         get, make = self.cache.get, self.entry
-        return [get(w) or make(w) for w in self.words(text)]
+        return [get(w) or make(w) for w in parts]
 
     def places(self, entries: list[tuple]) -> list[int]:
         """The words at which the n best segmentations of the text can differ from the best one.
@@ -329,15 +440,18 @@ class Encoder:
         least = bisect_least(losses, self.n - 1)
         if not least:
             return []
-        near = [(loss, k) for k, loss in enumerate(losses) if loss <= least[-1]]
-
-        def rank(x: tuple) -> tuple:
-            loss, k = x
-            first, second = self.of_word(entries[k][3])[:2]
-            # an alternative of lesser ids comes first where it stands early, one of greater ids where it stands late
-            return (loss, 0, k) if second[1] < first[1] else (loss, 1, -k)
-
-        return [k for _, k in sorted(near, key=rank)[: self.n - 1]]
+        most = least[-1]
+        chosen, equal, room = [k for k, x in enumerate(losses) if x < most], [k for k, x in enumerate(losses) if x == most], self.n - 1
+        room -= len(chosen)
+        if len(equal) > room:
+            # an alternative of lesser ids comes first where it stands early, one of greater ids where it stands late;
+            # of equal scores the greater ids are the second best
+            late = equal[::-1]
+            if most > 0:
+                early = [self.of_word(entries[k][3])[1][1] < self.of_word(entries[k][3])[0][1] for k in equal]
+                late = [k for k, x in zip(equal, early, strict=True) if x] + [k for k, x in zip(late, early[::-1], strict=True) if not x]
+            equal = late[:room]
+        return chosen + equal
 
     def combined(self, entries: list[tuple]) -> list[tuple[float, dict[int, list[int]]]]:
         """The n best as (score, {word's place: its ids, where they aren't the best ones})."""
@@ -349,12 +463,12 @@ class Encoder:
             chosen = sorted(more, key=lambda x: x[:2])[: self.n]
         return [(total - loss, had) for loss, _, had in chosen]
 
-    def changed(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """The best segmentation's ids as 32-bit integers, and the n best as (score, what differs from the best).
+    def changed(self, parts: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+        """For the words of a text: its best segmentation's ids as 32-bit integers, and the n best as (score, what differs from the best).
 
         A difference is (at, n, ids): ids stand in place of the n ids from at on.
         """
-        entries = self.entries(text)
+        entries = self.entries(parts)
         parts = [e[1] for e in entries]
         found = self.combined(entries)
         at = {k: sum(map(len, parts[:k])) // 4 for k in {k for _, had in found for k in had}}
@@ -362,7 +476,7 @@ class Encoder:
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids)."""
-        best, found = self.changed(text)
+        best, found = self.changed(self.words(text))
         return [(s, applied(np.frombuffer(best, np.int32).tolist(), differences)) for s, differences in found]
 
     def decode(self, ids) -> str:
@@ -413,10 +527,16 @@ def _encode(model, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, n)
         for batch in batches:
-            held, size, done = [], 0, 0
-            for row, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                best, found = encoder.changed(text)
+            held, size, done, begin, end = [], 0, 0, 0, 0
+            column = batch.column("text")
+            for row in range(batch.num_rows):
+                if row == end:
+                    begin, end = end, _chunk(column, row)
+                    texts = [text or "" for text in column.slice(begin, end - begin).to_pylist()]
+                    words = [encoder.words(text) for text in texts]
+                    encoder.prepare(words)
+                text = texts[row - begin]
+                best, found = encoder.changed(words[row - begin])
                 same = encoder.decode(array("i", best)) == text.replace(MARK, " ")
                 held.append((best, found, same))
                 size += len(best)
@@ -427,6 +547,14 @@ def _encode(model, n: int):
     return run
 
 
+def _chunk(column: pa.Array, row: int) -> int:
+    """The row before which the texts from row on, one at least, have no more than CHUNK bytes."""
+    size, end = len(column[row].as_buffer() or b""), row + 1
+    while end < len(column) and (size := size + len(column[end].as_buffer() or b"")) <= CHUNK:
+        end += 1
+    return end
+
+
 def _lists(parts: list[bytes]) -> pa.ListArray:
     offsets = np.r_[0, np.cumsum([len(x) // 4 for x in parts])].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))

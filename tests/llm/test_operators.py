@@ -763,6 +763,26 @@ def test_text_n_best_combines_words(model):
     assert encoder.n_best(text)[0][1] == whole[0][1]
 
 
+@pytest.mark.parametrize("scores", [(-1.0, -1.0, -1.0), (-1.0, -1.5, -2.0), (-2.0, -1.0, -3.0)])
+def test_words_side_by_side_equal_one_by_one(model, scores):
+    small = tiny_model(dict(zip(["a", "b", "ab"], scores, strict=True)))
+    rng = np.random.default_rng(5)
+    some = {"".join(rng.choice(list("ab"), rng.integers(1, 12))) for _ in range(200)} | {"c", "acb", "a" * 64}
+    real = {"▁", "▁the", "the", "▁unbelievable", "▁été", "▁xqzjv9", "a" * 64, "▁日本", "straße"}
+    for used, words in ((small, some), (model, real)):
+        got = {w: rest for w, *rest in sentencepieces.viterbi_many(list(words), used)}
+        for w in words:
+            score, ids, loss = sentencepieces.viterbi(w, used)
+            left_out = loss == 0 or any(c not in used.ids for c in w)
+            assert (w in got) != left_out
+            assert left_out or got[w] == [score, np.array(ids, np.int32).tobytes(), loss]
+    assert sentencepieces.viterbi_many(["c"], small) == []
+    together, alone = sentencepieces.Encoder(model), sentencepieces.Encoder(model)
+    texts = [" ".join("".join(rng.choice(list("etaoinß☃"), rng.integers(1, 9))) for _ in range(k)) for k in (0, 1, 300, 50)]
+    together.prepare([together.words(t) for t in texts])
+    assert len(together.cache) > 200 and [together.n_best(t) for t in texts] == [alone.n_best(t) for t in texts]
+
+
 def test_sentencepiece_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(80)
     docs = docs.unionByName(frame(spark, [*ODD, None, "\n\n  two\tspaces ", "mark ▁ inside", "x" * 5000], 10**6).select("doc_id", "text"))
