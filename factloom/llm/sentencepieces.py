@@ -507,12 +507,12 @@ def bisect_least(values: list, n: int) -> list:
 _ENCODERS: dict = {}
 
 
-def _encoder(model, n: int) -> Encoder:
+def _encoder(model, n: int, most: int) -> Encoder:
     """One encoder for each worker process and model: its cache serves the tasks that follow."""
-    key = (model.id, n) if hasattr(model, "id") else n
+    key = (getattr(model, "id", None), n, most)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Model.parse(model.value), n)
+        _ENCODERS[key] = Encoder(Model.parse(model.value), n, most)
     return _ENCODERS[key]
 
 
@@ -521,11 +521,11 @@ ENCODED = "ids array<int>, score double, n_best_scores array<double>, n_best_cha
 CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def _encode(model, n: int):
+def _encode(model, n: int, most: int):
     """Adds to each row its n best segmentations, decodes the best one and says whether that gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, n)
+        encoder = _encoder(model, n, most)
         for batch in batches:
             held, size, done, begin, end = [], 0, 0, 0, 0
             column = batch.column("text")
@@ -580,11 +580,14 @@ def _shared_model(docs: DataFrame, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """docs without text, with ids and score of the best segmentation, what differs in the n best, and whether ids decode to the text."""
+def encode_texts(docs: DataFrame, path: str | None = None, n: int = N_BEST, most: int = CACHE_WORDS) -> DataFrame:
+    """docs without text, with ids and score of the best segmentation, what differs in the n best, and whether ids decode to the text.
+
+    most bounds the words that a worker keeps; it changes memory and time, not the rows.
+    """
     docs = put_aside(docs, *[x.split()[0] for x in ENCODED.split(", ")])
     inner = docs.select(packed(docs, "text"), "text")
-    done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path), n), f"rest {inner.schema['rest'].dataType.simpleString()}, {ENCODED}")
+    done = bounded(inner).mapInArrow(_encode(_shared_model(docs, path), n, most), f"rest {inner.schema['rest'].dataType.simpleString()}, {ENCODED}")
     return done.select(*unpacked(docs, "text"), *[x.split()[0] for x in ENCODED.split(", ")])
 
 
