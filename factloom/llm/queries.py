@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their DuckDB SQL."""
+"""The registered queries of the corpus operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.chat_format import chat_report
+from factloom.llm.chat_repair import repair_report
 from factloom.llm.decontaminate import contaminated
 from factloom.llm.html_extract import extract_pages
 from factloom.llm.line_dedup import BANDS, KEPT, LEADING_TOKENS, MIN_DOCS, MIN_FIXED, MIN_TOKENS, dedup_lines
@@ -66,8 +67,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+ALL = (
+    op1_quality_rules,
+    op2_quality_classifier,
+    op3_secret_scan,
+    op4_decontamination,
+    op5_chat_format,
+    op6_warc,
+    op7_line_dedup,
+    op8_ngram_join,
+    op9_html_extraction,
+    op10_sentencepiece,
+    op11_chat_repair,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_chat_format, op6_warc, op7_line_dedup, op8_ngram_join, op9_html_extraction, op10_sentencepiece)}
+    return {f.__name__: f for f in ALL}
 
 
 #: Base32 of the hex digest h: five hex digits are four characters.
@@ -108,5 +128,52 @@ FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text
 """
 
 
+#: Cells of the fold as structs of cost, audit and repaired text, in the order of which the least is taken; null where a state can't be reached.
+CELL = "{{'c': {c}, 'a': {a}, 't': {t}}}"
+
+
+def _least(*cells: str) -> str:
+    return f"list_min([{', '.join(cells)}])"
+
+
+def _inserted(s: str, role: str) -> str:
+    return f"CASE WHEN {s} IS NOT NULL THEN " + CELL.format(c=f"{s}.c + 3", a=f"{s}.a || 'I'", t=f"{s}.t || chr(10) || '{role}:'") + " END"
+
+
+def _edited(s: str, role: str) -> str:
+    same = f"ini = '{role[0]}'"
+    cell = CELL.format(c=f"{s}.c + CASE WHEN {same} THEN 0 ELSE 3 END + CASE WHEN trunc THEN 3 ELSE 0 END", a=f"{s}.a || CASE WHEN {same} THEN 'K' ELSE 'R' END", t=f"{s}.t || chr(10) || CASE WHEN {same} THEN role ELSE '{role}' END || ':' || text")
+    return f"CASE WHEN {s} IS NOT NULL AND NOT must THEN {cell} END"
+
+
+def _gone(s: str) -> str:
+    return f"CASE WHEN {s} IS NOT NULL THEN " + CELL.format(c=f"{s}.c + 4", a=f"{s}.a || 'D'", t=f"{s}.t") + " END"
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE bits AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295], [CAST(ord(x) AS BIGINT) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, bits),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) FROM marked WHERE k > 0)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+firsts AS (SELECT *, n > min(n) OVER (PARTITION BY conv_id, role, text) AS again FROM numbered),
+flagged AS (
+  SELECT *, substr(role, 1, 1) AS ini, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS trunc, bare = '' OR again AS must,
+    coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), FALSE) AS illegal FROM firsts),
+fold AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {CELL.format(c="CAST(0 AS BIGINT)", a="''", t="''")} AS e, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS s, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS u, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS a FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT conv_id, n, {_gone("e")}, {_least(_gone("s"), f"CASE WHEN ini = 's' THEN {_edited('e', 'system')} END")}, {_least(_gone("iu"), *[_edited(x, "user") for x in "esa"], _edited("ia", "user"))}, {_least(_gone("ia"), _edited("iu", "assistant"))}
+  FROM (SELECT g.*, {_least("f.u", *[_inserted(f"f.{x}", "user") for x in "esa"])} AS iu, {_least("f.a", _inserted("f.u", "assistant"))} AS ia, f.e, f.s, f.a FROM fold f JOIN flagged g ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.n = f.n + 1)),
+done AS (SELECT conv_id, {_least("e", "a", _inserted("u", "assistant"))} AS best FROM fold QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated, count(*) FILTER (illegal) AS illegal FROM flagged GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_SQL, "op7_line_dedup": LINES_SQL}
+    return {"op6_warc": WARC_SQL, "op7_line_dedup": LINES_SQL, "op11_chat_repair": REPAIR_SQL}
