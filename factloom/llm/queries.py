@@ -17,6 +17,8 @@ from factloom.llm.quality_classifier import score_quality
 from factloom.llm.quality_rules import quality_report
 from factloom.llm.secret_scan import secret_report
 from factloom.llm.sentencepieces import encoding_report
+from factloom.llm.source_audit import MIN_DOCS as MIN_TERM_DOCS
+from factloom.llm.source_audit import SCALE, TOP, divergences
 from factloom.llm.warc import warc_report
 
 
@@ -71,6 +73,10 @@ def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 ALL = (
     op1_quality_rules,
     op2_quality_classifier,
@@ -83,6 +89,7 @@ ALL = (
     op9_html_extraction,
     op10_sentencepiece,
     op11_chat_repair,
+    op12_source_audit,
 )
 
 
@@ -175,5 +182,29 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 """
 
 
+def _probability(n: str, total: str) -> str:
+    return f"CAST(1 + (CAST({SCALE} AS HUGEINT) * ({n} + 2)) // ({total} + 2 * v) AS HUGEINT)"
+
+
+SOURCES_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+e AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(DISTINCT r) >= {MIN_TERM_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+counts AS (SELECT lang, source, term, count(*) AS n FROM e JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2),
+groups AS (SELECT g.lang, g.source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN totals USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_probability("coalesce(c.n, 0)", "g.total")} AS p, {_probability("k.n", "l.total")} AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS f FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, item) AS INTEGER) AS rank FROM parts QUALIFY part = 'pair' OR rank <= {TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_SQL, "op7_line_dedup": LINES_SQL, "op11_chat_repair": REPAIR_SQL}
+    return {"op6_warc": WARC_SQL, "op7_line_dedup": LINES_SQL, "op11_chat_repair": REPAIR_SQL, "op12_source_audit": SOURCES_SQL}
