@@ -19,6 +19,7 @@ from factloom.llm.secret_scan import secret_report
 from factloom.llm.sentencepieces import encoding_report
 from factloom.llm.source_audit import MIN_DOCS as MIN_TERM_DOCS
 from factloom.llm.source_audit import SCALE, TOP, divergences
+from factloom.llm.toxicity import score_toxicity
 from factloom.llm.warc import warc_report
 
 
@@ -77,6 +78,10 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = (
     op1_quality_rules,
     op2_quality_classifier,
@@ -90,6 +95,7 @@ ALL = (
     op10_sentencepiece,
     op11_chat_repair,
     op12_source_audit,
+    op13_toxicity,
 )
 
 

@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_names():
-    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 10
+    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 13
 
 
 def test_copies_reach_the_join_whole(spark):
