@@ -116,6 +116,7 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Da
     # of each two sources once, by their places
     pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y, j: F.struct(i.alias("i"), (i + j + 1).alias("j"), divergence(x, y).alias("f")))))
     sums = wide.select("lang", F.explode(pairs).alias("e")).groupBy("lang", "e.i", "e.j").agg(F.sum("e.f").alias("value"))
+    sums = work.table(sums, "sums")
     both = sums.unionByName(sums.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     names = work.table(langs.select("lang", "size", F.posexplode("sources").alias("at", "s")).select("lang", "at", F.col("s.source").alias("source")), "names")
     other = langs.select("lang", F.explode(F.sequence(F.lit(0), F.size("sources") - 1)).alias("i"), F.size("sources").alias("k"))
