@@ -9,6 +9,8 @@ import re
 
 #: Letters that count as equal in a term.
 EQUAL = {c: group for group in ("aăâ", "iî", "sșş", "tțţ") for c in group}
+#: The same as a translation to the first letter of each group.
+MARKED, UNMARKED = "".join(c for c, g in EQUAL.items() if c != g[0]), "".join(g[0] for c, g in EQUAL.items() if c != g[0])
 #: Words before or after a term that say it only looks so.
 QUALIFIER_BEFORE = "aspect(?: de)?|tip|imita[tț]ie(?: de)?|efect(?: de)?|imitation|faux|look(?: of)?|effect"
 QUALIFIER_AFTER = "effect|look(?:alike)?|style"
@@ -25,6 +27,10 @@ NAMED = "(?iu)(" + "|".join(f"{BEGIN if n.isascii() or n[0].isascii() else '(?<=
 BARE = rf"(?iu){BEGIN}{NUMBER}\s*(?:cm|mm|kg|g|ml|l){END}"
 
 
+#: The one to three words after a term, in what follows it.
+CAPTURED = r"^ ((?:[\p{L}\p{N}-]+ ){0,2}[\p{L}\p{N}-]+)"
+
+
 def term_pattern(term: str) -> str:
     """A fragment that ignores marks on letters."""
     return "".join(f"[{EQUAL[c]}]" if c in EQUAL else " " if c == " " else re.escape(c) for c in term.lower())

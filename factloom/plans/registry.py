@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.functions.dictionary import colliding_terms, parse_dictionary
 from factloom.operators import collections as C
 from factloom.operators import coverage as V
 from factloom.operators import derive as D
@@ -82,12 +81,37 @@ def extract_facts(spark, sf_dir):
 
 @query(SQL_P + f"SELECT id, {SHOWN_FACTS} AS facts FROM f")
 def extract_table(spark, sf_dir):
-    """The same facts by a dictionary that is a table."""
-    terms = X.dictionary_table(spark, {"a": DICTIONARY})
-    out = X.extract_with_table(spread(products(spark, sf_dir)).withColumn("shop", F.lit("a")), terms)
+    """The same facts by dictionaries that are rows, one of each brand."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("shop"), F.lit(DICTIONARY).alias("raw")).distinct()
+    out = X.extract_with_table(spread(products(spark, sf_dir)), X.dictionary_rows(brands), shop="vendor")
     return out.select("id", shown_facts(F.col("facts")).alias("facts"))
 
 
+@query(
+    SQL_P + ", b AS (SELECT *, CAST(regexp_extract(vendor, '[0-9]+') AS INTEGER) AS n FROM f) "
+    "SELECT id, concat_ws(' | ', CASE WHEN n % 2 = 0 THEN 'Shade=' || coalesce(colour, 'plain') END, CASE WHEN n % 3 = 0 AND list_contains(w, ['widget','bolt','rod','anvil','gizmo','ring','plate','gear'][n % 8 + 1]) THEN 'Own=' || ['widget','bolt','rod','anvil','gizmo','ring','plate','gear'][n % 8 + 1] END, "
+    "CASE WHEN n % 5 = 0 THEN 'Extra=finish matt grey, ' || includes END, CASE WHEN n % 7 = 0 THEN 'Size=' || dimensions END, 'Made of=' || CASE WHEN list_contains(w, 'steel') THEN 'part' ELSE 'part' END) AS facts FROM b"
+)
+def extract_brands(spark, sf_dir):
+    """Facts by dictionaries that differ from brand to brand: labels, terms, defaults and kinds of terms."""
+    n = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    kinds = F.array(*map(F.lit, ("widget", "bolt", "rod", "anvil", "gizmo", "ring", "plate", "gear")))
+    lines = [F.when(n % 2 == 0, "Shade: red, blue | default: plain"), F.when(n % 3 == 0, F.concat(F.lit("Own: "), F.element_at(kinds, n % 8 + 1))), F.when(n % 5 == 0, "Extra: finish *, * screws"), F.when(n % 7 == 0, "Size: #size"), F.lit("Made of: in, part, faux part")]
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("shop"), F.concat_ws("\n", *lines).alias("raw")).distinct()
+    out = X.extract_with_table(spread(products(spark, sf_dir)), X.dictionary_rows(brands), shop="vendor")
+    return out.select("id", shown_facts(F.col("facts")).alias("facts"))
+
+
+@query(
+    "SELECT p_brand AS shop, 'Material' AS label, 'in' AS term FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'Style', 'made' FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'Kind', lower(split_part(p_brand, '#', 1)) FROM part WHERE p_brand LIKE '%7' GROUP BY 1 "
+)
+def colliding_terms_(spark, sf_dir):
+    """Plain terms of the brands' dictionaries that are stopwords there; some brands add their own."""
+    raw = F.concat(F.lit("Material: oak, in, pine\nStyle: made, in *, * an\nKind: "), F.lower(F.split("p_brand", "#")[0]))
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("shop"), raw.alias("raw"), F.when(F.col("p_brand").endswith("7"), F.lower(F.split("p_brand", "#")[0])).alias("extra")).distinct()
+    return X.colliding_rows(brands)
+
+
 DOC_TERMS = ("the", "und", "licensed", "mit license", "para")
 
 
@@ -110,12 +134,6 @@ def extract_kinds(spark, sf_dir):
     return p.select("id", F.array_join(X.measurements(F.col("cased")), ", ").alias("measure"), F.array_join(X.counted(F.col("t"), "screws"), ", ").alias("counted"), F.array_join(X.prefix_capture(F.col("t"), "finish", stops), ", ").alias("captured"))
 
 
-@query("SELECT * FROM (VALUES ('Material', 'in'), ('Style', 'made')) t(label, term)")
-def colliding_terms_(spark, sf_dir):
-    found = colliding_terms(parse_dictionary("Material: oak, in, pine\nStyle: made, in *, * an\n"))
-    return spark.createDataFrame(found, "label string, term string")
-
-
 # ---------------------------------------------------------------- text
 
 FOLD = "translate(%s, 'ăâîșşțţĂÂÎȘŞȚŢáéíóúüöñ', 'aaissttAAISSTTaeiouuon')"
