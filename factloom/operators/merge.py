@@ -75,13 +75,33 @@ def reset(properties: DataFrame, keys: DataFrame, mode: str = "compat") -> DataF
     return hit.select("owner_id", "key", "type", "value", none("source"), none("at"), none("engine"))
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """table with the rows of changes in place of its own of the same keys."""
-    return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+def last_by(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
+    """The last row of each key by the order columns; null keys are keys, and of equal rows in order the greatest stays."""
+    order = [order] if isinstance(order, str) else order
+    rest = [c for c in rows.columns if c not in keys]
+    stamp = F.struct(*order, *[F.col(c) for c in rest if c not in order])
+    last = rows.groupBy(*keys).agg(F.max(F.struct(stamp.alias("s"), F.struct(*rest).alias("r"))).alias("last_one"))
+    return last.select(*[F.col(c) if c in keys else F.col("last_one.r")[c].alias(c) for c in rows.columns])
+
+
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str | list[str] | None = None) -> DataFrame:
+    """table with the rows of changes in place of its own of the same keys, nulls included.
+
+    Of several changes of a key the last by order stays, or without order the greatest row.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    once = last_by(changes, keys, order or rest) if rest else changes.distinct()
+    return delete_keys(table, once, keys).unionByName(once)
 
 
 def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return table.join(gone.select(*keys).distinct(), keys, "left_anti")
+    """table without the rows of these keys; a null key is one."""
+    gone = gone.select(*[F.col(k) for k in keys]).distinct().alias("gone")
+    table = table.alias("kept")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"kept.`{k}`").eqNullSafe(F.col(f"gone.`{k}`"))
+    return table.join(gone, same, "left_anti")
 
 
 def batches(rows: DataFrame, size: int = 24) -> DataFrame:

@@ -79,6 +79,10 @@ def test_no_shuffle(spark):
 WORDS = ("oak", "red", "steel", "faux", "masă", "masa", "piele", "țesut", "usb-c", "c++", "ip67", "(new)", "5", "12", "3,5", "%", "look", "effect", "effectively", "style", "tip", "aspect", "de", "finish", "matt", "gloss", "and", "with", "in", "chairs", "chair", "a/b", "x", "été", "-", "don't", "AB12CD34EF56GH78", "imitation", "made")
 
 
+def fold(x):
+    return x.translate(str.maketrans(P.MARKED, P.UNMARKED))
+
+
 def by_patterns(text, groups):
     """Facts of one text by a search for each term, with the patterns of the compiled plan."""
     stops, facts = set(stopword_set()), {}
@@ -87,7 +91,7 @@ def by_patterns(text, groups):
         hits = []
         for term in g.terms:
             kind, base = term_kind(term), term_base(term)
-            if not base or kind == "plain" and normalize_py(base) in stops:
+            if not base or kind == "plain" and normalize_py(base) in stops or fold(base.lower()) not in fold(low):
                 continue
             if kind == "plain":
                 hits += [term] if regex.search(P.plain_pattern(base), low) else []
