@@ -15,6 +15,28 @@ def coverage(products: DataFrame, facts: str = "facts") -> DataFrame:
     return each.groupBy(F.col("f.k").alias("label")).agg(F.count("*").alias("n_products"))
 
 
+def label_deltas(old: DataFrame, new: DataFrame, by: list[str] | None = None, facts: str = "facts") -> DataFrame:
+    """(by, label, n_products): what counts of labels change by when products (id, facts) of old become those of new.
+
+    old has the changed and removed products as they were, new the changed and added ones as they are; a label that a
+    product has several times counts once where by names collections, as often as it is there otherwise, as in coverage.
+    """
+    by = by or []
+
+    def signed(products: DataFrame, sign: int) -> DataFrame:
+        labels = F.transform(facts, lambda f: f["k"])
+        return products.select(*by, F.explode_outer(F.array_distinct(labels) if by else labels).alias("label"), F.lit(sign).alias("n")).filter(F.col("label").isNotNull())
+
+    changed = signed(old, -1).unionByName(signed(new, 1)).groupBy(*by, "label").agg(F.sum("n").alias("n_products"))
+    return changed.filter("n_products <> 0")
+
+
+def merge_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Stored counts after deltas; a count of nothing is left out."""
+    keys = [c for c in counts.columns if c != "n_products"]
+    return counts.unionByName(deltas).groupBy(*keys).agg(F.sum("n_products").cast("long").alias("n_products")).filter("n_products <> 0")
+
+
 def coverage_totals(products: DataFrame, facts: str = "facts") -> DataFrame:
     """One row: sampled, none, and the share in percent of products with facts."""
     none = F.count_if(F.size(facts) == 0)
@@ -54,6 +76,18 @@ def page_after(products: DataFrame, cursor: tuple | None = None, size: int = 25)
     return products.orderBy(F.desc("updated_at"), F.desc("id")).limit(size)
 
 
+def page_before(products: DataFrame, cursor: tuple, size: int = 25) -> DataFrame:
+    """The page that ends before a cursor (updated_at, id), the newest first: read in reversed order, then put back."""
+    at, key = F.lit(cursor[0]), F.lit(cursor[1])
+    newer = products.filter((F.col("updated_at") > at) | ((F.col("updated_at") == at) & (F.col("id") > key)))
+    return newer.orderBy("updated_at", "id").limit(size).orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def paged_layout(products: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """Writes products in files that are ranges of (updated_at, id), sorted, so that pages skip files by their statistics."""
+    products.repartitionByRange("updated_at", "id").sortWithinPartitions("updated_at", "id").write.option("maxRecordsPerFile", rows).parquet(path)
+
+
 def search(products: DataFrame, query: str) -> DataFrame:
     """Products whose title, sku or vendor has the words; quotes and backslashes don't count."""
     q = F.lower(F.lit(query.replace('"', "").replace("\\", "").replace("'", "").strip()))

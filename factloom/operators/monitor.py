@@ -181,18 +181,49 @@ def limit_state(tenants: DataFrame, now: Column, grace_days: int = 14) -> DataFr
     return tenants.withColumns({"over": over, "grace_ends_at": ends, "grace_expired": F.coalesce(now > ends, F.lit(False))})
 
 
-def alt_merge(images: DataFrame, suggestion: str = "suggestion") -> DataFrame:
-    """images (product_ord, position, media_id, product_id, alt) with action kept, shared or written, and alt_out.
+#: Products of a media file that one task looks at.
+MEDIA_BLOCK = 4096
 
-    An alt text that a person wrote stays; it is shared if the same file got a generated one for another product
-    before, in the order of products and positions.
-    """
+
+def _generated(images: DataFrame) -> DataFrame:
+    """images with human: whether a person wrote the alt text."""
     from factloom.functions.text import looks_like_machine_alt
 
     own = F.trim(F.coalesce(F.col("alt"), F.lit("")))
-    human = (own != "") & ~looks_like_machine_alt(own)
-    before = Window.partitionBy("media_id").orderBy("product_ord", "position").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(~human, F.col("product_id")), ignorenulls=True).over(before)
-    return images.withColumn("__owner", owner).withColumns(
-        {"action": F.when(~human, "written").when(F.col("__owner").isNotNull() & (F.col("__owner") != F.col("product_id")), "shared").otherwise("kept"), "alt_out": F.when(human, F.col("alt")).otherwise(F.col(suggestion))}
-    ).drop("__owner")
+    return images.withColumn("human", (own != "") & ~looks_like_machine_alt(own))
+
+
+def media_owners(images: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """(media_id, product_id): of each media file the product that last got a generated alt text, for the next run's owners."""
+    made = _generated(images.select("alt", "media_id", "product_id", "product_ord", "position")).filter("not human and media_id is not null")
+    last = made.groupBy("media_id").agg(F.max_by("product_id", F.struct("product_ord", "position", "product_id")).alias("product_id"))
+    return last if owners is None else owners.join(last, "media_id", "left_anti").select("media_id", "product_id").unionByName(last)
+
+
+def alt_merge(images: DataFrame, suggestion: str = "suggestion", owners: DataFrame | None = None, block: int = MEDIA_BLOCK) -> DataFrame:
+    """images (product_ord, position, media_id, product_id, alt) with action kept, shared or written, and alt_out.
+
+    An alt text that a person wrote stays; it is shared if the same file got a generated one for another product
+    before, in the order of products and positions, or in an earlier run (owners: media_owners of it). Blocks of block
+    products of a file are looked at alone, then the last owner before each block is handed on, so that a file of many
+    products is many tasks' work. An image without a file is shared with nothing; columns of any name pass through.
+    """
+    packed = images.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(images.columns)]).alias("rest"), "alt", "media_id", "product_id", "product_ord", "position", F.col(suggestion).alias("suggested"))
+    rows = _generated(packed).withColumn("block", F.floor(F.col("product_ord") / block))
+    filed, loose = rows.filter("media_id is not null"), rows.filter("media_id is null")
+    # of equal places the order is that of products
+    before = Window.partitionBy("media_id", "block").orderBy("product_ord", "position", "product_id").rowsBetween(Window.unboundedPreceding, -1)
+    filed = filed.withColumn("here", F.last(F.when(~F.col("human"), F.col("product_id")), ignorenulls=True).over(before))
+    # null blocks, of products without an order, come first as their rows do
+    last = rows.filter("media_id is not null").groupBy("media_id", "block").agg(F.max(F.when(~F.col("human"), F.struct("product_ord", "position", "product_id"))).alias("last"))
+    earlier = Window.partitionBy("media_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("media_id", "block", F.last(F.col("last.product_id"), ignorenulls=True).over(earlier).alias("handed"))
+    if owners is not None:
+        last = last.join(owners.select("media_id", F.col("product_id").alias("old")), "media_id", "left").select("media_id", "block", F.coalesce("handed", "old").alias("handed"))
+    last = last.select(F.col("media_id").alias("m"), F.coalesce("block", F.lit(-(1 << 62))).alias("b"), "handed")
+    filed = filed.withColumn("own", F.coalesce("block", F.lit(-(1 << 62)))).join(last, (F.col("media_id") == F.col("m")) & (F.col("own") == F.col("b")), "left")
+    owner = F.coalesce("here", "handed")
+    filed = filed.select("rest", "human", "suggested", "alt", (owner.isNotNull() & (owner != F.col("product_id"))).alias("others"))
+    every = filed.unionByName(loose.select("rest", "human", "suggested", "alt", F.lit(False).alias("others")))
+    own = [F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(images.columns) if c not in ("action", "alt_out")]
+    return every.select(*own, F.when(~F.col("human"), "written").when(F.coalesce("others", F.lit(False)), "shared").otherwise("kept").alias("action"), F.when(F.col("human"), F.col("alt")).otherwise(F.col("suggested")).alias("alt_out"))

@@ -16,7 +16,7 @@ from factloom.operators import extract as X
 from factloom.operators import merge as M
 from factloom.operators import monitor as O
 from factloom.operators import variants as L
-from factloom.plans import more
+from factloom.plans import kept, more
 from factloom.plans.testmap import DICTIONARY, NOW, SQL_C, SQL_P, candidates, collections, hits, jobs, members, products, properties, spread, table, with_facts
 from factloom.sources.catalogue import fold_rows
 from factloom.streaming.freshness import sweep_missing
@@ -40,11 +40,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | more.QUERIES
+    return _QUERIES | more.QUERIES | kept.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | more.SQL
+    return _SQL | more.SQL | kept.SQL
 
 
 def now() -> Column:
@@ -468,10 +468,19 @@ def classify_http(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", O.classify_http(status, server, names, body).alias("cause"))
 
 
-@query("SELECT * FROM (VALUES (1, 'GPTBot'), (2, 'GPTBot'), (2, 'OAI-SearchBot'), (2, 'ChatGPT-User'), (2, 'Claude-SearchBot'), (2, 'PerplexityBot')) t(id, agent)")
+@query(
+    "SELECT c_custkey AS id, unnest(CASE WHEN c_mktsegment = 'BUILDING' THEN ['GPTBot', 'OAI-SearchBot', 'ChatGPT-User', 'Claude-SearchBot', 'PerplexityBot'] WHEN c_nationkey % 3 = 0 THEN ['GPTBot'] WHEN c_nationkey % 3 = 1 THEN ['PerplexityBot', 'ChatGPT-User'] ELSE [] END) AS agent FROM customer"
+)
 def robots_disallow(spark, sf_dir):
-    texts = [(1, "User-agent: gptbot\nDisallow: /\n\nUser-agent: *\nDisallow: /cart\n"), (2, "User-agent: *\r\nDisallow: /\r\n"), (3, "User-agent: PerplexityBot\nAllow: /\n")]
-    return O.robots_disallowed(spark.createDataFrame(texts, "id int, text string")).select("id", "agent")
+    """Of customers' robots texts by segment and nation: all agents, one, two by several blocks, or none."""
+    n = F.col("c_nationkey") % 3
+    text = (
+        F.when(F.col("c_mktsegment") == "BUILDING", "User-agent: *\r\nDisallow: /\r\n")
+        .when(n == 0, F.concat(F.lit("User-agent: gptbot\nDisallow: /\n\nUser-agent: *\nDisallow: /"), F.lower("c_name"), F.lit("\n")))
+        .when(n == 1, "user-agent: PERPLEXITYBOT\nAllow: /x\nDisallow:/ \nUser-agent: ChatGPT-User\ndisallow: /\nUser-agent: PerplexityBot\nDisallow: /\n")
+        .otherwise("User-agent: PerplexityBot\nAllow: /\n")
+    )
+    return O.robots_disallowed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"))).select("id", "agent")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factloom.operators.derive import capsule_fields
 from factloom.operators.extract import extract
 from factloom.operators.merge import apply_actions, merge_actions
+from factloom.sources.store import Store
 
 
 def changes(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -51,6 +53,37 @@ def poll_cursor(last: Column | None, started: Column) -> Column:
     return started - F.make_interval(hours=F.lit(1)) if last is None else F.coalesce(last, started - F.make_interval(hours=F.lit(1)))
 
 
+#: What the state of polls keeps: the version (id, updated_at) of each product that we wrote ourselves.
+OWN_WRITES = "id long, updated_at timestamp"
+
+
+def poll_state(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """Our own last write of each product, and the polls' cursor as a note."""
+    return Store(spark, path, OWN_WRITES, ["id"], buckets)
+
+
+def record_own_writes(state: Store, written: DataFrame) -> None:
+    """Remembers products (id, updated_at) that we have written, the last write of each, so that a poll passes over them."""
+    state.change(written.select("id", "updated_at"), lambda current, new: current.unionByName(new).groupBy("id").agg(F.max("updated_at").alias("updated_at")))
+
+
+def changed_by_others(products: DataFrame, since: Column, own_writes: DataFrame) -> DataFrame:
+    """Products updated after since, but for the versions that are our own writes."""
+    ours = own_writes.select("id", F.col("updated_at").alias("updated_at")).filter(F.col("updated_at") > since)
+    return products.filter(F.col("updated_at") > since).join(ours, ["id", "updated_at"], "left_anti")
+
+
+def poll_once(products: DataFrame, state: Store, started: datetime, handle: Callable[[DataFrame], None]) -> bool:
+    """Hands on what others changed since the last successful poll; the cursor moves only after that, and only from where it was.
+
+    Whether it moved: a poll that fails raises and leaves it, one that another has overtaken leaves it too.
+    """
+    last = state.note("cursor")
+    since = datetime.fromisoformat(last) if last else started - timedelta(hours=1)
+    handle(changed_by_others(products, F.lit(since), state.read()))
+    return state.set_note("cursor", started.isoformat(), last)
+
+
 def rollup_stream(hits: DataFrame, late: str = "1 day") -> DataFrame:
     """Daily hits per agent and handle from a stream of requests."""
     day = F.window("at", "1 day")
