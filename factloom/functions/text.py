@@ -31,39 +31,51 @@ def text_or_empty(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
-def _decode_numbered(x: Column, pattern: str, base: int) -> Column:
-    """References by number; numbers that are no character stay as written."""
+def sql_let(x: Column, name: str, body: str) -> Column:
+    """let() with the use written in SQL, where a Column of many parts would take the driver long to build."""
+    return F.call_function("transform", F.array(x), F.expr(f"{name} -> {body}"))[0]
 
-    def char(number: Column, whole: Column) -> Column:
-        def of(point: Column) -> Column:
-            valid = point.between(0, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(whole)
 
-        return let(F.when(F.length(number) <= 8, F.conv(number, base, 10).cast("long")), of)
+def _bound(x: str, name: str, body: str) -> str:
+    return f"transform(array({x}), {name} -> {body})[0]"
 
-    def decoded(v: Column) -> Column:
-        whole, digits = (F.regexp_extract_all(v, F.lit(pattern), F.lit(k)) for k in (0, 1))
-        return F.array_join(F.zip_with(F.split(v, pattern, -1), F.zip_with(digits, whole, char), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
 
-    return let(x, decoded)
+def _numbered(v: str, pattern: str, base: int) -> str:
+    """SQL: references by number decoded; numbers that are no character stay as written."""
+    char = "CASE WHEN point BETWEEN 0 AND 0xD7FF OR point BETWEEN 0xE000 AND 0x10FFFF THEN decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32') ELSE whole END"
+    for number in ("0x10FFFF", "0xD7FF", "0xE000"):
+        char = char.replace(number, str(int(number, 16)))
+    of = _bound(f"CASE WHEN length(digits) <= 8 THEN CAST(conv(digits, {base}, 10) AS BIGINT) END", "point", char)
+    chars = f"zip_with(regexp_extract_all({v}, r'{pattern}', 1), regexp_extract_all({v}, r'{pattern}', 0), (digits, whole) -> {of})"
+    return f"array_join(zip_with(split({v}, r'{pattern}', -1), {chars}, (gap, c) -> concat(gap, coalesce(c, ''))), '')"
+
+
+def _named(w: str, names: list[str]) -> str:
+    for name in names:
+        char = NAMED_ENTITIES[name]
+        w = f"regexp_replace({w}, r'(?i)&{name};', {chr(39) + char + chr(39) if char != chr(39) else chr(34) + char + chr(34)})"
+    return w
+
+
+def _decode_sql() -> str:
+    names = [n for n in NAMED_ENTITIES if n != "amp"]
+    both = _bound(_numbered("v", "(?i)&#x([0-9a-f]+);", 16), "d", _numbered("d", r"&#(\d+);", 10))
+    # most texts have &amp; at most: one search rules the other names out
+    rare = _bound(f"CASE WHEN contains(v, '&#') THEN {both} ELSE v END", "w", f"CASE WHEN regexp_like(w, r'(?i)&({'|'.join(names)});') THEN {_named('w', names)} ELSE w END")
+    return f"CASE WHEN contains(v, '&') THEN {_named(rare, ['amp'])} ELSE v END"
+
+
+DECODE_SQL = _decode_sql()
 
 
 def decode_entities(x: Column) -> Column:
     """Hexadecimal, then decimal, then named references; &amp; last, so that nothing it gives is decoded again."""
+    return sql_let(text_or_empty(x), "v", DECODE_SQL)
 
-    def decoded(v: Column) -> Column:
-        named = F.when(v.contains("&#"), _decode_numbered(_decode_numbered(v, "(?i)&#x([0-9a-f]+);", 16), r"&#(\d+);", 10)).otherwise(v)
-        # most texts have &amp; at most: one search rules the other names out
-        names = [n for n in NAMED_ENTITIES if n != "amp"]
-        rare = let(named, lambda w: F.when(w.rlike(f"(?i)&({'|'.join(names)});"), replaced(w, names)).otherwise(w))
-        return F.when(v.contains("&"), replaced(rare, ["amp"])).otherwise(v)
-
-    def replaced(w: Column, names: list[str]) -> Column:
-        for name in names:
-            w = F.regexp_replace(w, f"(?i)&{name};", NAMED_ENTITIES[name])
-        return w
 
-    return let(text_or_empty(x), decoded)
+def words_column(words: list[str]) -> Column:
+    """An array of words that have no line breaks, as one literal."""
+    return F.split(F.lit("\n".join(words)), "\n") if words else F.array().cast("array<string>")
 
 
 def collapse(x: Column) -> Column:
@@ -86,6 +98,12 @@ def fold_plain(x: Column) -> Column:
     return collapse(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}{WS}-]+", " "))
 
 
+def fold_sql(x: str) -> str:
+    """fold_plain as SQL."""
+    kept = rf"regexp_replace(lower(translate({x}, '{FOLDED}', '{FOLDED_TO}')), r'[^\p{{L}}\p{{N}}{WS}-]+', ' ')"
+    return f"trim(regexp_replace({kept}, r'[{WS}]+', ' '))"
+
+
 def normalize(x: Column) -> Column:
     """Comparison form: tags and marks gone, lower case, letters, digits, hyphens and single spaces only."""
     return fold_plain(strip_tags(x))

@@ -74,7 +74,7 @@ def plain_term(text: Column, term: str, base: str) -> Column:
 
 def group_hits(text: Column, cased: Column, group: Group, stops: list[str]) -> Column:
     """All hits of a label in the order of its terms."""
-    words, parts = F.array(*map(F.lit, stops)), []
+    words, parts = T.words_column(stops), []
     for term in group.terms:
         kind, base = term_kind(term), term_base(term)
         if kind == "measure":
@@ -90,17 +90,16 @@ def group_hits(text: Column, cased: Column, group: Group, stops: list[str]) -> C
     return F.concat(*parts) if parts else F.array().cast(EMPTY)
 
 
-def distinct_hits(hits: Column) -> Column:
-    """First spelling of each normal form, without those inside a longer one."""
-    pairs = F.transform(hits, lambda h: F.struct(h.alias("raw"), T.fold_plain(h).alias("norm")))
+#: Of hits: the first spelling of each normal form, without those inside a longer one.
+DISTINCT_SQL = f"""
+transform(array(transform(hits, h -> named_struct('raw', h, 'norm', {T.fold_sql("h")}))), pairs -> transform(array(transform(pairs, p -> p.norm)), norms ->
+  transform(filter(pairs, (p, i) -> p.norm <> '' AND array_position(norms, p.norm) = i + 1 AND NOT exists(norms, n -> length(n) > length(p.norm) AND contains(n, p.norm))), p -> p.raw))[0])[0]
+"""
 
-    def chosen(p: Column) -> Column:
-        norms = F.transform(p, lambda x: x["norm"])
-        first = F.filter(p, lambda x, i: (x["norm"] != "") & (F.array_position(norms, x["norm"]) == i + 1))
-        inside = lambda x: F.exists(norms, lambda n: (F.length(n) > F.length(x["norm"])) & F.contains(n, x["norm"]))
-        return F.transform(F.filter(first, lambda x: ~inside(x)), lambda x: x["raw"])
 
-    return T.let(pairs, chosen)
+def distinct_hits(hits: Column) -> Column:
+    """First spelling of each normal form, without those inside a longer one."""
+    return T.sql_let(hits, "hits", DISTINCT_SQL)
 
 
 def label_value(hits: Column, group: Group, max_values: int) -> Column:
@@ -147,7 +146,7 @@ def dictionary_rows(settings: DataFrame, extra_stopwords: tuple[str, ...] = ())
     each = groups.select("shop", "group_ord", "label", "said.fallback", F.posexplode("said.terms").alias("term_ord", "term"))
     kind = F.when(F.lower("term") == "#size", "measure").when(F.col("term").startswith("*"), "count").when(F.col("term").endswith("*"), "prefix").otherwise("plain")
     each = each.withColumns({"kind": kind, "base": _stripped(F.regexp_replace("term", r"^\*+|\*+$", ""))})
-    stops = F.array(*map(F.lit, stopword_set(extra_stopwords)))
+    stops = T.words_column(stopword_set(extra_stopwords))
     idle = (F.col("base") == "") | (F.col("kind") == "plain") & F.array_contains(stops, T.fold_plain(F.regexp_replace("base", "<[^>]*>", " ")))
     return each.withColumn("kind", F.when((F.col("kind") != "measure") & idle, "none").otherwise(F.col("kind")))
 
@@ -156,7 +155,7 @@ def colliding_rows(settings: DataFrame) -> DataFrame:
     """Plain terms (shop, label, term) of dictionaries (shop, raw, extra) that are stopwords, or among the shop's extra ones a line or comma apart."""
     terms = dictionary_rows(settings).filter((F.col("kind") == "plain") | (F.col("kind") == "none") & (F.col("base") != "") & ~F.col("term").contains("*"))
     own = settings.select("shop", F.transform(F.split(F.coalesce("extra", F.lit("")), "[\n,]"), T.fold_plain).alias("own"))
-    norm, stops = T.fold_plain(F.regexp_replace("base", "<[^>]*>", " ")), F.array(*map(F.lit, stopword_set()))
+    norm, stops = T.fold_plain(F.regexp_replace("base", "<[^>]*>", " ")), T.words_column(stopword_set())
     hit = (F.col("kind") == "none") | F.array_contains(stops, norm) | (norm != "") & F.array_contains("own", norm)
     return sized_join(terms, own, "shop").filter(hit).select("shop", "label", "term")
 
@@ -267,7 +266,7 @@ def extract_with_table(products: DataFrame, terms: DataFrame, max_values: int =
     text meets only the terms it may hold, however many the dictionaries have; contexts are looked at there alone.
     Keys are unique; a product of a null key, or of a shop without terms, gets no facts.
     """
-    stops = F.array(*map(F.lit, stopword_set()))
+    stops = T.words_column(stopword_set())
     cased = products.select(F.col(key).alias("key"), F.col(shop).alias("shop"), T.prepare_cased(F.col(title), F.col(body)).alias("cased"))
     hits = _hits(cased.select("key", "shop", F.lower("cased").alias("text")), terms, stops)
     group = F.struct("group_ord", "label", "fallback")
