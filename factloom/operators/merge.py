@@ -5,7 +5,7 @@ properties has a row for each (owner_id, key) with value, source (auto, human or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = "map<string,struct<source:string,at:string,engine:string>>"
@@ -104,8 +104,20 @@ def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     return table.join(gone, same, "left_anti")
 
 
+#: Rows of an owner that one task numbers.
+BLOCK_BITS = 12
+
+
 def batches(rows: DataFrame, size: int = 24) -> DataFrame:
-    """rows with the number of the call in which a store with a limit per call would take them, by owner."""
-    from pyspark.sql import Window
+    """rows with the number of the call in which a store with a limit per call would take them, by owner.
 
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("owner_id").orderBy("key")) - 1) / size))
+    Rows are sorted over all owners and numbered in blocks, so that an owner of many rows is many tasks' work.
+    """
+    placed = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)]).alias("rest"), "owner_id", "key")
+    placed = placed.orderBy("owner_id", "key").withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.shiftright("place", BLOCK_BITS))
+    inside = Window.partitionBy("owner_id", "block").orderBy("place")
+    placed = placed.withColumn("nth", F.row_number().over(inside) - 1).withColumn("last", F.count("*").over(Window.partitionBy("owner_id", "block")))
+    before = Window.partitionBy("owner_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = placed.filter("nth = 0").select(F.col("owner_id").alias("o"), F.col("block").alias("b"), F.coalesce(F.sum("last").over(before), F.lit(0)).alias("offset"))
+    met = placed.join(offset, F.col("owner_id").eqNullSafe(F.col("o")) & (F.col("block") == F.col("b")))
+    return met.select(*[F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(rows.columns)], F.floor((F.col("offset") + F.col("nth")) / size).alias("batch"))
