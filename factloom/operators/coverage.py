@@ -88,8 +88,14 @@ def paged_layout(products: DataFrame, path: str, rows: int = 1_000_000) -> None:
     products.repartitionByRange("updated_at", "id").sortWithinPartitions("updated_at", "id").write.option("maxRecordsPerFile", rows).parquet(path)
 
 
-def search(products: DataFrame, query: str) -> DataFrame:
-    """Products whose title, sku or vendor has the words; quotes and backslashes don't count."""
+def search(products: DataFrame, query: str, members: DataFrame | None = None, collection: str | None = None) -> DataFrame:
+    """Products whose title, sku or vendor has the words; quotes and backslashes don't count.
+
+    With members (collection_id, product_id) and a collection only that collection's products.
+    """
+    if members is not None and collection is not None:
+        inside = members.filter(F.col("collection_id") == collection).select(F.col("product_id").alias("id"))
+        products = products.join(inside, "id", "left_semi")
     q = F.lower(F.lit(query.replace('"', "").replace("\\", "").replace("'", "").strip()))
     fields = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q) for c in ("title", "sku", "vendor") if c in products.columns]
     found = fields[0]
@@ -126,3 +132,24 @@ def profiles(record: Column) -> Column:
     """Valid profile addresses of the known platforms, map<string,string>."""
     platforms = F.array(*map(F.lit, ("facebook", "instagram", "tiktok", "youtube", "linkedin", "x", "pinterest")))
     return F.map_filter(F.transform_values(record, lambda _, v: F.trim(v)), lambda k, v: F.array_contains(platforms, k) & T.profile_url(v))
+
+
+TABLE = "columns array<string>, rows array<string>"
+
+
+def collection_rows(collections: DataFrame, properties: DataFrame) -> DataFrame:
+    """collections with what a screen shows of their published fields: columns, table_rows, summary and written.
+
+    properties: (owner_id, key, value), the last by key of several. A malformed table counts as none.
+    """
+    fields = properties.filter(F.col("key").isin("summary", "table")).groupBy("owner_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("summary", "table")])
+    fields = fields.select(F.col("owner_id").alias("collection_id"), F.col("summary").alias("said"), F.from_json("table", TABLE).alias("t"))
+    none = F.array().cast("array<string>")
+    return collections.join(fields, "collection_id", "left").withColumns(
+        {"columns": F.coalesce("t.columns", none), "table_rows": F.coalesce(F.size(F.coalesce("t.rows", none)), F.lit(0)), "summary": F.coalesce("said", F.lit("")), "written": F.coalesce("said", F.lit("")) != ""}
+    ).drop("said", "t")
+
+
+def collection_totals(rows: DataFrame) -> DataFrame:
+    """One row: collections, those with a summary and those with a table."""
+    return rows.agg(F.count("*").alias("n"), F.count_if("written").alias("written"), F.count_if(F.size("columns") > 0).alias("with_table"))

@@ -80,9 +80,12 @@ def mirror_of(mirrors: DataFrame, tenants: DataFrame, domain: str, handle: str)
     return mirrors.filter(F.col("handle") == handle).join(tenants.filter(F.col("domain") == domain).select("tenant"), "tenant", "left_semi")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Appends to a log; a run that is repeated appends again."""
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Appends to a log. A run that is repeated under its name replaces what it appended; without a name it appends again."""
+    if run is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def collection_jsonld(collections: DataFrame, members: DataFrame, most: int = 60) -> DataFrame:

@@ -12,6 +12,8 @@ from factloom.operators import monitor as O
 from factloom.operators import retention as R
 from factloom.operators.extract import extract
 from factloom.plans.testmap import DICTIONARY, SQL_P, candidates, hits, products, properties, spread, table, with_facts
+from factloom.operators.screens import append_log
+from factloom.sources.catalogue import fold_children, read_lines, with_settings
 from factloom.sources.shared import new_dir
 from factloom.sources.store import Store
 from factloom.streaming import freshness as S
@@ -195,3 +197,52 @@ def pages_both_ways(spark, sf_dir):
     back = V.page_before(orders, (top["updated_at"], top["id"]))
     named = lambda df, name: df.select("id", F.lit(name).alias("page"))
     return named(first, "first").unionByName(named(second, "second")).unionByName(named(back, "back"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#3' AND (contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red'))")
+def search_in_collection(spark, sf_dir):
+    p = products(spark, sf_dir)
+    return V.search(p, 'Red"', p.select(F.col("vendor").alias("collection_id"), F.col("id").alias("product_id")), "Brand#3").select("id")
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS k, s_nationkey % 4 AS n FROM supplier) "
+    "SELECT id AS collection_id, CASE WHEN k IN (0, 2) THEN 'Size, Colour' ELSE '' END AS columns, CAST(CASE WHEN k = 0 THEN n ELSE 0 END AS BIGINT) AS table_rows, CASE WHEN k IN (0, 1) THEN 'About ' || id ELSE '' END AS summary, k IN (0, 1) AS written FROM s"
+)
+def collection_screen(spark, sf_dir):
+    """Suppliers as collections: published whole, without a table, with columns only, with a broken table, not at all."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("collection_id"), (F.col("s_suppkey") % 5).alias("k"), (F.col("s_nationkey") % 4).cast("int").alias("n"))
+    rows = F.to_json(F.struct(F.array(F.lit("Size"), F.lit("Colour")).alias("columns"), F.transform(F.slice(F.sequence(F.lit(1), F.lit(4)), F.lit(1), F.col("n")), lambda i: F.struct(i.alias("id"))).alias("rows")))
+    text = F.when(F.col("k") == 0, rows).when(F.col("k") == 2, '{"columns": ["Size", "Colour"]}').when(F.col("k") == 3, "{broken")
+    field = lambda key, value: s.select(F.col("collection_id").alias("owner_id"), F.lit(key).alias("key"), value.alias("value")).filter("value is not null")
+    stored = field("table", text).unionByName(field("summary", F.when(F.col("k") < 2, F.concat(F.lit("About "), F.col("collection_id")))))
+    out = V.collection_rows(s.select("collection_id"), stored)
+    return out.select("collection_id", F.array_join("columns", ", ").alias("columns"), F.col("table_rows").cast("long").alias("table_rows"), "summary", "written")
+
+
+@query("SELECT 'gid://x/Product/' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'New ' ELSE 'Old ' END || o_orderkey AS title, o_orderkey % 2 = 0 AS available FROM orders")
+def export_files(spark, sf_dir):
+    """An export of two files: lines of the second replace products of the first."""
+    at, key = new_dir(spark, "export"), F.col("o_orderkey")
+    line = lambda title, stock: F.to_json(F.struct(F.concat(F.lit("gid://x/Product/"), key).alias("id"), F.concat(F.lit(title), key).alias("title"), stock.alias("inventory")))
+    orders = table(spark, sf_dir, "orders")
+    orders.select(line("Old ", 1 - key % 2)).write.text(f"{at}/a")
+    orders.filter("o_orderkey % 4 = 0").select(line("New ", F.lit(1))).write.text(f"{at}/b")
+    return fold_children(read_lines(spark, f"{at}/*")).select("id", "title", "available")
+
+
+@query("SELECT c_custkey AS tenant, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS dictionary, CASE WHEN c_custkey % 3 = 0 THEN 'a, b' END AS stopwords FROM customer")
+def tenant_settings(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant"), "c_mktsegment")
+    field = lambda key, value, every: c.filter(F.col("tenant") % every == 0).select("tenant", F.lit(key).alias("key"), value.alias("value"))
+    stored = field("dictionary", F.col("c_mktsegment"), 2).unionByName(field("stopwords", F.lit("a, b"), 3)).unionByName(field("unrelated", F.lit("x"), 1))
+    return with_settings(c.select("tenant"), stored, ["dictionary", "stopwords"])
+
+
+@query("SELECT event_type AS agent, count(*) AS n FROM events GROUP BY 1")
+def appended_log(spark, sf_dir):
+    """A log that three runs have appended to, the last of them twice."""
+    at, h = new_dir(spark, "log"), hits(spark, sf_dir).select("event_id", "agent")
+    for number, rest in enumerate((0, 1, 2, 2)):
+        append_log(h.filter(F.col("event_id") % 3 == rest), at, f"r{min(number, 2)}")
+    return spark.read.parquet(at).groupBy("agent").agg(F.count("*").alias("n"))

@@ -45,9 +45,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df on as many partitions as there are cores, if it has fewer: its files are few and each row is much work."""
+    """df on as many partitions as there are cores, if it has fewer files: these are small and each row is much work."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
 def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ FACTS = "array<struct<k:string,v:string>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a text export; line numbers rise in file order inside a file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """(line_no, line) of a text export of one file or several: line_no orders lines by file name and place.
+
+    A large file is read by several tasks, each a stretch of it; numbers rise inside a stretch, stretches by where they begin.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    return spark.read.text(path).select(at.alias("line_no"), F.col("value").alias("line"))
 
 
 def fold_children(lines: DataFrame) -> DataFrame:
@@ -58,3 +62,9 @@ def setting(settings: DataFrame, tenant: str, key: str) -> str | None:
     """One value of a tenant's settings, which are configuration."""
     row = settings.filter((F.col("tenant") == tenant) & (F.col("key") == key)).select("value").first()
     return row["value"] if row else None
+
+
+def with_settings(tenants: DataFrame, settings: DataFrame, keys: list[str]) -> DataFrame:
+    """tenants with a column for each key of their settings (tenant, key, value), null where they have none: one join for all tenants."""
+    chosen = settings.filter(F.col("key").isin(*keys)).groupBy("tenant").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+    return tenants.join(chosen, "tenant", "left")
