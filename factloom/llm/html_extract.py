@@ -6,7 +6,9 @@ and reader comments are taken out by element, role or name; a name counts only i
 per tag, adjusted by the share of link characters and link tags. Children's densities are summed at each node; the
 node of the largest sum holds the article, and the least density on its path to the body is the threshold. Nodes
 that reach it mark, in their subtree, the node of the largest sum as content. The article is the smallest subtree
-that holds all marked nodes and the page's first-level heading, or the article or main element around them.
+that holds the marked nodes, or the article or main element around it; if the densest one is in such an element, those
+outside don't count. The page's first-level heading belongs to it, with what stands between unless that is a menu.
+A form is left out if it is made of controls, not if it wraps the page or its article.
 
 Defined cases: a null html counts as empty; a page without text gives an empty text; unclosed and misplaced tags are
 read as browsers read them, roughly: a tag, or a quoted value in it, that never ends takes the rest of the page; svg
@@ -40,13 +42,25 @@ INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-x
 ONLY_TAG = frozenset({"noscript"})
 #: Elements that end an open one of their kind, up to the element that bounds them.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = frozenset("nav footer aside form head menu dialog button select object embed applet search svg annotation annotation-xml".split()) | RAW
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+DROPPED = frozenset("nav footer aside head menu dialog button select object embed applet search svg annotation annotation-xml".split()) | RAW
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: Words of a class or id that name something other than the article.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices banner popup modal overlay "
     "newsletter subscribe subscription signup login comment comments commentlist respond disqus replies share sharing social related recommended pagination pager toolbar widget skip".split()
 )
+#: Of these the ones an article may be about: an element that is also named as content is judged by its density.
+SUBJECTS = frozenset("ad ads advert adverts advertisement advertisements banner comment comments consent cookie cookies gdpr modal newsletter notice notices promo related share sharing social sponsor sponsored subscription widget".split())
+CONTENT_NAMES = frozenset("article content entry main post story text".split())
+#: Elements that a reader fills in, and what stands beside them.
+CONTROLS, LABELS = frozenset("button select textarea".split()), frozenset("label legend option".split())
+#: Characters of text for each control from which a form is more than a form.
+FORM_TEXT = 60
+#: Share of link characters from which what stands between a heading and the article is a menu.
+MENU_LINKS = 0.3
+#: Share of a page's characters below which its article element isn't its article.
+THIN = 0.2
+SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 #: An attribute and what stands before it; quotes count only where a value begins. Possessive, so nothing is read again.
 ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?+)|'([^']*+)('?+)|([^\s>\"'][^\s>]*+)?+))?+)?+")
@@ -64,6 +78,7 @@ class Dom:
     def __init__(self) -> None:
         self.tag, self.parent, self.dropped, self.foreign, self.article = ["body"], [-1], [False], [False], [False]
         self.named: dict[int, int] = {}
+        self.controls: dict[int, int] = {}
         self.texts: list[tuple[int, str | None]] = []
 
     def add(self, tag: str, parent: int, dropped: bool) -> int:
@@ -135,7 +150,7 @@ class Stack:
 def boilerplate(dom: Dom, tag: str, attributes: list[tuple[str, str]], parent: int) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header" and not (dom.article[parent] or dom.tag[parent] in {"article", "main"}):
+    if tag == "header" and not (dom.article[parent] or dom.tag[parent] in {"article", "main"} or of_content(attributes)):
         return True
     if not attributes or tag in {"body", "html", "article", "main"}:
         return False
@@ -147,12 +162,18 @@ def boilerplate(dom: Dom, tag: str, attributes: list[tuple[str, str]], parent: i
     return False
 
 
+def of_content(attributes: list[tuple[str, str]]) -> bool:
+    """Whether a class or id begins with a word for an article's content, as entry-header."""
+    return any(key in {"class", "id"} and any((w := WORD.findall(name)) and w[0].lower() in CONTENT_NAMES for name in value.split()) for key, value in attributes)
+
+
 def named(tag: str, attributes: list[tuple[str, str]]) -> int:
     """What a class or id says: 0 nothing, 1 a word of boilerplate among others, 2 that the element is boilerplate.
 
     A word among others says nothing of a paragraph, heading or the like.
     """
     most = 0
+    content = any(key in {"class", "id"} and CONTENT_NAMES.intersection(value.lower().split()) for key, value in attributes)
     for key, value in attributes:
         if key not in {"class", "id"}:
             continue
@@ -162,7 +183,7 @@ def named(tag: str, attributes: list[tuple[str, str]]) -> int:
                 continue
             while words[-1] in STRUCTURE:
                 words.pop()
-            most = max(most, 2 if words[-1] in DROPPED_NAMES else 1)
+            most = max(most, 2 if words[-1] in DROPPED_NAMES and not (content and words[-1] in SUBJECTS) else 1)
     return 0 if most == 1 and tag in PROSE else most
 
 
@@ -235,6 +256,8 @@ def parse(page: str) -> Dom:
         top = stack.nodes[-1]
         if tag in BLOCK or tag == "br":
             dom.texts.append((top, None if tag != "br" else " "))
+        if tag in CONTROLS or tag == "input" and ("type", "hidden") not in attributes:
+            dom.controls[top] = dom.controls.get(top, 0) + 1
         if tag in VOID:
             continue
         node = dom.add(tag, top, boilerplate(dom, tag, attributes, top))
@@ -260,6 +283,30 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
     return max(0.0, chars / tags * math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1)) / math.log(base)) if base > 1 else float(chars) / tags
 
 
+def drop_forms(dom: Dom) -> None:
+    """Drops the forms that are made of controls and their labels; one around an article or much text is only a wrapper."""
+    n = len(dom.tag)
+    forms = [k for k in range(n) if dom.tag[k] == "form" and not dom.dropped[k]]
+    if not forms:
+        return
+    label, chars = [False] * n, [0] * n
+    for k in range(1, n):
+        label[k] = label[dom.parent[k]] or dom.tag[k] in LABELS
+    for node, text in dom.texts:
+        if text and not label[node] and not dom.dropped[node]:
+            chars[node] += len("".join(text.split()))
+    controls = [dom.controls.get(k, 0) for k in range(n)]
+    holds = [dom.tag[k] in {"article", "main", "h1"} and not dom.dropped[k] for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        up = dom.parent[k]
+        chars[up] += chars[k]
+        controls[up] += controls[k]
+        holds[up] = holds[up] or holds[k]
+    gone = {k for k in forms if not holds[k] and controls[k] and chars[k] < FORM_TEXT * controls[k]}
+    for k in range(1, n):
+        dom.dropped[k] = dom.dropped[k] or k in gone or dom.dropped[dom.parent[k]]
+
+
 def drop_named(dom: Dom) -> None:
     """Drops the elements whose name says boilerplate, unless what they hold says otherwise.
 
@@ -334,10 +381,19 @@ def _densities(dom: Dom) -> tuple[list[int], list[int], list[float], list[float]
     return chars, links, dense, sums
 
 
-def article_root(dom: Dom) -> int:
-    """The node whose kept text is the article."""
+def _outermost(dom: Dom, tag: str) -> list[int]:
+    """The outermost element of a tag around each node, itself included; -1 where there is none."""
+    out = [-1] * len(dom.tag)
+    for k in range(1, len(dom.tag)):
+        up = out[dom.parent[k]]
+        out[k] = up if up >= 0 else k if dom.tag[k] == tag else -1
+    return out
+
+
+def article_roots(dom: Dom) -> list[int]:
+    """The nodes whose kept text is the article: one, and headings that stand apart from it."""
     n = len(dom.tag)
-    chars, _, dense, sums = _densities(dom)
+    chars, links, dense, sums = _densities(dom)
     # the node of the largest sum below each node, itself included; the earlier one of equals
     best = list(range(n))
     for k in range(n - 1, 0, -1):
@@ -345,6 +401,13 @@ def article_root(dom: Dom) -> int:
         if not dom.dropped[k] and (sums[best[k]], -best[k]) > (sums[best[up]], -best[up]):
             best[up] = best[k]
     top = best[0]
+    # a page's one article, or else its main element, holds the text unless it is plainly too thin
+    zones = [_outermost(dom, "article"), _outermost(dom, "main")]
+    for zone in zones:
+        own = [k for k in range(n) if zone[k] == k and not dom.dropped[k] and chars[k]]
+        if len(own) == 1 and chars[own[0]] >= THIN * chars[0]:
+            top = best[own[0]]
+            break
     threshold, node = dense[top], top
     while node >= 0:
         threshold, node = min(threshold, dense[node]), dom.parent[node]
@@ -356,13 +419,27 @@ def article_root(dom: Dom) -> int:
             marked.append(best[k])
             covered.add(best[k])
     heads = [k for k in range(n) if dom.tag[k] == "h1" and not dom.dropped[k] and chars[k]]
-    root = _common(dom, marked + heads)
-    node, outer = root, -1
-    while node >= 0:
-        if dom.tag[node] in {"article", "main"}:
-            outer = node
-        node = dom.parent[node]
-    return outer if outer >= 0 else root
+    # what is marked beside an article, or beside the main element, isn't the page's own
+    for zone in zones:
+        if zone[top] >= 0:
+            marked = [k for k in marked if zone[k] >= 0]
+            break
+    root = _common(dom, marked)
+    article, main = zones[0][root], zones[1][root]
+    root = article if article >= 0 else main if main >= 0 else root
+    inside = [False] * n
+    inside[root] = True
+    for k in range(root + 1, n):
+        inside[k] = inside[dom.parent[k]]
+    heads = [k for k in heads if not inside[k]]
+    if not heads:
+        return [root]
+    both = _common(dom, [root, *heads])
+    more = chars[both] - chars[root] - sum(chars[k] for k in heads)
+    linked = links[both] - links[root] - sum(links[k] for k in heads)
+    if article < 0 and linked <= MENU_LINKS * more:
+        return [both]
+    return [root, *heads]
 
 
 def _common(dom: Dom, nodes: list[int]) -> int:
@@ -382,14 +459,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     dom = parse(page)
+    drop_forms(dom)
     drop_named(dom)
-    root = article_root(dom)
-    inside = [False] * len(dom.tag)
-    inside[root] = True
-    for k in range(root + 1, len(dom.tag)):
-        inside[k] = inside[dom.parent[k]]
+    roots = {*article_roots(dom)}
+    inside = [k in roots for k in range(len(dom.tag))]
+    for k in range(1, len(dom.tag)):
+        inside[k] = inside[k] or inside[dom.parent[k]]
     parts = [html.unescape(text) if text else " " for node, text in dom.texts if inside[node] and not dom.dropped[node] or text is None]
-    return " ".join("".join(parts).split())
+    return SPACES.sub(" ", "".join(parts)).strip(" ")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
