@@ -7,7 +7,16 @@ extra field SL has the member's size, so that the reader can step over them; oth
 many, are inflated as a stream, and plain archives are stepped over by Content-Length. A file is one task's.
 
 Options of the reader: payload (default true; else the column is null), verify (default false: recompute digest and
-length of response payloads and fail where they differ), partitionBytes. Of the writer: date, level.
+length of response payloads and fail where they differ), partitionBytes, mode. Of the writer: date, level.
+
+Archives of others: heads may end lines with LF alone; a payload is a response's block after its HTTP head, of any
+length, or all of it without one, and is taken out of its chunks if it is chunked; payload_length is counted in the
+record, not read from HTTP headers, but for revisits, which have nothing else to tell it, and is null where neither
+does: for a chunked payload that isn't read, or a revisit without a usable Content-Length. Digests of md5, sha1,
+sha256 and sha512 are verified, in base32 or hexadecimal, over the payload or its chunks as they stand; others
+aren't. payload_digest has no prefix if it is of sha1. A record that is cut short, or whose head has no end or
+no valid Content-Length, fails the query with its file and place, or with mode=dropmalformed is left out together with
+what follows it in its file, which can't be told apart.
 
 Writing stages files and renames them at commit, so a lost executor leaves no half archive that is read.
 
@@ -82,9 +91,59 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+class Malformed(ValueError):
+    """An archive that can't be read as one."""
+
+
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512}
+
+
+def digest_fits(told: str, payloads: list[bytes]) -> bool:
+    """Whether a digest (algorithm:value) is that of one of the payloads; one of another algorithm isn't looked at."""
+    name, _, value = told.partition(":")
+    make = DIGESTS.get(name.lower().replace("-", ""))
+    if make is None:
+        return True
+    found = [make(x) for x in payloads]
+    return value.upper().rstrip("=") in {base64.b32encode(d.digest()).decode().rstrip("=") for d in found} or value.lower() in {d.hexdigest() for d in found}
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked body; None if it isn't one that is whole."""
+    out, at = [], 0
+    while True:
+        line = body.find(b"\n", at)
+        try:
+            size = int(body[at:line].split(b";")[0], 16) if line >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or line + 1 + size > len(body):
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(body[line + 1 : line + 1 + size])
+        at = body.find(b"\n", line + 1 + size) + 1
+        if not at:
+            return None
+
+
+def length_of(headers: dict[str, str]) -> int | None:
+    """Content-Length, of which a list of equal numbers is one; None if there is no valid one."""
+    told = {x.strip() for x in headers.get("content-length", "").split(",")}
+    value = told.pop()
+    return int(value) if not told and value.isascii() and value.isdigit() else None
+
+
+def record_length(head: bytes) -> int:
+    length = length_of(fields(head))
+    if length is None:
+        raise Malformed("a record has no valid Content-Length")
+    return length
+
+
 def fields(head: bytes) -> dict[str, str]:
     """Header lines by lower-case name."""
-    lines = (x.partition(b":") for x in head.split(b"\r\n")[1:])
+    lines = (x.partition(b":") for x in head.split(b"\n")[1:])
     return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, sep, v in lines if sep}
 
 
@@ -94,8 +153,8 @@ def fields(head: bytes) -> dict[str, str]:
 class Part:
     """A record whose headers are known and whose block is read on demand."""
 
-    def __init__(self, head: bytes, rest):
-        self.headers, self.rest = fields(head), rest
+    def __init__(self, head: bytes, rest, length: int):
+        self.headers, self.rest, self.length = fields(head), rest, length
 
 
 def records(stream, size: int) -> Iterator[Part]:
@@ -112,84 +171,105 @@ def records(stream, size: int) -> Iterator[Part]:
             yield from _inflated(stream)  # all that follows, as members of the stream
             return
         if first[:2] == b"\x1f\x8b":
-            part, at = _gzip_part(stream, first, at)
+            part, at = _gzip_part(stream, first, at, size)
         else:
-            part, at = _plain_part(stream, first, at)
+            part, at = _plain_part(stream, first, at, size)
         yield part
 
 
+def _head_end(known: bytes | bytearray, begin: int = 0) -> tuple[int, int]:
+    """Where a head ends and what follows begins; -1 twice if it doesn't end."""
+    ends = [(at, at + len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := known.find(mark, begin)) >= 0]
+    return min(ends, default=(-1, -1))
+
+
 def _split_head(known: bytes, more) -> tuple[bytes, bytes]:
-    while b"\r\n\r\n" not in known:
+    held, looked = bytearray(known), 0
+    while (ends := _head_end(held, looked))[0] < 0:
         add = more()
         if not add:
-            raise ValueError("a record's headers have no end")
-        known += add
-    head, _, rest = known.partition(b"\r\n\r\n")
-    return head, rest
+            raise Malformed("a record's headers have no end")
+        looked = max(0, len(held) - 3)
+        held += add
+    return bytes(held[: ends[0]]), bytes(held[ends[1] :])
+
 
+def _plain_part(stream, first: bytes, at: int, size: int) -> tuple[Part, int]:
+    skip = len(first) - len(first.lstrip(b"\r\n\0"))
+    stream.seek(at + len(first))
+    whole, known = first[skip:], 0
 
-def _plain_part(stream, first: bytes, at: int) -> tuple[Part, int]:
-    skip = len(first) - len(first.lstrip(b"\r\n"))
-    head, rest = _split_head(first[skip:], lambda: stream.read(HEAD_BYTES))
-    begin, length = at + skip + len(head) + 4, int(fields(head)["content-length"])
+    def more() -> bytes:
+        nonlocal known
+        add = stream.read(HEAD_BYTES)
+        known += len(add)
+        return add
+
+    head, rest = _split_head(whole, more)
+    begin, length = at + len(first) + known - len(rest), record_length(head)
 
     def block(most: int | None = None) -> bytes:
         want = length if most is None else min(most, length)
         if len(rest) >= want:
             return rest[:want]
         stream.seek(begin)
-        return stream.read(want)
+        got = stream.read(want)
+        if len(got) < want:
+            raise Malformed("a record ends early")
+        return got
 
-    return Part(head, block), begin + length
+    if begin + length > size:
+        raise Malformed("a record ends early")
+    return Part(head, block, length), begin + length
 
 
-def _gzip_part(stream, first: bytes, at: int) -> tuple[Part, int]:
-    total = struct.unpack("<Q", first[16:24])[0]
-    inflate = zlib.decompressobj(-15)
-    known = inflate.decompress(first[32 : min(len(first), total - 8)], HEAD_BYTES)
-    head, rest = _split_head(known, lambda: _more(inflate, stream))
-    length = int(fields(head)["content-length"])
+def _block_of(length: int, rest: bytes, read) -> tuple:
+    """A block whose bytes are read on demand, and how many have been taken of it."""
+    taken = bytearray(rest[:length])
 
     def block(most: int | None = None) -> bytes:
-        nonlocal rest
         want = length if most is None else min(most, length)
-        while len(rest) < want:
-            add = _more(inflate, stream)
+        while len(taken) < want:
+            add = read(want - len(taken))
             if not add:
-                raise ValueError("a record ends early")
-            rest += add
-        return rest[:want]
+                raise Malformed("a record ends early")
+            taken.extend(add)
+        return bytes(taken[:want])
 
-    return Part(head, block), at + total
+    return block, taken
+
+
+def _gzip_part(stream, first: bytes, at: int, size: int) -> tuple[Part, int]:
+    total = struct.unpack("<Q", first[16:24])[0]
+    if total < 40 or at + total > size:
+        raise Malformed("a record ends early")
+    inflate = zlib.decompressobj(-15)
+    known = inflate.decompress(first[32 : min(len(first), total - 8)], HEAD_BYTES)
+    head, rest = _split_head(known, lambda: _more(inflate, stream))
+    length = record_length(head)
+    block, _ = _block_of(length, rest, lambda _: _more(inflate, stream))
+    return Part(head, block, length), at + total
 
 
 def _inflated(stream) -> Iterator[Part]:
     """Records of gzip members, read one after the other; of a block nothing is kept that isn't asked for."""
-    known, plain = b"", gzip.GzipFile(fileobj=stream)
+    known, plain = b"", gzip.GzipFile(fileobj=stream)  # read1 gives what there is before it meets a broken member
     while True:
-        known = known.lstrip(b"\r\n\0") or plain.read(HEAD_BYTES).lstrip(b"\r\n\0")
+        known = known.lstrip(b"\r\n\0") or plain.read1(HEAD_BYTES).lstrip(b"\r\n\0")
         if not known:
             if not plain.peek(1):
                 return
             continue
-        head, rest = _split_head(known, lambda: plain.read(HEAD_BYTES))
-        length = int(fields(head)["content-length"])
-        taken = rest[:length]
-
-        def block(most: int | None = None) -> bytes:
-            nonlocal taken
-            want = length if most is None else min(most, length)  # noqa: B023  called before the next record
-            if len(taken) < want:
-                taken += plain.read(want - len(taken))
-            return taken[:want]
-
-        yield Part(head, block)
+        head, rest = _split_head(known, lambda: plain.read1(HEAD_BYTES))
+        length = record_length(head)
+        block, taken = _block_of(length, rest, plain.read1)
+        yield Part(head, block, length)
         left = length - len(taken)
         known = rest[length:]
         while left > 0:
-            skipped = len(plain.read(min(left, 1 << 20)))
+            skipped = len(plain.read1(min(left, 1 << 20)))
             if not skipped:
-                raise ValueError("a record ends early")
+                raise Malformed("a record ends early")
             left -= skipped
 
 
@@ -219,6 +299,9 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
+        self.mode = options.get("mode", "failfast").lower()
+        if self.mode not in {"failfast", "dropmalformed"}:
+            raise ValueError("mode is failfast or dropmalformed")
         self.wanted: dict[str, set[str]] = {}
 
     def pushFilters(self, filters):  # noqa: N802  the data source API's name
@@ -230,7 +313,7 @@ class WarcReader(DataSourceReader):
             values = {f.value} if isinstance(f, EqualTo) else set(f.value)
             name = HEADERS[column]
             if column == "payload_digest":
-                values = {f"sha1:{v}" for v in values}
+                values = {v if v and ":" in v else f"sha1:{v}" for v in values}
             self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
 
     def partitions(self):
@@ -248,33 +331,58 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path, size in partition.files:
             with system.open_input_file(path) as stream:
-                for part in records(stream, size):
-                    if all(part.headers.get(name) in values for name, values in self.wanted.items()):
-                        row = self.row(part)
-                        rows.append(row)
-                        held += len(row[-1] or b"") + 500
-                        if held > 8 << 20:
-                            yield _batch(rows)
-                            rows, held = [], 0
+                for row in self.rows(path, stream, size):
+                    rows.append(row)
+                    held += len(row[-1] or b"") + 500
+                    if held > 8 << 20:
+                        yield _batch(rows)
+                        rows, held = [], 0
         if rows:
             yield _batch(rows)
 
+    def rows(self, path: str, stream, size: int) -> Iterator[tuple]:
+        """Rows of a file's records that are wanted; mode says what happens where it can't be read on."""
+        n = 0
+        try:
+            for part in records(stream, size):
+                if all(part.headers.get(name) in values for name, values in self.wanted.items()):
+                    yield self.row(part)
+                n += 1
+        except (Malformed, EOFError, zlib.error, gzip.BadGzipFile, struct.error) as e:
+            if self.mode == "failfast":
+                raise Malformed(f"{path}, record {n}: {e}") from e
+
     def row(self, part: Part) -> tuple:
         h = part.headers
-        http, payload, length = "http" in h.get("content-type", "") and h.get("warc-type") in {"response", "revisit"}, None, None
-        whole = self.payload or self.verify and h.get("warc-type") == "response"
+        kind, told = h.get("warc-type"), h.get("warc-payload-digest", "")
+        http, payload, length = "http" in h.get("content-type", "") and kind in {"response", "revisit"}, None, None
+        whole = self.payload or self.verify and kind == "response"
+        raw = None
         if http:
-            block = part.rest(None if whole else HEAD_BYTES)
-            head, _, body = block.partition(b"\r\n\r\n")
-            payload = body if whole and h["warc-type"] == "response" else None
-            length = int(fields(head).get("content-length", -1))
-        elif whole:
-            payload = part.rest()
-            length = len(payload)
-        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        if self.verify and h.get("warc-type") == "response" and (digest_of(payload), len(payload)) != (digest, length):
+            # the head may be longer than what is read at first
+            most = part.length if whole else min(HEAD_BYTES, part.length)
+            block = part.rest(most)
+            while (ends := _head_end(block))[0] < 0 and most < part.length:
+                most = min(8 * most, part.length)
+                block = part.rest(most)
+            head, begin = (block[: ends[0]], ends[1]) if ends[0] >= 0 else (b"", 0)
+            own = fields(head)
+            chunked = "chunked" in own.get("transfer-encoding", "").lower()
+            if kind == "revisit":
+                length = length_of(own)
+            elif whole:
+                raw = block[begin:]
+                payload = unchunked(raw) if chunked else raw
+                payload = raw if payload is None else payload
+                length = len(payload)
+            elif not chunked:
+                length = part.length - begin
+        else:
+            length = part.length
+            payload = raw = part.rest() if whole else None
+        if self.verify and kind == "response" and not digest_fits(told, [payload, raw] if told else []):
             raise ValueError(f"payload of {h.get('warc-record-id')} differs from its headers")
-        return h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), digest, h.get("warc-refers-to"), length, list(h.items()), payload if self.payload else None
+        return kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), told.removeprefix("sha1:") or None, h.get("warc-refers-to"), length, list(h.items()), payload if self.payload else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
