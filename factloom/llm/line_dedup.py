@@ -3,10 +3,11 @@
 A line is parsed to a fixed depth: its token count, then its leading tokens, tokens with a digit masked as <*>. That
 is its leaf. The tokens after the leading ones fall into BANDS runs of nearly equal length. Two lines of a leaf fit
 the same template if they agree on all but half of the bands, wherever those lie; what the bands left out hold are the
-template's variable fields. So lines that differ in up to half as many fields as there are bands always share a
-template, fields of one band counting once. A template with a variable band needs MIN_FIXED unmasked tokens or more
-that are the same in all its lines, so that prose of a few common words isn't taken for a template; without one, the
-lines are equal but for masked tokens. (A sentence of which half the bands, and seven words or more, are
+template's variable fields. So lines that differ in up to half as many fields as there are bands share a template,
+fields of one band counting once, if the fields lie below the leaf and enough tokens are left. Lines that differ in a
+word among the leading tokens are of different leaves and share none. A template with a variable band needs MIN_FIXED
+unmasked tokens or more that are the same in all its lines, so that prose of a few common words isn't taken for a
+template; without one, the lines are equal but for masked tokens, so short lines whose field is a word aren't found. (A sentence of which half the bands, and seven words or more, are
 the same in three documents is a template here, whoever wrote it.) Each line is given the keys of all its templates, which makes the tree
 independent of the order of lines. A template found in min_docs documents or more is boilerplate: its lines go from
 every document but the one with the smallest doc_id.
