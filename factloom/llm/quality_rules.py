@@ -3,7 +3,7 @@
 A text's character-class histogram and its common-word histogram are compared with those of each reference
 language by Jensen-Shannon distance (base 2, square root). One language counts for both: of those that the text isn't
 rejected for, or else of all, the one of the least sum of both distances; a text of another language than these is
-far from all and rejected. A text is rejected for a language if its
+far from most, but one of a near language may pass (Italian prose is kept as French). A text is rejected for a language if its
 character distance exceeds MAX_CHAR_DISTANCE, or its word distance MAX_WORD_DISTANCE, each by more than
 1 / sqrt(n) for the n characters or words counted: a histogram of few samples strays that far by chance. That both
 stray by chance is unlikely, so a text is rejected too if both distances exceed their plain limits. Texts of
