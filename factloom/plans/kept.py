@@ -11,7 +11,7 @@ from factloom.operators import merge as M
 from factloom.operators import monitor as O
 from factloom.operators import retention as R
 from factloom.operators.extract import extract
-from factloom.plans.testmap import DICTIONARY, SQL_P, candidates, hits, products, properties, spread, table, with_facts
+from factloom.plans.testmap import DICTIONARY, SQL_P, candidates, hits, products, properties, spread, stored, table, with_facts
 from factloom.operators.screens import append_log
 from factloom.sources.catalogue import fold_children, read_lines, with_settings
 from factloom.sources.shared import new_dir
@@ -41,7 +41,7 @@ PROPERTIES = "owner_id long, key string, type string, value string, source strin
 )
 def store_merge(spark, sf_dir):
     """The store on disk after a change of one product in a hundred, which reads and writes these products' partitions only."""
-    p = with_facts(spark, sf_dir)
+    p = stored(with_facts(spark, sf_dir).select("id", "facts"), "facts")
     store = Store(spark, new_dir(spark, "properties"), PROPERTIES, ["owner_id"], buckets=256)
     store.change(properties(p), lambda current, new: new)
     store.change(candidates(p).filter("owner_id % 100 = 0"), lambda current, new: M.apply_actions(current, M.merge_actions(new, current), F.lit("2024-02-01"), "2"))

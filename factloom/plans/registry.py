@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from factloom.operators import merge as M
 from factloom.operators import monitor as O
 from factloom.operators import variants as L
 from factloom.plans import kept, more
-from factloom.plans.testmap import DICTIONARY, NOW, SQL_C, SQL_P, candidates, collections, hits, jobs, members, products, properties, spread, table, with_facts
+from factloom.plans.testmap import DICTIONARY, NOW, SQL_C, SQL_P, candidates, collections, hits, jobs, members, products, properties, spread, stored, table, with_facts
 from factloom.sources.catalogue import fold_rows
 from factloom.streaming.freshness import sweep_missing
 
@@ -365,13 +364,13 @@ ACTION = "CASE WHEN p_partkey % 6 IN (0) THEN 'skipped' WHEN p_partkey % 4 = 0 T
 
 @query(f"SELECT p_partkey AS owner_id, 'facts' AS key, {ACTION} AS action FROM part")
 def merge_actions(spark, sf_dir):
-    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # one extraction for both sides
+    p = stored(with_facts(spark, sf_dir).select("id", "facts"), "facts")  # one extraction for both sides
     return M.merge_actions(candidates(p), properties(p)).select("owner_id", "key", "action")
 
 
 @query(f"SELECT p_partkey AS owner_id, CASE WHEN {ACTION} = 'written' OR p_partkey % 6 IN (1, 2, 4) THEN 'auto' WHEN p_partkey % 6 = 0 THEN 'human' END AS source FROM part WHERE NOT ({ACTION} = 'removed') AND NOT ({ACTION} = 'none' AND p_partkey % 6 = 3)")
 def merge_apply(spark, sf_dir):
-    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    p = stored(with_facts(spark, sf_dir).select("id", "facts"), "facts")
     return M.apply_actions(properties(p), M.merge_actions(candidates(p), properties(p)), F.lit("2024-02-01"), "2").select("owner_id", "source")
 
 
@@ -383,7 +382,7 @@ def may_write(spark, sf_dir):
 
 @query("SELECT count(*) AS sampled, CAST(0 AS BIGINT) AS none, count(*) FILTER (p_partkey % 6 = 0) AS would_skip, least(20, count(*)) AS n_examples FROM part")
 def dry_run(spark, sf_dir):
-    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    p = stored(with_facts(spark, sf_dir).select("id", "title", "facts"), "facts")
     p = p.join(properties(p).withColumnRenamed("owner_id", "id"), "id", "left")
     out = V.dry_run(p, M.may_write(F.col("source"), F.col("value")))
     return out.select("sampled", "none", "would_skip", F.size("examples").cast("long").alias("n_examples"))
@@ -405,7 +404,7 @@ def mirrored_flag(spark, sf_dir):
 
 @query(SQL_P + "SELECT id, len(facts) AS n_facts, n_images, n_described, p_partkey % 6 = 0 AS edited FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS n_images, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS n_described FROM f) WHERE vendor = 'Brand#1' OR contains(lower(title), 'brand#1') OR contains(lower(vendor), 'brand#1')")
 def catalogue_screen(spark, sf_dir):
-    p = V.search(with_facts(spark, sf_dir), 'Brand#1"').persist(StorageLevel.DISK_ONLY)
+    p = stored(V.search(with_facts(spark, sf_dir), 'Brand#1"'), "screen")
     images = products(spark, sf_dir).filter("id % 2 = 0").select("id", F.explode(F.array(F.lit("one"), F.lit(" "), F.lit("three"))).alias("alt"))
     mirrors = hits(spark, sf_dir).select("handle")
     rows = V.catalogue_rows(p, images, properties(with_facts(spark, sf_dir)).withColumnRenamed("owner_id", "id"), mirrors)

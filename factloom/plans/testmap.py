@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.extract import extract
+from factloom.sources.shared import new_dir
 
 DICTIONARY = """\
 Colour: red, blue
@@ -50,13 +50,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what reads it more than once: it outlives executors, and plans on it are short."""
+    at = new_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spread(products(spark, sf_dir)), DICTIONARY)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of each brand, in order of their ids."""
-    p = with_facts(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # read for the labels and again for the rows
+    p = stored(with_facts(spark, sf_dir).select("vendor", "id", "title", "facts"), "members")  # read for the labels and again for the rows
     return p.select(F.col("vendor").alias("collection_id"), F.col("id").alias("pos"), F.col("id").alias("product_id"), "title", "facts")
 
 
