@@ -52,3 +52,8 @@ def split_levels(products: DataFrame, facts: str = "facts", variants: str = "var
             "variant_facts": F.when(F.size("__varying") > 0, F.filter(own, lambda v: F.size(v["facts"]) > 0)).otherwise(none),
         }
     ).drop("__varying")
+
+
+def price_range(offers: DataFrame, by: str = "id", price: str = "price") -> DataFrame:
+    """(by, low, high, n_offers) of a product's offers; an offer without a price counts as one but sets no bound."""
+    return offers.groupBy(by).agg(F.min(price).alias("low"), F.max(price).alias("high"), F.count("*").alias("n_offers"))

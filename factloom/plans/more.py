@@ -313,3 +313,33 @@ def product_lookup(spark, sf_dir):
 def poll_cursors(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), poll_cursor(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.col("o_orderdate")).alias("cursor"))
+
+
+FEW = "SELECT p_partkey AS id, p_name AS title, CASE p_size % 4 WHEN 0 THEN 'Hall' WHEN 1 THEN 'Kitchen, hall' END AS room, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) END AS occasion, CASE WHEN p_partkey % 5 = 0 THEN 'everyday' END AS usage FROM part"
+
+
+def few_facts(spark, sf_dir):
+    """Products of which some have no facts: a room, an occasion and a use by their columns."""
+    size, key = F.col("p_size") % 4, F.col("p_partkey")
+    told = [("Room", F.when(size == 0, "Hall").when(size == 1, "Kitchen, hall")), ("Occasion", F.when(key % 3 == 0, F.lower("p_type"))), ("Use", F.when(key % 5 == 0, "everyday"))]
+    facts = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in told]), lambda f: f["v"].isNotNull())
+    return table(spark, sf_dir, "part").select(key.alias("id"), F.col("p_name").alias("title"), facts.alias("facts"))
+
+
+@query(f"SELECT id, concat_ws('; ', room, coalesce(occasion, usage)) AS fit_for FROM ({FEW})")
+def fit_for_rooms(spark, sf_dir):
+    return few_facts(spark, sf_dir).select("id", D.fit_for(C_("facts")).alias("fit_for"))
+
+
+@query(f"SELECT count(*) AS sampled, count(*) FILTER (coalesce(room, occasion, usage) IS NULL) AS none, CAST(floor(100.0 * count(*) FILTER (coalesce(room, occasion, usage) IS NOT NULL) / count(*) + 0.5) AS BIGINT) AS percent FROM ({FEW})")
+def coverage_totals_none(spark, sf_dir):
+    return V.coverage_totals(few_facts(spark, sf_dir))
+
+
+@query(
+    f"WITH f AS ({FEW}), shown AS (SELECT id, title FROM (SELECT * FROM f ORDER BY coalesce(room, occasion, usage) IS NULL, id LIMIT 20) WHERE coalesce(room, occasion, usage) IS NOT NULL) "
+    "SELECT count(*) AS sampled, count(*) FILTER (coalesce(room, occasion, usage) IS NULL) AS none, count(*) FILTER (id % 7 = 0) AS would_skip, (SELECT string_agg(title, ', ' ORDER BY id) FROM shown) AS examples FROM f"
+)
+def dry_run_none(spark, sf_dir):
+    out = V.dry_run(few_facts(spark, sf_dir), C_("id") % 7 != 0)
+    return out.select("sampled", "none", "would_skip", F.array_join(F.transform("examples", lambda x: x["title"]), ", ").alias("examples"))

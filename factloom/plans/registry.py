@@ -354,7 +354,7 @@ def fold_children(spark, sf_dir):
 
 @query("SELECT l_orderkey AS id, min(l_extendedprice) AS low, max(l_extendedprice) AS high, count(*) AS n_offers FROM lineitem GROUP BY 1")
 def price_range(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.count("*").alias("n_offers"))
+    return L.price_range(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price")))
 
 
 # ---------------------------------------------------------------- the property store
