@@ -263,7 +263,7 @@ def train_network(texts: list[np.ndarray], y: np.ndarray, least_signal: float, e
 
 
 def best_threshold(margins: np.ndarray, y: np.ndarray) -> float:
-    """The margin from which predicting 1 gives the best F1, in the middle of the widest gap that does."""
+    """The margin from which predicting 1 gives the best F1, in the widest gap that does; nearer to the class of more rows, whose edge is known better."""
     order = np.argsort(-margins, kind="stable")
     m, hit = margins[order], np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(m) + 1) + y.sum())
@@ -271,7 +271,8 @@ def best_threshold(margins: np.ndarray, y: np.ndarray) -> float:
     gaps = np.append(m[:-1] - m[1:], 1.0)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = best[gaps[best].argmax()]
-    return float(m[k] - min(gaps[k], 2.0) / 2)
+    few, many = np.sqrt(y.sum()), np.sqrt((1 - y).sum())
+    return float(m[k] - gaps[k] * many / max(few + many, 1))
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray) -> Model | None:
