@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as piece ids, with the segmentation's score."""
-    return encode_texts(docs, most=200_000)
+    return encode_texts(docs, most=120_000)
 
 
 STAGES = [
