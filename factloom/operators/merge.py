@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import new_dir
+
 STATE = "map<string,struct<source:string,at:string,engine:string>>"
 
 
@@ -111,10 +113,13 @@ BLOCK_BITS = 12
 def batches(rows: DataFrame, size: int = 24) -> DataFrame:
     """rows with the number of the call in which a store with a limit per call would take them, by owner.
 
-    Rows are sorted over all owners and numbered in blocks, so that an owner of many rows is many tasks' work.
+    Rows are sorted over all owners, null keys last, and numbered in blocks, so that an owner of many rows is many tasks'
+    work. The sorted rows are written to the shared folder: a second sort of many rows may part them at other places.
     """
     placed = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)]).alias("rest"), "owner_id", "key")
-    placed = placed.orderBy("owner_id", "key").withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.shiftright("place", BLOCK_BITS))
+    at = new_dir(rows.sparkSession, "batches")
+    placed.orderBy("owner_id", F.asc_nulls_last("key")).select("rest", "owner_id", F.monotonically_increasing_id().alias("place")).write.parquet(at)
+    placed = rows.sparkSession.read.parquet(at).withColumn("block", F.shiftright("place", BLOCK_BITS))
     inside = Window.partitionBy("owner_id", "block").orderBy("place")
     placed = placed.withColumn("nth", F.row_number().over(inside) - 1).withColumn("last", F.count("*").over(Window.partitionBy("owner_id", "block")))
     before = Window.partitionBy("owner_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

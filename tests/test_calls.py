@@ -69,3 +69,12 @@ def test_batches_of_a_large_owner(spark, monkeypatch):
     for own in got.values():
         assert [b for _, b in sorted(own)] == [k // 24 for k in range(len(own))]
     assert len(got) == 4 and len(got[None]) == 466
+
+
+def test_batches_of_rows_that_a_sort_parts_by_a_sample(spark):
+    """Beyond a sample's size, two sorts part rows at other places; every row has one batch, null keys the last places."""
+    rows = spark.range(200_000, numPartitions=8).select((F.xxhash64("id") % 40).alias("owner_id"), F.when(F.col("id") % 50 > 0, F.hex(F.xxhash64(F.col("id") + 1))).alias("key"), F.col("id").alias("no"))
+    got = M.batches(rows).toPandas()
+    assert got["no"].is_unique and len(got) == 200_000
+    for _, own in got.groupby("owner_id"):
+        assert list(own.sort_values(["key", "batch"], na_position="last")["batch"]) == [k // 24 for k in range(len(own))]
