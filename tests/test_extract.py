@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import patterns as P
 from factloom.functions.dictionary import colliding_terms, normalize_py, parse_dictionary, parse_stopwords, stopword_set, term_base, term_kind
-from factloom.operators.extract import dictionary_rows, dictionary_table, extract, extract_with_table
+from factloom.operators.extract import dictionary_rows, dictionary_table, extract, extract_with_table, measurements
 
 
 def facts(spark, texts, dictionary, **options):
@@ -165,3 +165,21 @@ def test_table_cases(spark):
     assert extract_with_table(df.limit(0), terms).count() == 0 and extract_with_table(df, terms.limit(0)).filter("size(facts) > 0").count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_extraction_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """Rows of one small file are many tasks' work, and tasks grow in number with the rows."""
+    from factloom.plans import registry, testmap
+
+    part = spark.range(100).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "1 AS p_size", "9.5D AS p_retailprice")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.extract_kinds(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 4 and {tuple(r)[1:] for r in found.filter("id < 2").collect()} == {("width 1 cm", f"{n} screws", "finish matt grey") for n in (2, 3)}
+    monkeypatch.setattr(testmap, "TASK_ROWS", 10)
+    assert registry.extract_kinds(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def test_named_dimensions_are_searched_once(spark):
+    df = spark.createDataFrame([("Height: 5,5 mm and xînălțime=3 inch, L 4\" H2 iN",), ("3 kg înălțime 4",)], "c string").select(measurements(F.col("c")).alias("m"))
+    assert [r["m"] for r in df.collect()] == [["height 5,5 mm", "înălțime 3 inch", 'L 4 "', "H 2 iN"], ["3 kg"]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(P.NAMED[:60]) == 1
