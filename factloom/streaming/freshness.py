@@ -44,7 +44,8 @@ def refresh_changed(products: DataFrame, changed: DataFrame, properties: DataFra
 
 def sweep_missing(products: DataFrame, properties: DataFrame) -> DataFrame:
     """Products without facts in the store."""
-    have = properties.filter((F.col("key") == "facts") & (F.coalesce("value", F.lit("")) != "")).select(F.col("owner_id").alias("id"))
+    # explode_outer: the optimizer would push the test of value below what computes it, with every step of that written out again
+    have = properties.filter(F.col("key") == "facts").select(F.col("owner_id").alias("id"), F.explode_outer(F.array("value")).alias("value")).filter(F.coalesce("value", F.lit("")) != "").select("id")
     return products.join(have, "id", "left_anti")
 
 

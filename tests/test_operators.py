@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import collections as C
 from factloom.operators import coverage as V
 from factloom.operators import derive as D
+from factloom.operators import extract as X
 from factloom.operators import monitor as O
 from factloom.operators import variants as L
 from factloom.sources.catalogue import facts_of, fold_children
@@ -120,3 +121,13 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda rows: sorted((r["owner_id"], r["key"], r["value"]) for r in rows)
     assert key(out["rows"]) == key(batch) and len({r["owner_id"] for r in batch}) == 4
     assert S.sweep_missing(products, spark.createDataFrame(batch)).count() == 2
+
+
+def test_sweep_tests_values_above_what_computes_them(spark):
+    """The optimizer doesn't write the extraction into the sweep's filter, where it would run once for each step that reads it."""
+    products = spark.createDataFrame([(1, "red bolt"), (2, "")], "id long, title string").withColumn("description_html", F.lit(""))
+    properties = X.extract(products, "Colour: red").select(F.col("id").alias("owner_id"), F.lit("facts").alias("key"), F.to_json("facts").alias("value"))
+    swept = S.sweep_missing(products, properties.withColumn("value", F.nullif("value", F.lit("[]"))))
+    assert [r["id"] for r in swept.select("id").collect()] == [2]
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and not [line for line in plan.splitlines() if " Filter " in f" {line.lstrip(' :+-')} " and "regexp" in line]
