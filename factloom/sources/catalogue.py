@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import new_dir
+
 LINE = "id string, __parentId string, title string, handle string, descriptionHtml string, vendor string, productType string, onlineStoreUrl string, price string, currency string, inventory long, updatedAt timestamp, selectedOptions array<struct<name:string,value:string>>, key string, value string"
 FACTS = "array<struct<k:string,v:string>>"
 
@@ -23,9 +25,12 @@ def fold_children(lines: DataFrame) -> DataFrame:
 
     Lines are told apart by their ids and keys. Blank and malformed lines and orphans fall away; of a repeated
     product id the later line counts, in the first one's place; a metafield belongs to the product of its parent id
-    or else to the variant.
+    or else to the variant. Parsed lines are written to the shared folder: they are read four times, and conditions on
+    their fields would be pushed below the parser and run it for each field they name.
     """
-    parsed = lines.filter(F.trim("line") != "").select("line_no", F.from_json("line", LINE).alias("x")).select("line_no", "x.*")
+    parsed, at = lines.filter(F.trim("line") != "").select("line_no", F.from_json("line", LINE).alias("x")).select("line_no", "x.*"), new_dir(lines.sparkSession, "lines")
+    parsed.write.parquet(at)
+    parsed = lines.sparkSession.read.schema(parsed.schema).parquet(at)
     kind = F.coalesce("id", F.lit(""))  # metafields may have none
     is_product = kind.contains("/Product/") & F.col("title").isNotNull()
     is_variant = kind.contains("/ProductVariant/") & F.col("__parentId").isNotNull()

@@ -131,3 +131,11 @@ def test_sweep_tests_values_above_what_computes_them(spark):
     assert [r["id"] for r in swept.select("id").collect()] == [2]
     plan = swept._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" in plan and not [line for line in plan.splitlines() if " Filter " in f" {line.lstrip(' :+-')} " and "regexp" in line]
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, '{"id":"gid://x/Product/1","title":"a"}'), (2, '{"id":"gid://x/ProductVariant/2","title":"b","__parentId":"gid://x/Product/1"}'), (3, '{"key":"k","value":"v","__parentId":"gid://x/ProductVariant/2"}')], "line_no int, line string")
+    folded = fold_children(lines)
+    row = folded.first()
+    assert (row["id"], row["metafields"], row["variants"][0]["metafields"][0]["value"]) == ("gid://x/Product/1", [], "v")
+    assert "from_json" not in folded._jdf.queryExecution().optimizedPlan().toString()
