@@ -25,9 +25,9 @@ def _label(x: Column) -> Column:
 def varying_names(variants: Column) -> Column:
     """Names of options that have several values across the variants, sorted."""
     pairs = F.flatten(F.transform(variants, lambda v: F.transform(F.filter(v["selected_options"], _real), lambda o: F.struct(_label(o["name"]).alias("n"), _label(o["value"]).alias("v")))))
-    distinct = F.array_distinct(pairs)
-    names = F.transform(distinct, lambda p: p["n"])
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)))
+    names = F.transform(F.array_distinct(pairs), lambda p: p["n"])
+    # bound: an expression inside a lambda is computed for each element
+    return T.let(names, lambda all_: F.array_sort(F.array_distinct(F.filter(all_, lambda n: F.size(F.filter(all_, lambda m: m == n)) > 1))))
 
 
 def varying_options(options: DataFrame, keys: list[str]) -> DataFrame:

@@ -139,3 +139,10 @@ def test_lines_are_parsed_once(spark):
     row = folded.first()
     assert (row["id"], row["metafields"], row["variants"][0]["metafields"][0]["value"]) == ("gid://x/Product/1", [], "v")
     assert "from_json" not in folded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_option_names_are_bound(spark):
+    """Names of options are listed once, not again for each option."""
+    df = spark.createDataFrame([([("S", "a"), ("R", "x")], [("s ", "b"), ("R", "X")])], "a array<struct<name:string,value:string>>, b array<struct<name:string,value:string>>")
+    names = df.select(L.varying_names(F.array(F.struct(F.col("a").alias("selected_options")), F.struct(F.col("b").alias("selected_options")))).alias("n"))
+    assert names.first()["n"] == ["s"] and names._jdf.queryExecution().optimizedPlan().toString().count("flatten") == 1
