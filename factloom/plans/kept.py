@@ -11,7 +11,7 @@ from factloom.operators import merge as M
 from factloom.operators import monitor as O
 from factloom.operators import retention as R
 from factloom.operators.extract import extract
-from factloom.plans.testmap import DICTIONARY, SQL_P, candidates, hits, products, properties, spread, stored, table, with_facts
+from factloom.plans.testmap import DICTIONARY, SQL_P, candidates, hits, products, properties, stored, table, with_facts
 from factloom.operators.screens import append_log
 from factloom.sources.catalogue import fold_children, read_lines, with_settings
 from factloom.sources.shared import new_dir
@@ -141,7 +141,7 @@ def alt_merge_runs(spark, sf_dir):
 @query(SQL_P + "SELECT u.k AS label, count(*) AS n_products FROM (SELECT unnest(facts) AS u FROM f) GROUP BY 1")
 def coverage_kept(spark, sf_dir):
     """Counts of an older catalogue after the differences of what has changed, come or gone: those of a recount."""
-    now = spread(products(spark, sf_dir))
+    now = products(spark, sf_dir, apart=True)
     k = F.col("id") % 10
     was = now.filter(k != 1).withColumn("title", F.when(k == 2, "gizmo").otherwise(F.col("title"))).unionByName(now.filter("id % 50 = 0").withColumn("id", -F.col("id") - 1))
     changed = lambda df, *kinds: extract(df, DICTIONARY).filter((F.col("id") % 10).isin(*kinds) | (F.col("id") < 0)).select("id", "facts")

@@ -183,3 +183,11 @@ def test_named_dimensions_are_searched_once(spark):
     df = spark.createDataFrame([("Height: 5,5 mm and xînălțime=3 inch, L 4\" H2 iN",), ("3 kg înălțime 4",)], "c string").select(measurements(F.col("c")).alias("m"))
     assert [r["m"] for r in df.collect()] == [["height 5,5 mm", "înălțime 3 inch", 'L 4 "', "H 2 iN"], ["3 kg"]]
     assert df._jdf.queryExecution().optimizedPlan().toString().count(P.NAMED[:60]) == 1
+
+
+def test_facts_are_made_in_generated_code(spark):
+    df = spark.createDataFrame([(1, "red bolt", "finish matt grey and 3 screws"), (2, "redder", "finish and"), (3, "small", "★")], "id long, title string, description_html string")
+    found = extract(df, "Colour: red, blue\nFinish: finish *\nSigns: ★\nSize: small, blue")
+    assert [[tuple(f) for f in r["facts"]] for r in found.orderBy("id").collect()] == [[("Colour", "red"), ("Finish", "finish matt grey")], [], [("Size", "small")]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS facts" in plan and not [x for x in plan.splitlines() if "filter(array(" in x and " AS facts" in x]
