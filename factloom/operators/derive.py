@@ -102,10 +102,18 @@ def fit_for(facts: Column) -> Column:
     return F.concat_ws("; ", labelled(facts, "room", "camera")["v"], labelled(facts, "occasion", "use", "suited to")["v"])
 
 
+def visual_values(facts: Column) -> Column:
+    """Values that say how something looks, the most telling first."""
+    return F.transform(F.filter(_ranked(facts, VISUAL), lambda x: x["rank"] < len(VISUAL)), lambda x: x["f"]["v"])
+
+
 def alt_text(title: Column, facts: Column, position: Column) -> Column:
     """Alternative text of the image at a position (0 is the main one): other facts lead at other positions."""
-    base = T.clean_output(title)
-    visual = F.transform(F.filter(_ranked(facts, VISUAL), lambda x: x["rank"] < len(VISUAL)), lambda x: x["f"]["v"])
+    return alt_of(T.clean_output(title), visual_values(facts), position)
+
+
+def alt_of(base: Column, visual: Column, position: Column) -> Column:
+    """alt_text of a clean title and its visual values, which are the same for all images of a product."""
 
     def described(values: Column) -> Column:
         at = F.pmod(position, F.greatest(F.size(values), F.lit(1)))

@@ -146,3 +146,10 @@ def test_option_names_are_bound(spark):
     df = spark.createDataFrame([([("S", "a"), ("R", "x")], [("s ", "b"), ("R", "X")])], "a array<struct<name:string,value:string>>, b array<struct<name:string,value:string>>")
     names = df.select(L.varying_names(F.array(F.struct(F.col("a").alias("selected_options")), F.struct(F.col("b").alias("selected_options")))).alias("n"))
     assert names.first()["n"] == ["s"] and names._jdf.queryExecution().optimizedPlan().toString().count("flatten") == 1
+
+
+def test_visual_values_are_ranked_once_a_product(spark):
+    from factloom.plans import registry
+
+    plan = registry.queries()["alt_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan[: plan.index("Generate explode")] and "array_sort" in plan
