@@ -153,3 +153,16 @@ def test_visual_values_are_ranked_once_a_product(spark):
 
     plan = registry.queries()["alt_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan[: plan.index("Generate explode")] and "array_sort" in plan
+
+
+def test_only_members_that_are_spoken_of_are_described(spark):
+    shops = spark.createDataFrame([("c", "Chairs", "")], "collection_id string, title string, description_html string")
+    rows = spark.range(100).selectExpr("'c' AS collection_id", "id AS pos", "id AS product_id", "concat('chair ', id) AS title")
+    described = []
+
+    def describe(capped):
+        described.append(capped.count())
+        return capped.withColumn("facts", F.expr("array(named_struct('k', 'Wood', 'v', IF(pos % 2 = 0, 'oak', 'ash')))"))
+
+    out = C.capsules(shops, rows, describe=describe).first()
+    assert described == [60] and (out["n_products"], out["true_count"]) == (60, 100) and out["criteria"] == ["Wood: oak, ash"]
