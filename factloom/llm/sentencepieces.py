@@ -25,7 +25,6 @@ them through, own ones named like its output as <name>_own.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
 import re
@@ -412,8 +411,12 @@ class Encoder:
         """Puts the new ones of the texts' words into the cache, side by side."""
         new = {w for w in set().union(*parts).difference(self.cache).difference(self.older) if len(w) <= SHORT}
         if len(new) >= TOGETHER:
-            for word, score, ids, loss in viterbi_many(list(new), self.model):
-                self.keep(word, (score, ids, loss, word))
+            made = {word: (score, ids, loss, word) for word, score, ids, loss in viterbi_many(list(new), self.model)}
+            if len(self.cache) + len(made) <= self.most // 2:
+                self.cache.update(made)
+            else:
+                for word, entry in made.items():
+                    self.keep(word, entry)
 
     def of_word(self, word: str) -> list[tuple[float, list[int]]]:
         """The word's n best segmentations."""
@@ -427,8 +430,11 @@ class Encoder:
         return found
 
     def entries(self, parts: list[str]) -> list[tuple]:
-        get, make = self.cache.get, self.entry
-        return [get(w) or make(w) for w in parts]
+        found = list(map(self.cache.get, parts))
+        if not all(found):
+            make = self.entry
+            found = [e or make(w) for e, w in zip(found, parts, strict=True)]
+        return found
 
     def places(self, entries: list[tuple]) -> list[int]:
         """The words at which the n best segmentations of the text can differ from the best one.
@@ -436,12 +442,12 @@ class Encoder:
         If a word isn't among the first n - 1 by what its second best costs (and then by the order of the texts' ids
         that result), they and the best one come before any segmentation that takes another of its pieces.
         """
-        losses = [e[2] for e in entries]
-        least = bisect_least(losses, self.n - 1)
-        if not least:
+        room, losses = self.n - 1, np.array([e[2] for e in entries])
+        finite = losses[losses < math.inf]
+        if not len(finite) or not room:
             return []
-        most = least[-1]
-        chosen, equal, room = [k for k, x in enumerate(losses) if x < most], [k for k, x in enumerate(losses) if x == most], self.n - 1
+        most = np.partition(finite, room - 1)[room - 1] if len(finite) > room else finite.max()
+        chosen, equal = np.flatnonzero(losses < most).tolist(), np.flatnonzero(losses == most).tolist()
         room -= len(chosen)
         if len(equal) > room:
             # an alternative of lesser ids comes first where it stands early, one of greater ids where it stands late;
@@ -471,7 +477,10 @@ class Encoder:
         entries = self.entries(parts)
         parts = [e[1] for e in entries]
         found = self.combined(entries)
-        at = {k: sum(map(len, parts[:k])) // 4 for k in {k for _, had in found for k in had}}
+        at, done, size = {}, 0, 0
+        for k in sorted({k for _, had in found for k in had}):
+            size += len(b"".join(parts[done:k]))
+            at[k], done = size // 4, k
         return b"".join(parts), [(score, [(at[k], len(parts[k]) // 4, had[k]) for k in sorted(had)]) for score, had in found]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
@@ -480,8 +489,7 @@ class Encoder:
         return [(s, applied(np.frombuffer(best, np.int32).tolist(), differences)) for s, differences in found]
 
     def decode(self, ids) -> str:
-        spelled = self.model.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.model.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -494,16 +502,6 @@ def applied(ids: list[int], differences) -> list[int]:
     return out + ids[at:]
 
 
-def bisect_least(values: list, n: int) -> list:
-    """The n least finite values, with repeats."""
-    out: list = []
-    for x in values:
-        if x < math.inf and (len(out) < n or x < out[-1]):
-            bisect.insort(out, x)
-            del out[n:]
-    return out
-
-
 _ENCODERS: dict = {}
 
 

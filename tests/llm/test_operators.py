@@ -763,6 +763,12 @@ def test_text_n_best_combines_words(model):
     assert encoder.n_best(text)[0][1] == whole[0][1]
 
 
+def test_text_of_one_best(model):
+    three, one = sentencepieces.Encoder(model), sentencepieces.Encoder(model, n=1)
+    for text in ("", "thane of ouble", "the the the ☃"):
+        assert one.n_best(text) == three.n_best(text)[:1]
+
+
 @pytest.mark.parametrize("scores", [(-1.0, -1.0, -1.0), (-1.0, -1.5, -2.0), (-2.0, -1.0, -3.0)])
 def test_words_side_by_side_equal_one_by_one(model, scores):
     small = tiny_model(dict(zip(["a", "b", "ab"], scores, strict=True)))
