@@ -27,9 +27,8 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -269,6 +268,10 @@ class Steps:
         self.inner = np.zeros(len(nodes), bool)
         self.inner[keys // self.width] = True
         self.scores = np.array(model.scores)
+        self.beyond = np.ones(0x110000, bool)  # not in any piece
+        self.beyond[[ord(c) for c in chars]] = False
+        self.spelled, self.length = np.frombuffer(b"".join(model.spelled), np.uint8), np.array([len(x) for x in model.spelled])
+        self.spell = np.cumsum(self.length) - self.length
 
     def step(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the steps there are, and the nodes that these lead to."""
@@ -364,59 +367,93 @@ def _ids(word: str, edges: list[tuple[int, int, int]], model: Model) -> list[int
     return out
 
 
+@dataclass
+class Words:
+    """Words (in UTF-32) with the score and the ids of their best segmentation, what the second best one's score is less, and when they were last asked for."""
+
+    text: pa.LargeBinaryArray
+    score: np.ndarray
+    loss: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+    used: np.ndarray
+
+    @staticmethod
+    def of(text: pa.LargeBinaryArray, entries: list[tuple[float, bytes, float]]) -> Words:
+        score, ids, loss = ([e[k] for e in entries] for k in range(3))
+        return Words(text, np.array(score, float), np.array(loss, float), np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), np.int32), np.zeros(len(ids), np.int64))
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def __getitem__(self, k: int) -> str:
+        return self.text[k].as_py().decode("utf-32-le")
+
+    def begin(self) -> np.ndarray:
+        """Where each word's ids begin."""
+        return np.cumsum(self.size) - self.size
+
+    def take(self, at: np.ndarray) -> Words:
+        return Words(self.text.take(pa.array(at)), self.score[at], self.loss[at], self.size[at], _runs(self.ids, self.begin()[at], self.size[at]), self.used[at])
+
+    def plus(self, other: Words) -> Words:
+        both = lambda name: np.concatenate([getattr(self, name), getattr(other, name)])
+        return Words(pa.concat_arrays([self.text, other.text]), *map(both, ("score", "loss", "size", "ids", "used")))
+
+
 class Encoder:
-    """Encodes whole texts; words seen are kept up to a bound."""
+    """Encodes whole texts, many together: each word that they have is looked up once. Words seen are kept up to a bound."""
 
     def __init__(self, model: Model, n: int = N_BEST, most: int = CACHE_WORDS):
         self.model, self.n, self.most = model, n, most
-        self.cache: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}  # the cache before; what is asked for again moves on, the rest goes with the next change
+        self.cache, self.clock = Words.of(pa.array([], pa.large_binary()), []), 0
         self.alternatives: dict[str, list] = {}
-        self.patterns: dict[frozenset, re.Pattern] = {}
-
-    def words(self, text: str) -> list[str]:
-        """The parts between which every segmentation cuts."""
-        if not text:
-            return []
-        text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        beyond = frozenset(set(text) - self.model.chars)
-        pattern = self.patterns.get(beyond)
-        if pattern is None:
-            u = "".join(map(re.escape, sorted(beyond)))
-            pattern = re.compile(f"{MARK}+[^{MARK}{u}]*|[^{MARK}{u}]+" + (f"|[{u}]" if u else ""))
-            if len(self.patterns) < 1000:
-                self.patterns[beyond] = pattern
-        return pattern.findall(text)
-
-    def entry(self, word: str) -> tuple:
-        """(score, packed ids, loss of the second best, the word)."""
-        known = self.cache.get(word) or self.older.get(word)
-        if known:
-            self.cache[word] = known
-            return known
+
+    def cut(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The texts' words in turn, in UTF-32, and how many there are to each text's end. Every segmentation cuts between them.
+
+        A word is marks with what follows them, what follows a character that is in no piece, or such a character.
+        """
+        prefix = MARK if self.model.dummy_prefix else ""
+        marked = [prefix + text.replace(" ", MARK) if text else "" for text in texts]
+        size = np.array([len(x) for x in marked], np.int64)
+        raw, stop = "".join(marked).encode("utf-32-le"), np.cumsum(size)
+        code = np.frombuffer(raw, np.uint32)
+        begins, mark = self.model.steps.beyond[code], code == ord(MARK)
+        begins[1:] |= begins[:-1] | mark[1:] & ~mark[:-1]
+        begins[(stop - size)[size > 0]] = True
+        at = np.flatnonzero(begins)
+        offsets = pa.py_buffer(4 * np.r_[at, len(code)].astype(np.int64))
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(raw)]), np.searchsorted(at, stop)
+
+    def words(self, text: str) -> pa.LargeBinaryArray:
+        return self.cut([text])[0]
+
+    def prepare(self, parts: list[pa.LargeBinaryArray]) -> tuple[Words, np.ndarray]:
+        """The words of the arrays, with others, and the number of each in turn. New ones are made side by side and kept."""
+        had = len(self.cache)
+        coded = pa.concat_arrays([self.cache.text, *parts]).dictionary_encode()  # what is kept comes first, each word once
+        number = coded.indices.to_numpy()[had:]
+        words = self.cache.plus(Words.of(coded.dictionary[had:], self.made([w.decode("utf-32-le") for w in coded.dictionary[had:].to_pylist()])))
+        self.clock += 1
+        words.used[number] = self.clock
+        keep = np.flatnonzero(np.diff(np.frombuffer(words.text.buffers()[1], np.int64, len(words) + 1, 8 * words.text.offset)) <= 4 * SHORT)
+        if len(keep) > self.most // 2:
+            keep = keep[np.argsort(-words.used[keep], kind="stable")[: self.most // 2]]
+        self.cache = words if len(keep) == len(words) else words.take(keep)
+        return words, number
+
+    def made(self, words: list[str]) -> list[tuple[float, bytes, float]]:
+        """(score, packed ids, loss of the second best) of each word."""
+        short = [w for w in words if len(w) <= SHORT]
+        found = {word: entry for word, *entry in viterbi_many(short, self.model)} if len(short) >= TOGETHER else {}
+        return [found.get(w) or self.alone(w) for w in words]
+
+    def alone(self, word: str) -> tuple[float, bytes, float]:
         score, ids, loss = viterbi(word, self.model)
         if loss == 0 and (len(word) > SHORT or any(c not in self.model.ids for c in word)):  # of equals, the one of the least ids
             ids = self.of_word(word)[0][1]
-        out = (score, array("i", ids).tobytes(), loss, word)
-        if len(word) <= SHORT:
-            self.keep(word, out)
-        return out
-
-    def keep(self, word: str, entry: tuple) -> None:
-        if len(self.cache) >= self.most // 2:
-            self.older, self.cache = self.cache, {}
-        self.cache[word] = entry
-
-    def prepare(self, parts: list[list[str]]) -> None:
-        """Puts the new ones of the texts' words into the cache, side by side."""
-        new = {w for w in set().union(*parts).difference(self.cache).difference(self.older) if len(w) <= SHORT}
-        if len(new) >= TOGETHER:
-            made = {word: (score, ids, loss, word) for word, score, ids, loss in viterbi_many(list(new), self.model)}
-            if len(self.cache) + len(made) <= self.most // 2:
-                self.cache.update(made)
-            else:
-                for word, entry in made.items():
-                    self.keep(word, entry)
+        return score, array("i", ids).tobytes(), loss
 
     def of_word(self, word: str) -> list[tuple[float, list[int]]]:
         """The word's n best segmentations."""
@@ -429,24 +466,16 @@ class Encoder:
                 self.alternatives[word] = found
         return found
 
-    def entries(self, parts: list[str]) -> list[tuple]:
-        found = list(map(self.cache.get, parts))
-        if not all(found):
-            make = self.entry
-            found = [e or make(w) for e, w in zip(found, parts, strict=True)]
-        return found
-
-    def places(self, entries: list[tuple]) -> list[int]:
-        """The words at which the n best segmentations of the text can differ from the best one.
+    def places(self, losses: np.ndarray, parts: Callable[[int], str]) -> list[int]:
+        """The words at which the n best segmentations of the text can differ from the best one; parts(k) is its word k.
 
         If a word isn't among the first n - 1 by what its second best costs (and then by the order of the texts' ids
         that result), they and the best one come before any segmentation that takes another of its pieces.
         """
-        room, losses = self.n - 1, np.array([e[2] for e in entries])
-        finite = losses[losses < math.inf]
-        if not len(finite) or not room:
-            return []
-        most = np.partition(finite, room - 1)[room - 1] if len(finite) > room else finite.max()
+        room = self.n - 1
+        most = np.partition(losses, room - 1)[room - 1] if 0 < room < len(losses) else math.inf
+        if most == math.inf:
+            return np.flatnonzero(losses < most).tolist() if room else []
         chosen, equal = np.flatnonzero(losses < most).tolist(), np.flatnonzero(losses == most).tolist()
         room -= len(chosen)
         if len(equal) > room:
@@ -454,43 +483,56 @@ class Encoder:
             # of equal scores the greater ids are the second best
             late = equal[::-1]
             if most > 0:
-                early = [self.of_word(entries[k][3])[1][1] < self.of_word(entries[k][3])[0][1] for k in equal]
+                lesser = {w: found[1][1] < found[0][1] for w in set(map(parts, equal)) for found in [self.of_word(w)]}
+                early = [lesser[parts(k)] for k in equal]
                 late = [k for k, x in zip(equal, early, strict=True) if x] + [k for k, x in zip(late, early[::-1], strict=True) if not x]
             equal = late[:room]
         return chosen + equal
 
-    def combined(self, entries: list[tuple]) -> list[tuple[float, dict[int, list[int]]]]:
-        """The n best as (score, {word's place: its ids, where they aren't the best ones})."""
-        total = sum([e[0] for e in entries])
+    def combined(self, total: float, losses: np.ndarray, parts: Callable[[int], str]) -> list[tuple[float, dict[int, list[int]]]]:
+        """The n best as (score, {word's place: its ids, where they aren't the best ones}); total is the best score."""
         chosen: list[tuple] = [(0.0, [], {})]
-        for k in sorted(self.places(entries)):
-            found = self.of_word(entries[k][3])
+        for k in sorted(self.places(losses, parts)):
+            found = self.of_word(parts(k))
             more = [(loss + found[0][0] - s, order + [ids], had | {k: ids} if r else had) for loss, order, had in chosen for r, (s, ids) in enumerate(found)]
             chosen = sorted(more, key=lambda x: x[:2])[: self.n]
         return [(total - loss, had) for loss, _, had in chosen]
 
-    def changed(self, parts: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """For the words of a text: its best segmentation's ids as 32-bit integers, and the n best as (score, what differs from the best).
+    def changed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, list[int]]]]]]]:
+        """The ids of the texts' best segmentations in turn, how many there are to each text's end, and for each text the n best as (score, what differs from the best).
 
         A difference is (at, n, ids): ids stand in place of the n ids from at on.
         """
-        entries = self.entries(parts)
-        parts = [e[1] for e in entries]
-        found = self.combined(entries)
-        at, done, size = {}, 0, 0
-        for k in sorted({k for _, had in found for k in had}):
-            size += len(b"".join(parts[done:k]))
-            at[k], done = size // 4, k
-        return b"".join(parts), [(score, [(at[k], len(parts[k]) // 4, had[k]) for k in sorted(had)]) for score, had in found]
+        parts, until = self.cut(texts)
+        words, number = self.prepare([parts])
+        count, losses = words.size[number], words.loss[number]
+        ids, stop = _runs(words.ids, words.begin()[number], count), np.r_[0, np.cumsum(count)]
+        begin = np.r_[0, until[:-1]]
+        totals = np.bincount(np.repeat(np.arange(len(texts)), until - begin), words.score[number], len(texts)).tolist()
+        out = []
+        for a, b, total in zip(begin.tolist(), until.tolist(), totals, strict=True):
+            found = self.combined(total, losses[a:b], lambda k, a=a: words[number[a + k]])
+            out.append([(s, [(int(stop[a + k] - stop[a]), int(count[a + k]), had[k]) for k in sorted(had)]) for s, had in found])
+        return ids, stop[until], out
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids)."""
-        best, found = self.changed(self.words(text))
-        return [(s, applied(np.frombuffer(best, np.int32).tolist(), differences)) for s, differences in found]
+        ids, _, (found,) = self.changed([text])
+        return [(s, applied(ids.tolist(), differences)) for s, differences in found]
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """What the ids of texts in turn spell; ends has how many there are to each text's end."""
+        steps = self.model.steps
+        size = steps.length[ids]
+        raw, stop = _runs(steps.spelled, steps.spell[ids], size).tobytes(), np.r_[0, np.cumsum(size)][np.r_[0, ends]].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(stop, stop[1:], strict=False)]
+        return [x[1:] if self.model.dummy_prefix and x.startswith(" ") else x for x in texts]
+
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.model.spelled.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+def _runs(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of runs in turn, each of a size from its begin on."""
+    stop = np.cumsum(size)
+    return values[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 def applied(ids: list[int], differences) -> list[int]:
@@ -525,22 +567,11 @@ def _encode(model, n: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, n, most)
         for batch in batches:
-            held, size, done, begin, end = [], 0, 0, 0, 0
-            column = batch.column("text")
-            for row in range(batch.num_rows):
-                if row == end:
-                    begin, end = end, _chunk(column, row)
-                    texts = [text or "" for text in column.slice(begin, end - begin).to_pylist()]
-                    words = [encoder.words(text) for text in texts]
-                    encoder.prepare(words)
-                text = texts[row - begin]
-                best, found = encoder.changed(words[row - begin])
-                same = encoder.decode(array("i", best)) == text.replace(MARK, " ")
-                held.append((best, found, same))
-                size += len(best)
-                if size > 4 << 20 or row == batch.num_rows - 1:
-                    yield _encoded(batch.column("rest").slice(done, len(held)), held)
-                    held, size, done = [], 0, row + 1
+            column, end = batch.column("text"), 0
+            while end < batch.num_rows:
+                begin, end = end, _chunk(column, end)
+                texts = [text or "" for text in column.slice(begin, end - begin).to_pylist()]
+                yield _encoded(batch.column("rest").slice(begin, end - begin), texts, encoder)
 
     return run
 
@@ -553,20 +584,17 @@ def _chunk(column: pa.Array, row: int) -> int:
     return end
 
 
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-
-def _encoded(rest, held: list[tuple]) -> pa.RecordBatch:
+def _encoded(rest, texts: list[str], encoder: Encoder) -> pa.RecordBatch:
     change = lambda x: {"at": x[0], "n": x[1], "ids": x[2]}
+    ids, ends, found = encoder.changed(texts)
+    same = [x == text.replace(MARK, " ") for x, text in zip(encoder.decoded(ids, ends), texts, strict=True)]
     columns = {
         "rest": rest,
-        "ids": _lists([best for best, _, _ in held]),
-        "score": pa.array([found[0][0] for _, found, _ in held], pa.float64()),
-        "n_best_scores": pa.array([[s for s, _ in found] for _, found, _ in held], pa.list_(pa.float64())),
-        "n_best_changes": pa.array([[list(map(change, x)) for _, x in found] for _, found, _ in held], CHANGES),
-        "round_trip": pa.array([same for _, _, same in held], pa.bool_()),
+        "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids)),
+        "score": pa.array([x[0][0] for x in found], pa.float64()),
+        "n_best_scores": pa.array([[s for s, _ in x] for x in found], pa.list_(pa.float64())),
+        "n_best_changes": pa.array([[list(map(change, y)) for _, y in x] for x in found], CHANGES),
+        "round_trip": pa.array(same, pa.bool_()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

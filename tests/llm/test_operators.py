@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import types
 from pathlib import Path
 
 import numpy as np
@@ -789,6 +790,34 @@ def test_words_side_by_side_equal_one_by_one(model, scores):
     assert len(together.cache) > 200 and [together.n_best(t) for t in texts] == [alone.n_best(t) for t in texts]
 
 
+def test_texts_together_make_each_word_once(model, monkeypatch):
+    """Words of a batch are made once, however few of them are kept for the next."""
+    made = []
+    alone, together = sentencepieces.viterbi, sentencepieces.viterbi_many
+    monkeypatch.setattr(sentencepieces, "viterbi", lambda word, model: made.append(word) or alone(word, model))
+    monkeypatch.setattr(sentencepieces, "viterbi_many", lambda words, model: made.extend(words) or together(words, model))
+    texts = [" ".join(f"thane{k} of{k % 9}" for k in range(100)), "", None, "of3 thane5 of4", " ".join(f"thane{k}" for k in range(99, -1, -1))]
+    rows = pa.record_batch({"rest": pa.array(range(5)), "text": pa.array(texts)})
+    monkeypatch.setattr(sentencepieces, "_ENCODERS", {})
+    shared = types.SimpleNamespace(id=0, value=Path(sentencepieces.MODEL).read_bytes())
+    (got,) = sentencepieces._encode(shared, 3, 8)(iter([rows]))
+    assert sorted(made) == sorted({"▁" + w for text in texts for w in (text or "").split()})
+    monkeypatch.undo()
+    for text, row in zip(texts, got.to_pylist(), strict=True):
+        changes = [[(x["at"], x["n"], x["ids"]) for x in y] for y in row["n_best_changes"]]
+        assert row["round_trip"] and [(s, sentencepieces.applied(row["ids"], x)) for s, x in zip(row["n_best_scores"], changes, strict=True)] == sentencepieces.Encoder(model).n_best(text or "")
+
+
+def test_words_are_cut_as_by_a_pattern(model):
+    rng = random.Random(12)
+    texts = ["", " ", "\n", "\n\n a", "a\n▁ b", "  a ", *["".join(rng.choices(" ▁ab☃é\n", k=rng.randint(0, 40))) for _ in range(200)]]
+    pattern = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")  # a line's end is in no piece
+    want = [pattern.findall("▁" + text.replace(" ", "▁")) if text else [] for text in texts]
+    parts, ends = sentencepieces.Encoder(model).cut(texts)
+    got = [w.decode("utf-32-le") for w in parts.to_pylist()]
+    assert [got[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] == want
+
+
 def test_sentencepiece_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(80)
     docs = docs.unionByName(frame(spark, [*ODD, None, "\n\n  two\tspaces ", "mark ▁ inside", "x" * 5000], 10**6).select("doc_id", "text"))
