@@ -43,7 +43,7 @@ N_BEST, CACHE_WORDS, UNKNOWN_PENALTY = 3, 400_000, 10.0
 #: Letters of the words that are kept in the caches.
 SHORT = 64
 #: Bytes of texts whose new words are looked up together, and how many new words make that worth while.
-CHUNK, TOGETHER = 2 << 20, 64
+CHUNK, TOGETHER = 1 << 20, 64
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 24
 #: Where the model file is, unless the session's setting factloom.sentencepiece.model says otherwise.
