@@ -173,13 +173,24 @@ def poll_own_writes(spark, sf_dir):
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type AS agent, 'part-' || user_id AS handle, count(*) FILTER (event_type <> 'error') AS hits, count(*) FILTER (event_type = 'error') AS misses FROM events GROUP BY 1, 2, 3")
 def hits_streamed(spark, sf_dir):
-    """Daily hits by a stream with watermark, updated in a store of days as windows grow."""
-    at = new_dir(spark, "hits")
-    hits(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")).withColumn("third", F.ntile(3).over(O.Window.partitionBy(F.to_date("at")).orderBy("at", "event_id"))).repartition(3, "third").drop("third").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    """Daily hits by a stream with watermark, in three batches of requests of all days; a store of days is updated as windows grow."""
+    at, h, files = new_dir(spark, "hits"), hits(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")), spark.sparkContext.defaultParallelism
+    h.repartition(3 * files, "event_id").select("at", "agent", "handle", "status").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("at timestamp, agent string, handle string, status int").option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     store = Store(spark, f"{at}/sums", "day date, agent string, handle string, hits long, misses long", ["day", "agent", "handle"], part=R.by_day("day"))
-    grown = S.rollup_stream(stream, "40 days")
-    handle = lambda batch, number: store.change(batch, lambda current, new: M.upsert(current, new, ["day", "agent", "handle"]))
+    # any batch may have a request of the first day
+    late = h.agg(F.date_diff(F.max("at"), F.min("at"))).first()[0] or 0
+    grown = S.rollup_stream(stream, f"{max(40, late + 1)} days")
+    # sums only grow, so the greatest of a key is its last
+    last = lambda current, new: current.unionByName(new).groupBy("day", "agent", "handle").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))
+
+    def handle(batch, number):
+        batch = batch.persist()
+        try:
+            store.change(batch, last)
+        finally:
+            batch.unpersist()
+
     grown.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return store.read()
 

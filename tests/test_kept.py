@@ -1,5 +1,6 @@
 """What is kept from run to run: events, roll-ups, sketches, owners of media, counts, cursors and pages, against recounts."""
 
+import collections
 import datetime
 import random
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from factloom.operators import coverage as V
 from factloom.operators import monitor as O
 from factloom.operators import retention as R
+from factloom.plans import kept
+from factloom.sources.store import Store
 from factloom.streaming import freshness as S
 from factloom.streaming.events import EventStore
 
@@ -252,3 +255,19 @@ def test_pages(spark, tmp_path):
     assert files >= 16 and len({r["f"] for r in near.collect()}) <= 2
     plan = V.page_before(stored, third[0])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThan(updated_at" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_streamed_hits_over_many_days_in_many_tasks(spark, tmp_path, monkeypatch):
+    """No batch's requests are late for another's; each is summed once, from as many files as there are tasks."""
+    rng = random.Random(17)
+    rows = [(i, DAY + datetime.timedelta(days=rng.randrange(100), seconds=i), rng.randrange(3), rng.choice(["view", "error"]), 0.5) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(kept, "new_dir", lambda spark, name: f"{tmp_path}/{name}")
+    held, change = [], Store.change
+    monkeypatch.setattr(Store, "change", lambda self, changes, *rest: held.append(changes.is_cached) or change(self, changes, *rest))
+    want = collections.Counter()
+    for _, at, user, kind, _ in rows:
+        want[at.date(), kind, f"part-{user}", 0 if kind == "error" else 1] += 1
+    got = kept.hits_streamed(spark, str(tmp_path)).collect()
+    assert {(r["day"], r["agent"], r["handle"], int(r["hits"] > 0)): r["hits"] + r["misses"] for r in got} == want and len(got) == len(want)
+    assert held == [True] * 3 and len(list(tmp_path.glob("hits/in/*.parquet"))) == 3 * spark.sparkContext.defaultParallelism
