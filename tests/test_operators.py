@@ -166,3 +166,50 @@ def test_only_members_that_are_spoken_of_are_described(spark):
 
     out = C.capsules(shops, rows, describe=describe).first()
     assert described == [60] and (out["n_products"], out["true_count"]) == (60, 100) and out["criteria"] == ["Wood: oak, ash"]
+
+
+def asked_by_hand(title, rows):
+    """Questions about rows (pos, product, facts), with one loop over all of them."""
+    values, have = {}, {}
+    for _, product_id, facts in sorted(rows, key=lambda r: r[0]):
+        for k, v in facts or []:
+            have.setdefault(k, set()).add(product_id)
+            for part in v.split(","):
+                shown = " ".join(part.split())
+                if shown:
+                    values.setdefault(k, {}).setdefault(shown.lower().rstrip(".;:"), shown)
+    labels = [k for k in have if len(have[k]) >= max(2, -(-len(rows) // 2)) and len(values.get(k, {})) > 1]
+    out = [(f"How many products are in {title}?", "1 product." if len(rows) == 1 else f"{len(rows)} products.")] if rows else []
+    for k in sorted(labels, key=lambda k: (-len(have[k]), -len(values[k])))[:5][:4]:
+        shown = list(values[k].values())
+        out.append((f"What {k.lower()} options are there in {title}?", ", ".join(shown[:6]) + (f" and {len(shown) - 6} more" if len(shown) > 6 else "") + "."))
+    return out
+
+
+def test_questions_are_of_all_members(spark):
+    """Collections of 0 to 500 members, some listed twice, with labels and values that only come after the 60th."""
+    said = {
+        "all": [(i, f"p{i % 450}", [("Size", f"{i} cm, {i % 7} cm"), ("Wood", "oak" if i < 100 else "Ash."), ("Same", "x"), *([("Late", f"v{i % 3}, V{i % 3};")] if i >= 60 else []), *([("Wood", "pine,")] if i % 9 == 0 else [])]) for i in range(500)],
+        "early": [(i, f"p{i}", [("Early", f"e{i}"), ("Much", f"m{i}")] if i < 60 else [("Much", f"m{i % 2}")] if i % 2 else None if i % 4 else []) for i in range(130)],
+        "half": [(i, f"p{i}", [("K", f"k{i}")] if i < 31 else []) for i in range(62)],
+        "less": [(i, f"p{i}", [("K", f"k{i}")] if i < 31 else []) for i in range(63)],
+        "one": [(1, "p", [("K", "a, b")])],
+        "none": [],
+    }
+    shops = spark.createDataFrame([(c, f"All {c}") for c in said], "collection_id string, title string")
+    rows = spark.createDataFrame([(c, pos, p, f) for c, m in said.items() for pos, p, f in m], f"collection_id string, pos int, product_id string, facts {FACTS}")
+    out = {r["collection_id"]: r for r in C.asked(shops, rows.repartition(3)).collect()}
+    assert {c: r["n_products"] for c, r in out.items()} == {c: len(m) for c, m in said.items()}
+    for c, m in said.items():
+        assert [(x["q"], x["a"]) for x in out[c]["questions"]] == asked_by_hand(f"All {c}", m), c
+    assert [x["q"].split()[1] for x in out["all"]["questions"]] == ["many", "size", "wood", "late"] and len(out["half"]["questions"]) == 2 and len(out["less"]["questions"]) == 1
+
+
+def test_collection_questions_counts_beyond_the_cap_of_the_other_texts(spark):
+    from factloom.plans import registry
+
+    at = "/root/testdata/sf0.01"
+    n = {r["p_brand"]: r["count"] for r in spark.read.parquet(f"{at}/part.parquet").groupBy("p_brand").count().collect()}
+    told = {r["collection_id"]: r["questions"] for r in registry.queries()["collection_questions"](spark, at).collect()}
+    assert max(n.values()) > C.MEMBERS and told.keys() == n.keys() and all(told[c].startswith(f"How many products are in Parts of {c}? {n[c]} products.") for c in n)
+    assert "QUALIFY rn" not in registry.oracle_sql()["collection_questions"] and "QUALIFY rn <= 60" in registry.oracle_sql()["collection_summary"]
